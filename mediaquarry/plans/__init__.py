@@ -1,0 +1,14 @@
+"""Every query a user can run, over the supplied tables."""
+
+from __future__ import annotations
+
+from . import browse_queries, value_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracles():
+    return dict(ORACLES)
