@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fv
+from .binding import let
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -63,25 +64,26 @@ def parse_iso(text: Column) -> Column:
         r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:[.,](\d{1,9}))?"
         r"(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
     )
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    or_else = lambda c, d: F.when(c == "", d).otherwise(c)
-    wall = F.when(
-        text.rlike(pattern),
-        F.concat(
-            part(1), F.lit(" "), or_else(part(2), "00:00"), or_else(part(3), ":00"),
-            F.lit("."), F.substring(F.rpad(part(4), 3, "0"), 1, 3),
-        ),
-    ).try_cast("timestamp_ntz")
-    zone = part(5)
-    digits = F.rpad(F.regexp_replace(zone, "[^0-9]", ""), 4, "0")
-    seconds = (
-        F.substring(digits, 1, 2).try_cast("int") * 3600
-        + F.substring(digits, 3, 2).try_cast("int") * 60
+    return let(
+        F.transform(F.array(*[F.lit(i) for i in range(1, 6)]), lambda i: F.call_function("regexp_extract", text, F.lit(pattern), i)),
+        lambda p: let(_parsed(p, text.rlike(pattern)), lambda c: F.when(c["wall_clock"].isNotNull(), c)),
     )
+
+
+def _parsed(parts: Column, shaped: Column) -> Column:
+    """Date, hours and minutes, seconds, fraction, zone → wall clock and offset."""
+    part = lambda i: F.get(parts, F.lit(i))
+    or_else = lambda i, default: F.coalesce(F.nullif(part(i), F.lit("")), F.lit(default))
+    wall = F.when(shaped, F.concat(
+        part(0), F.lit(" "), or_else(1, "00:00"), or_else(2, ":00"), F.lit("."),
+        F.substring(F.rpad(part(3), 3, "0"), 1, 3),
+    )).try_cast("timestamp_ntz")
+    digits = F.rpad(F.regexp_replace(part(4), "[^0-9]", ""), 4, "0")
+    seconds = let(digits, lambda d: (
+        F.substring(d, 1, 2).try_cast("int") * 3600 + F.substring(d, 3, 2).try_cast("int") * 60
+    ))
     offset = (
-        F.when(zone == "Z", 0)
-        .when(zone.startswith("-"), -seconds)
-        .when(zone.startswith("+"), seconds)
+        F.when(part(4) == "Z", 0).when(part(4).startswith("-"), -seconds)
+        .when(part(4).startswith("+"), seconds)
     )
-    parsed = F.struct(wall.alias("wall_clock"), offset.cast("int").alias("utc_offset_seconds"))
-    return F.when(wall.isNotNull(), parsed)
+    return F.struct(wall.alias("wall_clock"), offset.cast("int").alias("utc_offset_seconds"))

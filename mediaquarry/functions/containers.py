@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fv
+from .binding import let
 from .capture import from_wall_clock_ms, parse_iso
 from .values import clamp_rating, valid_location
 
@@ -34,8 +35,7 @@ def tag_of(tags: Column, directory: str, number: int) -> Column:
 
 
 def tag_text(tag: Column) -> Column:
-    trimmed = F.regexp_replace(tag["text"], r"^\s+|\s+$", "")
-    return F.when(tag["type"] == 2, trimmed)
+    return F.when(tag["type"] == 2, F.regexp_replace(tag["text"], r"^\s+|\s+$", ""))
 
 
 def tag_integer(tag: Column) -> Column:
@@ -57,8 +57,8 @@ def exif_offset(text: Column) -> Column:
     hours = F.substring(text, 2, 2).try_cast("int")
     minutes = F.substring(text, 5, 2).try_cast("int")
     usable = text.rlike(r"^[+-]\d{2}.\d{2}") & (hours <= 23) & (minutes <= 59)
-    seconds = hours * 3600 + minutes * 60
-    return F.when(usable, F.when(text.startswith("-"), -seconds).otherwise(seconds))
+    sign = F.when(text.startswith("-"), -1).otherwise(1)
+    return F.when(usable, sign * (hours * 3600 + minutes * 60))
 
 
 def rotation_for_orientation(value: Column) -> Column:
@@ -68,55 +68,61 @@ def rotation_for_orientation(value: Column) -> Column:
     )
 
 
-def _degrees(tag: Column) -> Column:
+def _degrees(tag: Column, reference: Column, negative: str) -> Column:
     parts = [tag_rational(tag, i) for i in range(3)]
-    return F.when(tag["count"] >= 3, parts[0] + parts[1] / 60.0 + parts[2] / 3600.0)
-
-
-def _signed(value: Column, reference: Column, negative: str) -> Column:
-    return F.when(F.coalesce(tag_text(reference).startswith(negative), F.lit(False)), -value).otherwise(value)
-
-
-def exif_location(tags: Column) -> Column:
-    gps = lambda number: tag_of(tags, "gps", number)
-    latitude = _signed(_degrees(gps(fv.GPS_LAT)), gps(fv.GPS_LAT_REF), "S")
-    longitude = _signed(_degrees(gps(fv.GPS_LON)), gps(fv.GPS_LON_REF), "W")
-    height = tag_rational(gps(fv.GPS_ALT), 0)
-    below = F.coalesce(tag_integer(gps(fv.GPS_ALT_REF)) == 1, F.lit(False))
-    return valid_location(latitude, longitude, F.when(below, -height).otherwise(height))
+    sign = F.when(F.coalesce(tag_text(reference).startswith(negative), F.lit(False)), -1.0).otherwise(1.0)
+    return F.when(tag["count"] >= 3, sign * (parts[0] + parts[1] / 60.0 + parts[2] / 3600.0))
 
 
 def _positive_int(value: Column) -> Column:
     return F.when((value > 0) & (value <= 2147483647), value.cast("int"))
 
 
+# Name → (directory, tag number) of every entry the rules read.
+_EXIF_TAGS = {
+    "make": ("ifd0", fv.TAG_MAKE), "model": ("ifd0", fv.TAG_MODEL),
+    "orientation": ("ifd0", fv.TAG_ORIENTATION), "changed": ("ifd0", fv.TAG_DATE_TIME),
+    "width": ("ifd0", fv.TAG_WIDTH), "height": ("ifd0", fv.TAG_HEIGHT),
+    "taken": ("exif", fv.TAG_DATE_ORIGINAL), "zone_taken": ("exif", fv.TAG_OFFSET_ORIGINAL),
+    "zone": ("exif", fv.TAG_OFFSET), "claimed_width": ("exif", fv.TAG_EXIF_WIDTH),
+    "claimed_height": ("exif", fv.TAG_EXIF_HEIGHT), "lens": ("exif", fv.TAG_LENS),
+    "lat": ("gps", fv.GPS_LAT), "lat_ref": ("gps", fv.GPS_LAT_REF), "lon": ("gps", fv.GPS_LON),
+    "lon_ref": ("gps", fv.GPS_LON_REF), "alt": ("gps", fv.GPS_ALT), "alt_ref": ("gps", fv.GPS_ALT_REF),
+}
+
+
 def interpret_exif(tags: Column) -> Column:
     """One EXIF block's tag list → struct of fields; an absent field is NULL."""
-    text = lambda directory, number: F.when(
-        tag_text(tag_of(tags, directory, number)) != "", tag_text(tag_of(tags, directory, number))
-    )
-    wall = F.coalesce(
-        exif_date(text("exif", fv.TAG_DATE_ORIGINAL)), exif_date(text("ifd0", fv.TAG_DATE_TIME))
-    )
-    offset = F.coalesce(
-        exif_offset(text("exif", fv.TAG_OFFSET_ORIGINAL)), exif_offset(text("exif", fv.TAG_OFFSET))
-    )
-    capture = F.when(
-        wall.isNotNull(),
+    entries = F.struct(*[tag_of(tags, *where).alias(name) for name, where in _EXIF_TAGS.items()])
+    return let(entries, _exif_fields)
+
+
+def _exif_fields(e: Column) -> Column:
+    text = lambda name: F.nullif(tag_text(e[name]), F.lit(""))
+    number = lambda name: let(tag_integer(e[name]), _positive_int)
+    wall = F.coalesce(exif_date(tag_text(e["taken"])), exif_date(tag_text(e["changed"])))
+    offset = F.coalesce(exif_offset(tag_text(e["zone_taken"])), exif_offset(tag_text(e["zone"])))
+    capture = let(
         F.struct(wall.alias("wall_clock"), offset.cast("int").alias("utc_offset_seconds")),
+        lambda c: F.when(c["wall_clock"].isNotNull(), c),
+    )
+    below = F.when(tag_integer(e["alt_ref"]) == 1, -1.0).otherwise(1.0)
+    place = let(
+        F.struct(
+            _degrees(e["lat"], e["lat_ref"], "S").alias("lat"),
+            _degrees(e["lon"], e["lon_ref"], "W").alias("lon"),
+            (below * tag_rational(e["alt"], 0)).alias("alt"),
+        ),
+        lambda p: valid_location(p["lat"], p["lon"], p["alt"]),
     )
-    number = lambda directory, tag: tag_integer(tag_of(tags, directory, tag))
     return F.struct(
         capture.alias("capture_time"),
-        text("ifd0", fv.TAG_MAKE).alias("camera_make"),
-        text("ifd0", fv.TAG_MODEL).alias("camera_model"),
-        text("exif", fv.TAG_LENS).alias("lens_model"),
-        _positive_int(number("exif", fv.TAG_EXIF_WIDTH)).alias("pixel_width"),
-        _positive_int(number("exif", fv.TAG_EXIF_HEIGHT)).alias("pixel_height"),
-        _positive_int(number("ifd0", fv.TAG_WIDTH)).alias("primary_width"),
-        _positive_int(number("ifd0", fv.TAG_HEIGHT)).alias("primary_height"),
-        rotation_for_orientation(number("ifd0", fv.TAG_ORIENTATION)).alias("rotation_degrees"),
-        exif_location(tags).alias("location"),
+        text("make").alias("camera_make"), text("model").alias("camera_model"),
+        text("lens").alias("lens_model"),
+        number("claimed_width").alias("pixel_width"), number("claimed_height").alias("pixel_height"),
+        number("width").alias("primary_width"), number("height").alias("primary_height"),
+        let(tag_integer(e["orientation"]), rotation_for_orientation).alias("rotation_degrees"),
+        place.alias("location"),
     )
 
 
@@ -147,36 +153,49 @@ def interpret_movie(blocks: Column) -> Column:
     frame = lambda b: F.struct(
         F.floor(at(b, 0) / 65536).cast("int").alias("w"), F.floor(at(b, 1) / 65536).cast("int").alias("h")
     )
-    visual = _first(F.filter(F.transform(of("tkhd"), frame), lambda f: (f["w"] > 0) & (f["h"] > 0)))
+    visual = F.filter(F.transform(of("tkhd"), frame), lambda f: (f["w"] > 0) & (f["h"] > 0))
     sound = F.exists(of("hdlr"), lambda b: b["text"] == "soun")
-    return F.struct(
-        _last(captures).alias("capture_time"),
-        visual["w"].alias("pixel_width"), visual["h"].alias("pixel_height"),
-        _last(lengths).alias("duration_ms"),
-        F.when(sound, True).when(F.size(of("trak")) > 0, False).alias("has_audio"),
+    return let(
+        F.struct(captures.alias("captures"), lengths.alias("lengths"), _first(visual).alias("visual")),
+        lambda m: F.struct(
+            _last(m["captures"]).alias("capture_time"),
+            m["visual"]["w"].alias("pixel_width"), m["visual"]["h"].alias("pixel_height"),
+            _last(m["lengths"]).alias("duration_ms"),
+            F.when(sound, True).when(F.size(of("trak")) > 0, False).alias("has_audio"),
+        ),
     )
 
 
 # --- XMP --------------------------------------------------------------------------------------
 
 
+def _whole_number(text: Column) -> Column:
+    return let(
+        F.regexp_replace(text, r"^\s+|\s+$", ""),
+        lambda x: F.when(x.rlike(r"^[+-]?\d+$"), x.try_cast("int")),
+    )
+
+
 def interpret_xmp(props: Column) -> Column:
     """One packet's properties → struct of fields; an absent field is NULL."""
     of = lambda name: F.filter(props, lambda p: p["name"] == name)
     head = lambda p: _first(p["items"])
-    dates = _present(F.transform(of("CreateDate"), lambda p: parse_iso(head(p))))
-    whole = lambda p: F.when(
-        F.regexp_replace(head(p), r"^\s+|\s+$", "").rlike(r"^[+-]?\d+$"),
-        F.regexp_replace(head(p), r"^\s+|\s+$", "").try_cast("int"),
-    )
-    ratings = _present(F.transform(of("Rating"), whole))
-    caption = F.coalesce(head(_last(of("title"))), head(_first(of("description"))))
-    return F.struct(
-        _last(dates).alias("capture_time"),
-        clamp_rating(_last(ratings)).alias("rating"),
-        caption.alias("caption"),
-        _last(of("subject"))["items"].alias("tags"),
+    lists = F.struct(
+        _present(F.transform(of("CreateDate"), lambda p: let(head(p), parse_iso))).alias("dates"),
+        _present(F.transform(of("Rating"), lambda p: _whole_number(head(p)))).alias("ratings"),
+        of("title").alias("titles"), of("subject").alias("subjects"),
+        _first(of("description")).alias("description"),
     )
+    return let(lists, lambda v: F.struct(
+        _last(v["dates"]).alias("capture_time"),
+        let(_last(v["ratings"]), clamp_present).alias("rating"),
+        F.coalesce(head(_last(v["titles"])), head(v["description"])).alias("caption"),
+        _last(v["subjects"])["items"].alias("tags"),
+    ))
+
+
+def clamp_present(rating: Column) -> Column:
+    return F.when(rating.isNotNull(), clamp_rating(rating))
 
 
 # --- one file ---------------------------------------------------------------------------------
@@ -190,25 +209,36 @@ def embedded_fields(container: Column, blocks: Column) -> Column:
     """
     is_exif = F.reverse(F.transform(blocks, lambda b: (b["kind"] == "exif") & b["ok"]))
     behind = F.array_position(is_exif, True)
-    start = F.when(behind > 0, F.size(blocks) - behind + 1).otherwise(1).cast("int")
-    live = F.slice(blocks, start, F.greatest(F.size(blocks), F.lit(1)))
-    readable = lambda kind: F.filter(live, lambda b: (b["kind"] == kind) & b["ok"])
-    exif = interpret_exif(_last(readable("exif"))["tags"])
-    packets = F.transform(readable("xmp"), lambda b: interpret_xmp(b["props"]))
-    from_xmp = lambda name: _last(_present(F.transform(packets, lambda p: p[name])))
-    frame = _last(F.filter(blocks, lambda b: b["kind"] == "frame"))["nums"]
-    extent = _first(F.filter(blocks, lambda b: b["kind"] == "ispe"))["nums"]
-    movie = interpret_movie(blocks)
+    start = F.greatest(F.size(blocks) - behind + 1, F.lit(1)).cast("int")
+    live = F.when(behind > 0, F.slice(blocks, start, behind.cast("int"))).otherwise(blocks)
+    readable = lambda items, kind: F.filter(items, lambda b: (b["kind"] == kind) & b["ok"])
+    parts = let(live, lambda now: F.struct(
+        let(_last(readable(now, "exif")), lambda b: interpret_exif(b["tags"])).alias("exif"),
+        F.transform(readable(now, "xmp"), lambda b: interpret_xmp(b["props"])).alias("packets"),
+        interpret_movie(blocks).alias("movie"),
+        _last(F.filter(blocks, lambda b: b["kind"] == "frame"))["nums"].alias("frame"),
+        _first(F.filter(blocks, lambda b: b["kind"] == "ispe"))["nums"].alias("extent"),
+    ))
+    return let(parts, lambda p: _fields_of(container, p))
+
+
+def _fields_of(container: Column, p: Column) -> Column:
+    exif, movie = p["exif"], p["movie"]
+    from_xmp = lambda name: let(
+        _present(F.transform(p["packets"], lambda x: x[name])), _last
+    )
+    is_movie = container == "isobmff"
     side = lambda i, primary, claimed: (
-        F.when(container.isin("jpeg", "png"), F.get(frame, F.lit(i)).cast("int"))
+        F.when(container.isin("jpeg", "png"), F.get(p["frame"], F.lit(i)).cast("int"))
         .when(container == "tiff", F.coalesce(exif[primary], exif[claimed]))
-        .when(container == "heif", F.get(extent, F.lit(i)).cast("int"))
+        .when(container == "heif", F.get(p["extent"], F.lit(i)).cast("int"))
         .otherwise(movie[claimed])
     )
-    is_movie = container == "isobmff"
     return F.struct(
-        F.coalesce(from_xmp("capture_time"), exif["capture_time"], F.when(is_movie, movie["capture_time"]))
-        .cast(CAPTURE_TYPE).alias("capture_time"),
+        F.coalesce(
+            from_xmp("capture_time").cast(CAPTURE_TYPE), exif["capture_time"].cast(CAPTURE_TYPE),
+            F.when(is_movie, movie["capture_time"]).cast(CAPTURE_TYPE),
+        ).alias("capture_time"),
         exif["camera_make"].alias("camera_make"), exif["camera_model"].alias("camera_model"),
         exif["lens_model"].alias("lens_model"),
         side(0, "primary_width", "pixel_width").alias("pixel_width"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fv
+from .binding import let
 
 
 def quarter_turn(degrees: Column) -> Column:
@@ -41,13 +42,17 @@ def valid_location(latitude: Column, longitude: Column, altitude: Column) -> Col
 
 def normalize_metadata(metadata: Column) -> Column:
     """Rotation to a quarter turn, rating to 0–5, sizes to ≥ 0, invalid location dropped."""
-    place = metadata["location"]
+    return let(metadata, _normalized)
+
+
+def _normalized(m: Column) -> Column:
+    place = m["location"]
     return (
-        metadata.withField("rotation_degrees", quarter_turn(metadata["rotation_degrees"]))
-        .withField("rating", clamp_rating(metadata["rating"]))
-        .withField("pixel_width", not_negative(metadata["pixel_width"]))
-        .withField("pixel_height", not_negative(metadata["pixel_height"]))
-        .withField("duration_ms", not_negative(metadata["duration_ms"]))
+        m.withField("rotation_degrees", quarter_turn(m["rotation_degrees"]))
+        .withField("rating", clamp_rating(m["rating"]))
+        .withField("pixel_width", not_negative(m["pixel_width"]))
+        .withField("pixel_height", not_negative(m["pixel_height"]))
+        .withField("duration_ms", not_negative(m["duration_ms"]))
         .withField(
             "location",
             valid_location(place["latitude"], place["longitude"], place["altitude_metres"]),

@@ -77,17 +77,18 @@ def write_pointer(spark: SparkSession, base: str, snapshot: str, token: str) ->
     out = target.getFileSystem(conf).create(fresh, True)
     out.write(bytearray(f"{snapshot}\n{token}", "utf-8"))
     out.close()
-    renames = spark._jvm.java.lang.reflect.Array.newInstance(hadoop.fs.Options.Rename, 1)
-    renames[0] = hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fresh, target, renames)
+    rename = getattr(hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(fresh, target, options)
 
 
 def read_pointer(spark: SparkSession, base: str) -> tuple[str, str] | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/CURRENT")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    snapshot, token = [r[0] for r in spark.read.text(f"{base}/CURRENT").collect()][:2]
-    return snapshot, token
+    lines = [row[0] for row in spark.read.text(f"{base}/CURRENT").collect()]
+    return lines[0], lines[1] if len(lines) > 1 else ""
 
 
 def build_projection(records: DataFrame, base: str, token: str | None = None) -> str:

@@ -86,7 +86,8 @@ def reconcile(
         .when(~usable, "failed")
         .when(F.col("known_id").isNotNull(), "updated").otherwise("new")
     )
-    judged = staged.select("path", "known_id", "digest", label.alias("label"))
+    # Read four times below; without the cut every reader would hash the files again.
+    judged = cut_lineage(staged.select("path", "known_id", "digest", label.alias("label")))
     new = judged.where("label = 'new'").select("path", "digest")
     valid = F.coalesce(F.col("digest") != "", F.lit(False))
     vanished = records.where(valid).join(files.select("path"), "path", "left_anti")

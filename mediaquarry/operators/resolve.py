@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.binding import let
 from ..functions.capture import describe_capture, from_wall_clock_ms
 from ..functions.containers import CAPTURE_TYPE, embedded_fields, interpret_xmp
 from ..functions.paths import base_name, kind_from_extension, parent_dir, sidecar_candidates
@@ -46,6 +47,12 @@ def resolved_metadata(
     NULL means a source says nothing, an empty text is a deliberate erasure. Without any capture
     time the file date stands in, labelled as such.
     """
+    return let(embedded, lambda e: let(sidecar, lambda s: _resolved(e, s, path, kind, modified_ms)))
+
+
+def _resolved(
+    embedded: Column, sidecar: Column, path: Column, kind: Column, modified_ms: Column
+) -> Column:
     capture = lambda c: describe_capture(c["wall_clock"], c["utc_offset_seconds"])
     conflicts = F.filter(F.array(
         _conflict("captureTime", embedded["capture_time"], sidecar["capture_time"], capture),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import browse_queries, value_queries  # noqa: F401
+from . import (  # noqa: F401
+    browse_queries, change_queries, media_queries, reconcile_queries, store_queries, text_queries,
+    value_queries,
+)
 from .registry import ORACLES, QUERIES
 
 
