@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fv
+from .binding import let
 
 PROBE_BYTES = 32
 
 
 def classify_signature(content: Column) -> Column:
     """``jpeg``, ``png``, ``tiff``, ``heif``, ``isobmff`` or ``unknown``."""
-    head = F.hex(F.substring(content, 1, PROBE_BYTES))
+    return let(F.hex(F.substring(content, 1, PROBE_BYTES)), _container_of)
+
+
+def _container_of(head: Column) -> Column:
     size = F.length(head) / 2
     brands = [brand.encode().hex().upper() for brand in fv.IMAGE_BRANDS]
     # The major brand sits at byte 8, the minor version at 12, compatible brands from 16 on.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions import containers as meaning
+from ..functions.binding import let
 from ..functions.capture import describe_capture, iso_text, wall_clock_ms
 from ..functions.signature import classify_signature, kind_from_signature
 from ..operators import resolve
@@ -53,8 +54,9 @@ def _tiff(d: Column, lang: Column) -> Column:
 
 def _jpeg(d: Column, lang: Column, body: Column) -> Column:
     exif = F.concat(F.lit("457869660000"), _tiff(d, lang))
+    segment = let(exif, lambda x: F.concat(_hex(F.length(x) / 2 + 2, 4), x))
     return F.concat(
-        F.lit("FFD8FFE1"), _hex(F.length(exif) / 2 + 2, 4), exif, F.lit("FFC0000B08"),
+        F.lit("FFD8FFE1"), segment, F.lit("FFC0000B08"),
         _hex(d % 3000 + 1, 4), _hex(d % 4000 + 1, 4), F.lit("01011100FFDA"), body,
     )
 
@@ -67,8 +69,8 @@ def _png(d: Column, body: Column) -> Column:
 
 
 def _box(kind: str, *payload: Column) -> Column:
-    body = F.concat(*payload)
-    return F.concat(_hex(F.length(body) / 2 + 8, 8), F.lit(kind.encode().hex().upper()), body)
+    name = F.lit(kind.encode().hex().upper())
+    return let(F.concat(*payload), lambda body: F.concat(_hex(F.length(body) / 2 + 8, 8), name, body))
 
 
 def _movie(d: Column, body: Column) -> Column:
@@ -199,7 +201,7 @@ def _seen(metadata: Column) -> list[Column]:
   CASE WHEN has_exif THEN lang ELSE '' END AS make, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h,
   CAST(CASE WHEN NOT has_exif THEN 0 ELSE CASE doc_id % 9 WHEN 3 THEN 180 WHEN 4 THEN 180 WHEN 5 THEN 90 WHEN 6 THEN 90 WHEN 7 THEN 270 WHEN 8 THEN 270 ELSE 0 END END AS INTEGER) AS rotation,
   CASE WHEN k = 2 THEN doc_id * 7000 // 600 ELSE 0 END AS duration_ms, k = 2 AND doc_id % 3 = 0 AS has_audio,
-  round(coalesce(lat, -999), 6) AS latitude, round(coalesce(lon, -999), 6) AS longitude,
+  round(coalesce(lat, -999), 6) + 0.0 AS latitude, round(coalesce(lon, -999), 6) + 0.0 AS longitude,
   CAST(CASE WHEN side THEN greatest(0, least(5, doc_id % 9 - 1)) ELSE 0 END AS INTEGER) AS rating,
   CASE WHEN NOT side THEN '' WHEN doc_id % 2 = 0 THEN trim(clean, ' ' || chr(9) || chr(10)) ELSE 'about ' || CAST(doc_id AS VARCHAR) END AS caption,
   CASE WHEN side THEN lang || '|' || source ELSE '' END AS tags,
@@ -264,7 +266,7 @@ def read_xmp(t):
 @query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%dT') || printf('%02d:%02d:00', o_orderkey % 24, o_orderkey % 60)
     || CASE WHEN o_orderkey % 5 = 0 THEN ' (zone unknown)' WHEN o_orderkey % 5 = 1 THEN ' (zone unknown)' ELSE (CASE WHEN o_orderkey % 2 = 0 THEN ' +' ELSE ' -' END) || printf('%02d:%02d', o_orderkey % 24, o_orderkey % 60) END END AS captured,
   CAST((['0', '0', '0', '180', '180', '90', '90', '270', '270', '0'])[CAST(o_orderkey % 10 AS INTEGER) + 1] AS INTEGER) AS rotation,
-  CASE WHEN o_orderkey % 6 = 0 OR o_custkey % 100 + (o_custkey % 60) / 60.0 > 90 THEN -999 ELSE round((CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * (o_custkey % 100 + (o_custkey % 60) / 60.0), 6) END AS latitude,
+  CASE WHEN o_orderkey % 6 = 0 OR o_custkey % 100 + (o_custkey % 60) / 60.0 > 90 THEN -999 ELSE round((CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * (o_custkey % 100 + (o_custkey % 60) / 60.0), 6) + 0.0 END AS latitude,
   CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderpriority END AS make FROM orders""")
 def interpret_exif(t):
     """``orders`` as EXIF tag lists: dates, offsets, orientation and positions."""

@@ -29,6 +29,7 @@ from ..session import cut_lineage
 _SPAN = 64  # debounce spans per block
 _FAN = 256  # blocks per block of the next level
 _NEVER = -(1 << 62)  # "nothing open yet": any event opens a batch
+_STEPS = "root string, block bigint, upto bigint, due bigint"
 
 
 def ticks(events: DataFrame) -> DataFrame:
@@ -38,128 +39,219 @@ def ticks(events: DataFrame) -> DataFrame:
     )
 
 
-def _chain_exits(t: np.ndarray, debounce: int) -> np.ndarray:
-    """For each tick taken as an opener: when the last batch it leads to here is due."""
-    count = len(t)
-    following = np.searchsorted(t, t + debounce, side="left")
-    last = np.arange(count)
-    while True:
-        inside = following[last] < count
-        if not inside.any():
-            return t[last] + debounce
-        last = np.where(inside, following[np.minimum(last, count - 1)], last)
-
-
-def _steps(upto: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbouring entries with the same exit become one step."""
-    keep = np.append(exits[1:] != exits[:-1], True)
-    return upto[keep], exits[keep]
-
-
-def _block_function(debounce: int, length: int):
-    def reduce_block(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        root, block = key
-        t = np.sort(pdf["t"].to_numpy())
-        reach = int(np.searchsorted(t, block * length + debounce - 1, side="left")) + 1
-        upto, exits = _steps(t[:reach], _chain_exits(t, debounce)[:reach])
-        return pd.DataFrame({"root": root, "block": block, "upto": upto, "due": exits})
-
-    return reduce_block
-
-
-def _through(h: np.ndarray, upto: np.ndarray, due: np.ndarray) -> np.ndarray:
-    """Apply one step function to entry times; later ones pass through."""
-    at = np.searchsorted(upto, h, side="left")
-    hit = at < len(upto)
-    return np.where(hit, due[np.minimum(at, len(upto) - 1)], h)
-
-
-def _children(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for child, rows in pdf.sort_values(["block", "upto"]).groupby("block", sort=True):
-        yield int(child), rows["upto"].to_numpy(), rows["due"].to_numpy()
-
-
-def _compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    root, parent = key
-    parts = list(_children(pdf))
-    # Entries come before the first block is a debounce old; a later one enters at a first tick.
-    entries = parts[0][1] if len(parts) == 1 else np.append(parts[0][1], parts[1][1][:1])
-    h = entries.copy()
-    for _, upto, due in parts:
-        h = _through(h, upto, due)
-    upto, due = _steps(entries, h)
-    return pd.DataFrame({"root": root, "block": parent, "upto": upto, "due": due})
-
-
-def _hand_down(key, entry: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-    if pdf.empty:
-        return pd.DataFrame({"root": [], "block": [], "h": []})
-    h = np.array([int(entry["h"].iloc[0]) if len(entry) else _NEVER])
-    blocks, times = [], []
-    for child, upto, due in _children(pdf):
-        blocks.append(child)
-        times.append(int(h[0]))
-        h = _through(h, upto, due)
-    return pd.DataFrame({"root": key[0], "block": blocks, "h": times})
-
-
-def _cut(debounce: int):
-    def cut_block(key, entry: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame({"root": [], "opened_at": [], "n": [], "overflow": []})
-        rows = pdf.sort_values("t")
-        t = rows["t"].to_numpy()
-        h = int(entry["h"].iloc[0])
-        opened = np.full(len(t), h - debounce, dtype=np.int64)
-        at = int(np.searchsorted(t, h, side="left"))
-        while at < len(t):
-            behind = int(np.searchsorted(t, t[at] + debounce, side="left"))
-            opened[at:behind] = t[at]
-            at = behind
-        out = rows.assign(opened_at=opened).groupby("opened_at", as_index=False).agg(
-            n=("n", "sum"), overflow=("overflow", "max")
-        )
-        return out.assign(root=key[0])[["root", "opened_at", "n", "overflow"]]
-
-    return cut_block
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Re-cut sorted Arrow batches so that every frame holds complete groups."""
+    carry = None
+    for batch in batches:
+        if batch.empty:
+            continue
+        rows = batch if carry is None else pd.concat([carry, batch], ignore_index=True)
+        same = np.ones(len(rows), dtype=bool)
+        for key in keys:
+            same &= (rows[key] == rows[key].iloc[-1]).to_numpy()
+        cut = int(np.argmax(same))
+        if cut:
+            yield rows.iloc[:cut].reset_index(drop=True)
+        carry = rows.iloc[cut:].reset_index(drop=True)
+    if carry is not None:
+        yield carry
+
+
+def _number(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """0-based group number of each row; rows are sorted by ``keys``."""
+    fresh = np.zeros(len(rows), dtype=bool)
+    for key in keys:
+        column = rows[key].to_numpy()
+        fresh[1:] |= column[1:] != column[:-1]
+    return np.cumsum(fresh)
+
+
+def _starts(number: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+
+
+def _followers(number: np.ndarray, offset: np.ndarray, debounce: int, length: int) -> np.ndarray:
+    """Per tick: the first tick of its block at least ``debounce`` later, or -1."""
+    line = number * (length + debounce + 1) + offset
+    at = np.searchsorted(line, line + debounce, side="left")
+    inside = (at < len(line)) & (number[np.minimum(at, len(line) - 1)] == number)
+    return np.where(inside, at, -1)
+
+
+def _merge_steps(group: np.ndarray, due: np.ndarray) -> np.ndarray:
+    """Neighbouring entries of a group with the same exit are one step: keep its last."""
+    return np.append((due[1:] != due[:-1]) | (group[1:] != group[:-1]), True)
+
+
+def _block_steps(debounce: int, length: int):
+    """Ticks sorted by (root, block, t) → each block's step function."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_groups(batches, ["root", "block"]):
+            number, t = _number(rows, ["root", "block"]), rows["t"].to_numpy()
+            offset = t - rows["block"].to_numpy() * length
+            following = _followers(number, offset, debounce, length)
+            last = np.arange(len(t))
+            while True:
+                step = following[last]
+                if (step < 0).all():
+                    break
+                last = np.where(step >= 0, step, last)
+            # A batch opened before the block is due within one debounce of its start, so only
+            # these ticks and the first one behind them can be entered.
+            early = offset < debounce - 1
+            head = np.append(True, number[1:] != number[:-1])
+            enterable = early | head
+            enterable[1:] |= early[:-1] & ~head[1:]
+            due = (t[last] + debounce)[enterable]
+            keep = _merge_steps(number[enterable], due)
+            out = rows.loc[enterable, ["root", "block", "t"]][keep]
+            yield out.rename(columns={"t": "upto"}).assign(due=due[keep])
+
+    return run
+
+
+class _Children:
+    """Step functions of sorted (root, parent, block, upto) rows, applied block by block."""
+
+    def __init__(self, rows: pd.DataFrame, length: int):
+        self.parent = _number(rows, ["root", "parent"])
+        self.child = _number(rows, ["root", "parent", "block"])
+        self.first = _starts(self.child)
+        self.end = np.append(self.first[1:], len(rows))
+        self.block = rows["block"].to_numpy()[self.first]
+        self.of_parent = self.parent[self.first]
+        heads = _starts(self.of_parent)
+        self.rank = np.arange(len(self.first)) - np.repeat(heads, np.diff(np.append(heads, len(self.first))))
+        self.upto, self.due = rows["upto"].to_numpy(), rows["due"].to_numpy()
+        self.width = length + 1
+        self.start = self.block * length
+        self.line = self.child * self.width + (self.upto - self.start[self.child])
+
+    def at_rank(self, rank: int) -> np.ndarray:
+        """Per parent: its child of this rank, or -1."""
+        found = np.full(int(self.parent[-1]) + 1, -1)
+        chosen = np.flatnonzero(self.rank == rank)
+        found[self.of_parent[chosen]] = chosen
+        return found
+
+    def through(self, child: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Exits of entry times ``h``; an entry behind the last step passes through."""
+        offset = np.clip(h - self.start[child], 0, self.width - 1)
+        at = np.searchsorted(self.line, child * self.width + offset, side="left")
+        return np.where(at < self.end[child], self.due[np.minimum(at, len(self.due) - 1)], h)
+
+
+def _compose(length: int):
+    """Steps of blocks sorted by (root, parent, block, upto) → steps of their parents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_groups(batches, ["root", "parent"]):
+            c = _Children(rows, length)
+            rank = c.rank[c.child]
+            # Entries come within a debounce of the parent's start: into its first block or, when
+            # nothing is left there, at the first step of the second.
+            enterable = rank == 0
+            second = c.first[c.rank == 1]
+            enterable[second] = True
+            parent, h = c.parent[enterable], c.upto[enterable].copy()
+            for number in range(int(c.rank.max()) + 1):
+                child = c.at_rank(number)[parent]
+                known = child >= 0
+                h[known] = c.through(child[known], h[known])
+            keep = _merge_steps(parent, h)
+            out = rows.loc[enterable, ["root", "parent", "upto"]][keep]
+            yield out.rename(columns={"parent": "block"}).assign(due=h[keep])
+
+    return run
+
+
+def _hand_down(length: int):
+    """Steps with the parent's entry time ``h`` → the entry time of every block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_groups(batches, ["root", "parent"]):
+            c = _Children(rows, length)
+            now = rows["h"].to_numpy()[_starts(c.parent)].copy()
+            entry = np.empty(len(c.first), dtype=np.int64)
+            for number in range(int(c.rank.max()) + 1):
+                child = c.at_rank(number)
+                parent = np.flatnonzero(child >= 0)
+                entry[child[parent]] = now[parent]
+                now[parent] = c.through(child[parent], now[parent])
+            out = rows.iloc[c.first][["root", "block"]]
+            yield out.assign(h=entry)
+
+    return run
+
+
+def _cut(debounce: int, length: int):
+    """Ticks with their block's entry time ``h`` → partial batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_groups(batches, ["root", "block"]):
+            number, t = _number(rows, ["root", "block"]), rows["t"].to_numpy()
+            start = rows["block"].to_numpy() * length
+            following = _followers(number, t - start, debounce, length)
+            first = _starts(number)
+            end = np.append(first[1:], len(t))
+            h = rows["h"].to_numpy()
+            width = length + debounce + 1
+            entry = number[first] * width + np.clip(h[first] - start[first], 0, width - 1)
+            at = np.searchsorted(number * width + (t - start), entry, side="left")
+            opener = np.zeros(len(t), dtype=bool)
+            at = at[at < end]
+            while len(at):
+                opener[at] = True
+                at = following[at]
+                at = at[at >= 0]
+            seen = np.maximum.accumulate(np.where(opener, np.arange(len(t)), -1))
+            inside = (seen >= 0) & (number[np.maximum(seen, 0)] == number)
+            opened = np.where(inside, t[np.maximum(seen, 0)], h - debounce)
+            edge = _starts(number * 2 * len(t) + np.where(inside, seen + 1, 0))
+            yield pd.DataFrame({
+                "root": rows["root"].to_numpy()[edge], "opened_at": opened[edge],
+                "n": np.add.reduceat(rows["n"].to_numpy(), edge),
+                "overflow": np.logical_or.reduceat(rows["overflow"].to_numpy(), edge),
+            })
+
+    return run
+
+
+def _grouped(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Whole groups side by side in sorted partitions; many small ones share a task."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *([order] if order not in keys else []))
 
 
 def coalesce_changes(events: DataFrame, debounce_ms: int = fv.DEBOUNCE_MS) -> DataFrame:
     """``(root, kind, t)`` → ``(root, opened_at, due_at, n_events, had_overflow)``."""
-    spark = events.sparkSession
     length = _SPAN * debounce_ms
-    beats = cut_lineage(ticks(events).withColumn("block", F.floor(F.col("t") / length)))
+    beats = cut_lineage(_grouped(
+        ticks(events).withColumn("block", F.floor(F.col("t") / length)), ["root", "block"], "t"
+    ))
     low, high = beats.agg(F.min("block"), F.max("block")).first()
-    if low is None:
-        return spark.createDataFrame(
-            [], "root string, opened_at bigint, due_at bigint, n_events bigint, had_overflow boolean"
-        )
-    steps = "root string, block bigint, upto bigint, due bigint"
-    levels = [cut_lineage(
-        beats.groupBy("root", "block").applyInPandas(_block_function(debounce_ms, length), steps)
-    )]
-    reach = high - low + 1
+    levels = [cut_lineage(beats.mapInPandas(_block_steps(debounce_ms, length), _STEPS))]
+    reach, lengths = (high or 0) - (low or 0) + 1, [length]
     while reach > _FAN:
-        folded = levels[-1].withColumn("parent", F.floor(F.col("block") / _FAN))
-        levels.append(cut_lineage(folded.groupBy("root", "parent").applyInPandas(_compose, steps)))
+        parents = levels[-1].withColumn("parent", F.floor(F.col("block") / _FAN))
+        ranked = parents.repartition("root", "parent").sortWithinPartitions("root", "parent", "block", "upto")
+        levels.append(cut_lineage(ranked.mapInPandas(_compose(lengths[-1]), _STEPS)))
+        lengths.append(lengths[-1] * _FAN)
         reach = ceil(reach / _FAN) + 1
-    entries = None
+    entries = levels[-1].select("root").distinct().select(
+        "root", F.lit(0).cast("bigint").alias("parent"), F.lit(_NEVER).cast("bigint").alias("h")
+    )
     for number in range(len(levels) - 1, -1, -1):
-        level = levels[number]
-        if entries is None:
-            parents = level.withColumn("parent", F.lit(0).cast("bigint"))
-            entries = level.select("root").distinct().select(
-                "root", F.lit(0).cast("bigint").alias("block"), F.lit(_NEVER).cast("bigint").alias("h")
-            )
-        else:
-            parents = level.withColumn("parent", F.floor(F.col("block") / _FAN))
-        entries = (
-            entries.withColumnRenamed("block", "parent").groupBy("root", "parent")
-            .cogroup(parents.groupBy("root", "parent"))
-            .applyInPandas(_hand_down, "root string, block bigint, h bigint")
-        )
-    pieces = entries.groupBy("root", "block").cogroup(beats.groupBy("root", "block")).applyInPandas(
-        _cut(debounce_ms), "root string, opened_at bigint, n bigint, overflow boolean"
+        top = number == len(levels) - 1
+        parent = F.lit(0).cast("bigint") if top else F.floor(F.col("block") / _FAN)
+        steps = levels[number].withColumn("parent", parent).join(entries, ["root", "parent"])
+        ranked = steps.repartition("root", "parent").sortWithinPartitions("root", "parent", "block", "upto")
+        entries = ranked.mapInPandas(_hand_down(lengths[number]), "root string, block bigint, h bigint")
+        if number:
+            entries = entries.withColumnRenamed("block", "parent")
+    timed = _grouped(beats.join(entries, ["root", "block"]), ["root", "block"], "t")
+    pieces = timed.mapInPandas(
+        _cut(debounce_ms, length), "root string, opened_at bigint, n bigint, overflow boolean"
     )
     return pieces.groupBy("root", "opened_at").agg(
         F.sum("n").alias("n_events"), F.max("overflow").alias("had_overflow")
