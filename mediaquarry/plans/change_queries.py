@@ -54,7 +54,9 @@ def pair_renames(t):
     return rules.pair_renames(_events(t), _TIMEOUT)
 
 
-@query(f"""WITH {_RUNS} SELECT root, rename_cookie, last_at AS waiting_since FROM runs WHERE halves % 2 = 1 AND 1706000000000 - last_at >= {_TIMEOUT}""")
+@query(f"""WITH {_RUNS} SELECT runs.root, rename_cookie, last_at AS waiting_since FROM runs
+LEFT JOIN (SELECT root, epoch - 1 AS epoch, t AS dropped_at FROM ep WHERE kind = 'overflow') o ON o.root = runs.root AND o.epoch = runs.epoch
+WHERE halves % 2 = 1 AND 1706000000000 - last_at >= {_TIMEOUT} AND (dropped_at IS NULL OR dropped_at >= last_at + {_TIMEOUT})""")
 def expired_halves(t):
     return rules.expired_halves(_events(t), 1_706_000_000_000, _TIMEOUT)
 

@@ -272,9 +272,13 @@ def rename_runs(events: DataFrame, timeout_ms: int = fv.RENAME_TIMEOUT_MS) -> Da
     """Rename halves of one (root, cookie, epoch) with no gap of ``timeout`` as one run.
 
     Halves toggle in arrival order — a waiting half and the next one make a pair, whichever kinds
-    they are — so a run of n halves makes n // 2 pairs and an odd last half expires.
+    they are — so a run of n halves makes n // 2 pairs and an odd last half waits on.
     """
-    halves = overflow_epochs(events).where(
+    return _runs(overflow_epochs(events), timeout_ms)
+
+
+def _runs(events: DataFrame, timeout_ms: int) -> DataFrame:
+    halves = events.where(
         "kind IN ('renamedFrom', 'renamedTo') AND rename_cookie <> 0"
     ).select("root", "rename_cookie", "epoch", "t", "seq")
     keys = ["root", "rename_cookie", "epoch"]
@@ -301,9 +305,17 @@ def pair_renames(events: DataFrame, timeout_ms: int = fv.RENAME_TIMEOUT_MS) -> D
 
 
 def expired_halves(events: DataFrame, now_ms: int, timeout_ms: int = fv.RENAME_TIMEOUT_MS) -> DataFrame:
-    """Unpaired halves that have waited ``timeout`` by ``now``."""
-    return rename_runs(events, timeout_ms).where(
-        (F.col("halves") % 2 == 1) & (F.lit(now_ms) - F.col("last_at") >= timeout_ms)
+    """Unpaired halves that have waited ``timeout`` by ``now``; one that an overflow dropped before
+    that did not expire."""
+    staged = overflow_epochs(events)
+    ends = staged.where("kind = 'overflow'").select(
+        "root", (F.col("epoch") - 1).alias("epoch"), F.col("t").alias("dropped_at")
+    )
+    expires = F.col("last_at") + timeout_ms
+    return _runs(staged, timeout_ms).where(
+        (F.col("halves") % 2 == 1) & (expires <= now_ms)
+    ).join(ends, ["root", "epoch"], "left").where(
+        F.col("dropped_at").isNull() | (F.col("dropped_at") >= expires)
     ).select("root", "rename_cookie", F.col("last_at").alias("waiting_since"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fixed_values as fv
@@ -21,13 +21,6 @@ BATCH = "root string, opened_at bigint, due_at bigint, n_events bigint, had_over
 PAIR = "root string, rename_cookie bigint, first_at bigint, paired_at bigint"
 
 
-def _due_again(handle: StatefulProcessorHandle, at: int) -> None:
-    for timer in handle.listTimers():
-        if timer[0] == at:
-            return
-    handle.registerTimer(at)
-
-
 class Coalescer(StatefulProcessor):
     """One open debounce batch per root."""
 
@@ -71,7 +64,7 @@ class Coalescer(StatefulProcessor):
         else:
             self.open.update((int(now[0]), int(now[1]), bool(now[2])))
         if now is not None or later:
-            _due_again(self.handle, (now[0] if now is not None else later[0]) + self.debounce)
+            self.handle.registerTimer((now[0] if now is not None else later[0]) + self.debounce)
         return pd.DataFrame({
             "root": [key[0]] * len(done), "opened_at": [b[0] for b in done],
             "due_at": [b[0] + self.debounce for b in done], "n_events": [b[1] for b in done],
@@ -130,7 +123,7 @@ class RenamePairer(StatefulProcessor):
         wake = [later + 1] if later is not None else []
         wake += [min(halves.values()) + self.timeout] if halves else []
         if wake:
-            _due_again(self.handle, min(wake))
+            self.handle.registerTimer(min(wake))
         return pd.DataFrame(pairs, columns=["root", "rename_cookie", "first_at", "paired_at"])
 
     def close(self) -> None:
@@ -144,6 +137,11 @@ def _timed(events: DataFrame, delay: str) -> DataFrame:
     )
 
 
+def _only(events: DataFrame, wanted: Column) -> DataFrame:
+    """A filter above the watermark: the rows it drops still move event time forward."""
+    return events.where(F.when(F.col("event_time").isNotNull(), wanted).otherwise(False))
+
+
 def coalesce_stream(
     events: DataFrame, debounce_ms: int = fv.DEBOUNCE_MS, delay: str = "10 seconds"
 ) -> DataFrame:
@@ -171,9 +169,8 @@ def rename_stream(
     events: DataFrame, timeout_ms: int = fv.RENAME_TIMEOUT_MS, delay: str = "10 seconds"
 ) -> DataFrame:
     """Stream of rename pairs; ``seq`` breaks ties between events of one millisecond."""
-    halves = _timed(events, delay).where(
-        "kind = 'overflow' OR (kind IN ('renamedFrom', 'renamedTo') AND rename_cookie <> 0)"
-    )
+    half = F.col("kind").isin("renamedFrom", "renamedTo") & (F.col("rename_cookie") != 0)
+    halves = _only(_timed(events, delay), half | (F.col("kind") == "overflow"))
     return halves.groupBy("root").transformWithStateInPandas(
         statefulProcessor=RenamePairer(timeout_ms), outputStructType=PAIR, outputMode="append",
         timeMode="eventTime",
@@ -188,8 +185,9 @@ def rename_join_stream(
     Cheaper than the stateful form and spread by cookie, for sources that never reuse a cookie
     and report no overflow.
     """
-    timed = _timed(events, delay).where("rename_cookie <> 0")
-    side = lambda kind, mark: timed.where(F.col("kind") == kind).select(
+    timed = _timed(events, delay)
+    half = lambda kind: (F.col("kind") == kind) & (F.col("rename_cookie") != 0)
+    side = lambda kind, mark: _only(timed, half(kind)).select(
         F.col("root").alias(f"{mark}_root"), F.col("rename_cookie").alias(f"{mark}_cookie"),
         F.col("path").alias(f"{mark}_path"), F.col("t").alias(f"{mark}_t"),
         F.col("event_time").alias(f"{mark}_time"),
