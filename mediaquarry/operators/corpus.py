@@ -41,7 +41,7 @@ def scan_text_corpus(spark: SparkSession, root: str) -> DataFrame:
     Spark's file index skips dot-files; add ``scan_listing`` rows for those two names if needed.
     """
     base = root.rstrip("/") + "/"
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(base).select(
+    files = spark.read.text(base, wholetext=True, recursiveFileLookup=True).select(
         F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/*", "/").alias("full"),
         F.col("value").alias("text"),
     )

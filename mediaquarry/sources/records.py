@@ -122,11 +122,9 @@ def scan_records(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     Hidden names, so the dot-named library descriptor too, are skipped by the file index.
     Listing order is a sort on ``id`` by whoever needs it.
     """
-    files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json").text(folder)
-        .select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("record_file"))
-    )
+    files = spark.read.text(
+        folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json"
+    ).select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("record_file"))
     parsed = parse_records(files)
     good = parsed.where("problem IS NULL").drop("problem", "json", "record_file")
     bad = parsed.where("problem IS NOT NULL").select("record_file", "problem")
@@ -157,27 +155,27 @@ def record_json():
     )
     body = F.to_json(F.struct(
         F.lit(schemas.RECORD_SCHEMA_VERSION).alias("schemaVersion"), "id",
-        F.col("fingerprint.algorithm").alias("fingerprintAlgorithm"),
-        F.col("fingerprint.digest").alias("fingerprintDigest"),
+        _text(F.col("fingerprint.algorithm")).alias("fingerprintAlgorithm"),
+        _text(F.col("fingerprint.digest")).alias("fingerprintDigest"),
         F.struct(
-            i["absolute_path"].alias("absolutePath"), i["volume_id"].alias("volumeId"),
-            i["file_id"].alias("fileId"), i["size_bytes"].alias("sizeBytes"),
+            _text(i["absolute_path"]).alias("absolutePath"), _text(i["volume_id"]).alias("volumeId"),
+            _text(i["file_id"]).alias("fileId"), i["size_bytes"].alias("sizeBytes"),
             iso_ms_text(i["last_modified_ms"]).alias("lastModified"),
         ).alias("identity"),
-        F.col("original_storage").alias("originalStorage"),
-        F.col("managed_original_path").alias("managedOriginalPath"),
+        _text(F.col("original_storage")).alias("originalStorage"),
+        _text(F.col("managed_original_path")).alias("managedOriginalPath"),
         F.struct(
-            m["kind"].alias("kind"), m["file_name"].alias("fileName"), m["folder_path"].alias("folderPath"),
+            _text(m["kind"]).alias("kind"), _text(m["file_name"]).alias("fileName"), _text(m["folder_path"]).alias("folderPath"),
             F.struct(
                 F.coalesce(iso(m["capture_time"]["wall_clock"]), F.lit("")).alias("wallClock"),
                 m["capture_time"]["utc_offset_seconds"].alias("utcOffsetSeconds"),
             ).alias("captureTime"),
-            m["capture_time_origin"].alias("captureTimeOrigin"),
-            m["camera_make"].alias("cameraMake"), m["camera_model"].alias("cameraModel"),
-            m["lens_model"].alias("lensModel"), m["pixel_width"].alias("pixelWidth"),
+            _text(m["capture_time_origin"]).alias("captureTimeOrigin"),
+            _text(m["camera_make"]).alias("cameraMake"), _text(m["camera_model"]).alias("cameraModel"),
+            _text(m["lens_model"]).alias("lensModel"), m["pixel_width"].alias("pixelWidth"),
             m["pixel_height"].alias("pixelHeight"), m["rotation_degrees"].alias("rotationDegrees"),
             m["duration_ms"].alias("durationMs"), m["has_audio"].alias("hasAudio"),
-            location.alias("location"), m["rating"].alias("rating"), m["caption"].alias("caption"),
+            location.alias("location"), m["rating"].alias("rating"), _text(m["caption"]).alias("caption"),
             m["tags"].alias("tags"),
             F.transform(m["conflicts"], lambda c: F.struct(
                 c["field"].alias("field"), c["preferred_origin"].alias("preferredOrigin"),
