@@ -7,7 +7,10 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 _MARKS = r"[\u0300-\u0331]"
+_BREAK = r"[^\p{L}\p{N}\p{Co}]+"
 _RUN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\u0300-\u0331]*"
 
 
@@ -26,15 +29,20 @@ ACCENTED, PLAIN = _accent_table()
 
 
 def fold_text(text: Column) -> Column:
-    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), _MARKS, "")
+    """Lower case without accents; plain ASCII skips the per-character work."""
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.when(
+        low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(low, ACCENTED, PLAIN), _MARKS, "")
+    ).otherwise(low))
 
 
 def tokenize(text: Column) -> Column:
     """``array<string>`` in reading order; an unbroken CJK run is one token."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_RUN), F.lit(0))
-    folded = F.translate(F.array_join(runs, " "), ACCENTED, PLAIN)
-    joined = F.regexp_replace(folded, _MARKS, "")
-    return F.when(F.size(runs) == 0, F.array().cast("array<string>")).otherwise(F.split(joined, " "))
+    return F.array_remove(F.split(fold_text(text), _BREAK), "")
+
+
+def token_count(text: Column) -> Column:
+    """``size(tokenize(text))`` without building the tokens: folding joins and splits no run."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_RUN))
 
 
 def query_terms(query: str) -> list[list[str]]:

@@ -44,13 +44,20 @@ def ordered_positions(df: DataFrame, order: list[Column], name: str = "pos") ->
 
 
 def grouped_positions(
-    df: DataFrame, group: list[str], order: list[Column], name: str = "pos"
+    df: DataFrame, group: list[str], order: list[Column], name: str = "pos",
+    largest_sorted_group: int = 1_000_000,
 ) -> DataFrame:
     """Adds the 0-based position of each row inside its group.
 
-    A group holding a third of all rows still spans many partitions: its rows are numbered
-    globally and the group's first position is subtracted.
+    When every group is known to be small, a window numbers them in one shuffle. A group above
+    the limit — one digest may hold a third of all rows — is numbered globally instead: its rows
+    span many partitions and the group's first position is subtracted. ``df`` is read twice, so
+    hand in rows whose lineage is cut.
     """
+    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= largest_sorted_group:
+        inside = W.partitionBy(*group).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(inside).cast("bigint") - 1)
     everywhere = ordered_positions(df, [*[F.col(g) for g in group], *order], "_at")
     first = everywhere.groupBy(*group).agg(F.min("_at").alias("_first"))
     joined = everywhere.join(first, group)

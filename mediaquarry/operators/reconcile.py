@@ -50,21 +50,30 @@ def needs_fingerprint(files: DataFrame, records: DataFrame) -> DataFrame:
     return compare_with_known(files, records).where("stage = 'pending'").select("path")
 
 
-def match_moves(new_files: DataFrame, vanished: DataFrame) -> DataFrame:
+def match_moves(
+    new_files: DataFrame, vanished: DataFrame, largest_sorted_group: int = 1_000_000
+) -> DataFrame:
     """``(path, id)``: new files that take over a vanished record of equal content.
 
-    The n-th file of a digest in walking order takes the n-th record in id order. Digests present
-    on one side only are dropped before ranking, and a hot digest (empty files, say) is numbered
-    over many tasks; the join is one to one on (digest, n).
+    The n-th file of a digest in walking order takes the n-th record in id order. Rows whose
+    digest is on one side only are dropped first, which in a steady state leaves almost nothing;
+    both sides are numbered in one pass and joined one to one on (digest, n).
     """
-    shared = new_files.select("digest").distinct().join(
-        vanished.select("digest").distinct(), "digest", "left_semi"
+    gone = vanished.select(
+        "digest", F.lit(False).alias("is_file"), F.lit(None).cast("string").alias("path"), "id"
+    )
+    fresh = new_files.select(
+        "digest", F.lit(True).alias("is_file"), "path", F.lit(None).cast("string").alias("id")
+    )
+    both = fresh.unionByName(gone)
+    sides = both.groupBy("digest").agg(F.min("is_file").alias("a"), F.max("is_file").alias("b"))
+    shared = cut_lineage(both.join(sides.where("a <> b").select("digest"), "digest", "left_semi"))
+    numbered = grouped_positions(
+        shared, ["digest", "is_file"], [path_order(F.col("path")), F.col("id")], "n",
+        largest_sorted_group,
     )
-    files = new_files.select("path", "digest").join(shared, "digest", "left_semi")
-    olds = vanished.select("id", "digest").join(shared, "digest", "left_semi")
-    left = grouped_positions(files, ["digest"], [path_order(F.col("path"))], "n")
-    right = grouped_positions(olds, ["digest"], [F.col("id")], "n")
-    return left.join(right, ["digest", "n"]).select("path", "id")
+    files = numbered.where("is_file").select("digest", "n", "path")
+    return files.join(numbered.where("NOT is_file").select("digest", "n", "id"), ["digest", "n"]).select("path", "id")
 
 
 def reconcile(

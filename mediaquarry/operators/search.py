@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import query_terms, tokenize
+from ..functions.text import query_terms, token_count, tokenize
 
 
 def media_tokens(media: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def media_lengths(media: DataFrame) -> DataFrame:
     """Tokens per row over both fields; a row without tokens counts with 0."""
     return media.select(
         "id",
-        (F.size(tokenize(F.col("caption"))) + F.size(tokenize(F.col("file_name")))).alias("length"),
+        (token_count(F.col("caption")) + token_count(F.col("file_name"))).alias("length"),
     )
 
 

@@ -23,7 +23,17 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out an input that comes in fewer pieces than there are cores.
+
+    One Parquet row group is one task, however many cores wait. Large inputs have more pieces
+    than cores and are left alone: no shuffle is added where it would cost anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def _key(column: str = "doc_id", mark: str = "m") -> Column:
