@@ -94,37 +94,37 @@ def _warnings(blocks: Column) -> Column:
     return F.transform(F.filter(blocks, lambda b: b["kind"] == "warning"), lambda b: b["text"])
 
 
-def extract_metadata(
-    files: DataFrame, sidecars: DataFrame, listed_sidecars: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """``(metadata rows, problem rows)`` of ``files(path, content, last_modified_ms)``.
+class Extraction:
+    """Metadata of ``files(path, content, last_modified_ms)`` with their sidecars.
 
     ``sidecars(path, content)`` are the readable ones; ``listed_sidecars(path)`` may name more,
-    and those become warnings. A broken file gives a problem row and never fails the job.
+    and those become warnings. The bytes are decoded once per result asked for.
     """
-    listed = sidecars.select("path") if listed_sidecars is None else listed_sidecars.select("path")
-    raw = read_containers(files)
-    dated = files.select("path", "last_modified_ms")
-    side = read_sidecars(sidecars).select(
-        F.col("path").alias("sidecar_path"), F.col("blocks").alias("side_blocks"),
-        F.lit(True).alias("side_read"),
-    )
-    joined = attach_sidecar(raw, listed).join(side, "sidecar_path", "left").join(dated, "path")
-    packet = F.get(F.filter("side_blocks", lambda b: (b["kind"] == "xmp") & b["ok"]), F.lit(0))
-    fields = joined.withColumn(
-        "embedded", embedded_fields(F.col("container"), F.col("blocks"))
-    ).withColumn(
-        "sidecar", F.when(packet.isNotNull(), interpret_xmp(packet["props"]))
-    )
-    good = fields.where("container <> 'unknown' AND damaged IS NULL").select(
-        "path",
-        resolved_metadata(
-            F.col("embedded"), F.col("sidecar"), F.col("path"),
-            kind_from_signature(F.col("container")), F.col("last_modified_ms"),
-        ).alias("metadata"),
-        packet.isNotNull().alias("used_sidecar"),
-    )
-    return good, extraction_errors(joined)
+
+    def __init__(self, files: DataFrame, sidecars: DataFrame, listed_sidecars: DataFrame | None = None):
+        listed = sidecars if listed_sidecars is None else listed_sidecars
+        raw = read_containers(files.select("path", "content", "last_modified_ms"))
+        side = read_sidecars(sidecars).select(
+            F.col("path").alias("sidecar_path"), F.col("blocks").alias("side_blocks"),
+            F.lit(True).alias("side_read"),
+        )
+        self.blocks = attach_sidecar(raw, listed.select("path")).join(side, "sidecar_path", "left")
+
+    def metadata(self) -> DataFrame:
+        """``(path, metadata, used_sidecar)`` of every readable file."""
+        packet = F.get(F.filter("side_blocks", lambda b: (b["kind"] == "xmp") & b["ok"]), F.lit(0))
+        return self.blocks.where("container <> 'unknown' AND damaged IS NULL").select(
+            "path",
+            resolved_metadata(
+                embedded_fields(F.col("container"), F.col("blocks")),
+                let(packet, lambda b: F.when(b.isNotNull(), interpret_xmp(b["props"]))),
+                F.col("path"), kind_from_signature(F.col("container")), F.col("last_modified_ms"),
+            ).alias("metadata"),
+            packet.isNotNull().alias("used_sidecar"),
+        )
+
+    def problems(self) -> DataFrame:
+        return extraction_errors(self.blocks)
 
 
 def extraction_errors(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -34,44 +36,92 @@ def commit_staged(committed: DataFrame, staged: DataFrame, tombstones: DataFrame
     return committed.join(touched, "id", "left_anti").unionByName(staged)
 
 
-def publish_version(table: DataFrame, base: str, token: str = "") -> str:
-    """Write a new version folder, then swap the pointer: readers see all of it or none."""
+# --- committed versions ---------------------------------------------------------------------
+#
+# A version is a small manifest: one base folder and the deltas committed since. A commit writes
+# only its own rows, so its cost follows the change and not the table; reading lays the deltas
+# over the base. Every few commits the deltas are folded into a new base.
+
+MAX_DELTAS = 16
+
+
+def _write_manifest(spark: SparkSession, root: str, base: str, deltas: list[str], token: str) -> str:
     version = f"version-{uuid.uuid4().hex}"
-    table.write.parquet(f"{base}/{version}")
-    write_pointer(table.sparkSession, base, version, token)
+    line = json.dumps({"base": base, "deltas": deltas, "token": token})
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{root}/manifests/{version}")
+    write_pointer(spark, root, version, token)
     return version
 
 
-def read_version(spark: SparkSession, base: str, version: str | None = None) -> DataFrame:
+def _manifest(spark: SparkSession, root: str, version: str | None) -> dict | None:
     if version is None:
-        pointer = read_pointer(spark, base)
+        pointer = read_pointer(spark, root)
         if pointer is None:
-            raise FileNotFoundError(f"nothing committed under {base}")
+            return None
         version = pointer[0]
-    return spark.read.parquet(f"{base}/{version}")
+    return json.loads(spark.read.text(f"{root}/manifests/{version}").first()[0])
+
+
+def publish_version(table: DataFrame, root: str, token: str = "") -> str:
+    """Write the whole table as a new base, then swap the pointer: readers see all of it or none."""
+    base = f"base-{uuid.uuid4().hex}"
+    table.write.parquet(f"{root}/{base}")
+    return _write_manifest(table.sparkSession, root, base, [], token)
+
+
+def read_version(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
+    """The committed rows. The base is only filtered by the changed ids, which are few."""
+    manifest = _manifest(spark, root, version)
+    if manifest is None:
+        raise FileNotFoundError(f"nothing committed under {root}")
+    base = spark.read.parquet(f"{root}/{manifest['base']}")
+    if not manifest["deltas"]:
+        return base
+    layers = [
+        spark.read.parquet(f"{root}/{folder}").withColumn("_seq", F.lit(number))
+        for number, folder in enumerate(manifest["deltas"])
+    ]
+    changes = last_per_id(reduce(DataFrame.unionByName, layers), "_seq")
+    kept = changes.where("NOT _deleted").select(base.columns)
+    return base.join(changes.select("id"), "id", "left_anti").unionByName(kept)
 
 
 def commit(
-    spark: SparkSession, base: str, staged: DataFrame, tombstones: DataFrame, token: str = ""
+    spark: SparkSession, root: str, staged: DataFrame, tombstones: DataFrame,
+    token: str | None = "",
 ) -> str:
-    """Commit onto the current version. An empty commit is a conflict, not a new version."""
-    if staged.isEmpty() and tombstones.isEmpty():
+    """Commit staged rows and tombstones onto the current version; ``token=None`` keeps the token.
+
+    An empty commit is a conflict, not a new version. A row in both survives as staged.
+    """
+    gone = tombstones.select("id").join(staged.select("id"), "id", "left_anti")
+    empty = [
+        F.lit(None).cast(field.dataType).alias(field.name) for field in staged.schema if field.name != "id"
+    ]
+    delta = staged.withColumn("_deleted", F.lit(False)).unionByName(
+        gone.select("id", *empty, F.lit(True).alias("_deleted"))
+    )
+    folder = f"delta-{uuid.uuid4().hex}"
+    delta.write.parquet(f"{root}/{folder}")
+    if spark.read.parquet(f"{root}/{folder}").isEmpty():
         raise Conflict("There are no staged changes to commit.")
-    pointer = read_pointer(spark, base)
-    current = staged.limit(0) if pointer is None else read_version(spark, base, pointer[0])
-    return publish_version(commit_staged(current, staged, tombstones), base, token)
+    now = _manifest(spark, root, None)
+    if now is None:
+        first = spark.read.parquet(f"{root}/{folder}").where("NOT _deleted").drop("_deleted")
+        return publish_version(first, root, token or "")
+    token = now["token"] if token is None else token
+    version = _write_manifest(spark, root, now["base"], [*now["deltas"], folder], token)
+    if len(now["deltas"]) + 1 >= MAX_DELTAS:
+        version = publish_version(read_version(spark, root, version), root, token)
+    return version
 
 
-def restore(spark: SparkSession, base: str, version: str) -> None:
+def restore(spark: SparkSession, root: str, version: str) -> None:
     """Point back at an earlier version; staged rows live elsewhere and are simply dropped."""
-    if not _exists(spark, f"{base}/{version}/_SUCCESS"):
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifests/{version}")
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         raise FileNotFoundError(version)
-    write_pointer(spark, base, version, "")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    write_pointer(spark, root, version, _manifest(spark, root, version)["token"])
 
 
 # --- edits ----------------------------------------------------------------------------------

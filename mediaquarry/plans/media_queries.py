@@ -209,8 +209,8 @@ def _seen(metadata: Column) -> list[Column]:
 FROM m WHERE k < 5""")
 def extract_metadata(t):
     """Bytes → blocks → fields → sidecars → resolved metadata, end to end."""
-    good, _ = resolve.extract_metadata(files(t).drop("doc_id"), sidecars(t).drop("doc_id"))
-    return good.select("path", *_seen(F.col("metadata")))
+    found = resolve.Extraction(files(t), sidecars(t)).metadata()
+    return found.select("path", *_seen(F.col("metadata")))
 
 
 @query(f"""WITH {_FACTS}, p AS (SELECT path, 'error' AS severity, 'unsupportedMedia' AS code FROM m WHERE k = 5
@@ -219,7 +219,7 @@ def extract_metadata(t):
   UNION ALL SELECT path, 'warning', 'corruptData' FROM m WHERE k < 5 AND doc_id % 27 = 0)
 SELECT path, severity, code, count(*) AS n FROM p GROUP BY ALL""")
 def extraction_errors(t):
-    _, problems = resolve.extract_metadata(files(t).drop("doc_id"), sidecars(t).drop("doc_id"))
+    problems = resolve.Extraction(files(t), sidecars(t)).problems()
     return problems.groupBy("path", "severity", "code").agg(F.count("*").alias("n"))
 
 

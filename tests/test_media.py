@@ -60,8 +60,9 @@ def extract(spark, files, sidecars=(), listed=None):
     rows = spark.createDataFrame([(p, c, 1_000) for p, c in files], FILES)
     side = spark.createDataFrame([(p, c) for p, c in sidecars], "path string, content binary")
     names = None if listed is None else spark.createDataFrame([(p,) for p in listed], "path string")
-    good, bad = resolve.extract_metadata(rows, side, names)
-    return {r.path: r.metadata for r in good.collect()}, sorted((r.path, r.severity, r.code) for r in bad.collect())
+    found = resolve.Extraction(rows, side, names)
+    bad = sorted((r.path, r.severity, r.code) for r in found.problems().collect())
+    return {r.path: r.metadata for r in found.metadata().collect()}, bad
 
 
 def test_signatures(spark):
