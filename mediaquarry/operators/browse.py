@@ -196,10 +196,7 @@ def is_insertion_only(diff: DataFrame) -> DataFrame:
     kept = diff.where("change = 'kept'").select("id", "old_pos", "new_pos")
     was = ordered_positions(kept, [F.col("old_pos")], "was")
     now = ordered_positions(kept, [F.col("new_pos")], "now")
-    moved = was.select("id", "was").join(now.select("id", "now"), "id").agg(
+    gone = diff.agg(F.count_if(F.col("change") == "removed")).scalar()
+    return was.select("id", "was").join(now.select("id", "now"), "id").agg(
         F.count_if(F.col("was") != F.col("now")).alias("moved")
-    )
-    gone = diff.agg(F.count_if(F.col("change") == "removed").alias("gone"))
-    return moved.crossJoin(F.broadcast(gone)).select(
-        ((F.col("moved") == 0) & (F.col("gone") == 0)).alias("insertion_only")
-    )
+    ).select(((F.col("moved") == 0) & (gone == 0)).alias("insertion_only"))

@@ -168,7 +168,7 @@ def scan_summary(outcomes: DataFrame, warnings: DataFrame | None = None) -> Data
     )
     if warnings is None:
         return counts
-    return counts.crossJoin(F.broadcast(warnings.agg(F.count("*").alias("warnings"))))
+    return counts.withColumn("warnings", warnings.agg(F.count("*")).scalar())
 
 
 def scan_warnings(outcomes: DataFrame, hashed: DataFrame) -> DataFrame:

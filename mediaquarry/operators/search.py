@@ -88,19 +88,21 @@ def search(tokens: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
         F.sum(F.when(F.col("phrase") == n, F.col("hits")).otherwise(0)).alias(f"f{n}")
         for n in numbers
     ])
-    # One row each: corpus size and mean length, and how many rows hold each phrase.
-    corpus = lengths.agg(F.count("*").alias("rows"), F.avg("length").alias("mean_length"))
-    spread = rows.agg(*[F.count_if(F.col(f"f{n}") > 0).alias(f"n{n}") for n in numbers])
+    # Scalar subqueries: corpus size and mean length, and how many rows hold each phrase.
+    corpus = lengths.agg(F.struct(
+        F.count("*").alias("rows"), F.avg("length").alias("mean_length")
+    )).scalar()
+    spread = rows.agg(F.struct(*[F.count_if(F.col(f"f{n}") > 0).alias(f"n{n}") for n in numbers])).scalar()
     every = reduce(Column.__and__, [F.col(f"f{n}") > 0 for n in numbers])
-    scored = rows.where(every).crossJoin(F.broadcast(corpus)).crossJoin(F.broadcast(spread))
+    scored = rows.where(every)
     k1, b = fv.BM25_K1, fv.BM25_B
     total = F.lit(0.0)
     for n, weight in enumerate(weights):
-        holders = F.col(f"n{n}")
-        idf = F.log((F.col("rows") - holders + 0.5) / (holders + 0.5))
+        holders = spread[f"n{n}"]
+        idf = F.log((corpus["rows"] - holders + 0.5) / (holders + 0.5))
         idf = F.when(idf <= 0, fv.BM25_IDF_FLOOR).otherwise(idf)
         f = F.col(f"f{n}")
-        damp = k1 * (1 - b + b * F.col("length") / F.col("mean_length"))
+        damp = k1 * (1 - b + b * F.col("length") / corpus["mean_length"])
         total = total + weight * idf * (f * (k1 + 1)) / (f + damp)
     return scored.select("id", (-total).alias("score"))
 

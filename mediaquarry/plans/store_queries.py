@@ -69,15 +69,13 @@ def build_projection(t):
 def state_token(t):
     r = adapters.records(t)
     edited = r.withColumn("original_storage", F.when(_d() == 1, "edited").otherwise(F.col("original_storage")))
-    token = lambda df, name: projection.state_token(df).withColumnRenamed("state_token", name)
-    plain, moved = token(r, "plain"), token(r.repartition(7, "id"), "moved")
-    changed, doubled = token(edited, "changed"), token(r.unionByName(r.where(_d() == 1)), "doubled")
-    row = plain.crossJoin(F.broadcast(moved)).crossJoin(F.broadcast(changed)).crossJoin(F.broadcast(doubled))
-    return row.select(
-        (F.col("plain") == F.col("moved")).alias("reordered_is_same"),
-        (F.col("plain") != F.col("changed")).alias("edited_differs"),
-        (F.col("plain") != F.col("doubled")).alias("doubled_differs"),
-        F.split_part("plain", F.lit(":"), F.lit(1)).cast("bigint").alias("records"),
+    doubled = r.unionByName(r.where(_d() == 1))
+    token = lambda df: projection.state_token(df).scalar()
+    return projection.state_token(r).select(
+        (F.col("state_token") == token(r.repartition(7, "id"))).alias("reordered_is_same"),
+        (F.col("state_token") != token(edited)).alias("edited_differs"),
+        (F.col("state_token") != token(doubled)).alias("doubled_differs"),
+        F.split_part("state_token", F.lit(":"), F.lit(1)).cast("bigint").alias("records"),
     )
 
 

@@ -85,4 +85,10 @@ RECORD_JSON_KEYS = [
     "schemaVersion", "id", "fingerprintAlgorithm", "fingerprintDigest", "identity",
     "originalStorage", "managedOriginalPath", "metadata", "recipe", "derivative",
 ]
+METADATA_JSON_KEYS = [
+    "kind", "fileName", "folderPath", "captureTime", "captureTimeOrigin", "cameraMake",
+    "cameraModel", "lensModel", "pixelWidth", "pixelHeight", "rotationDegrees", "durationMs",
+    "hasAudio", "location", "rating", "caption", "tags", "conflicts",
+]
+RECIPE_JSON_KEYS = ["revision", "operations"]
 RECORD_SCHEMA_VERSION = 2

@@ -112,7 +112,19 @@ def parse_records(texts: DataFrame, column: str = "json") -> DataFrame:
             ).alias("operations"),
         ).alias("recipe"),
         derivative.alias("derivative"),
-        split_unknown_fields(raw, schemas.RECORD_JSON_KEYS).alias("extras"),
+        F.map_concat(
+            split_unknown_fields(raw, schemas.RECORD_JSON_KEYS),
+            _nested_unknown(raw, "metadata", schemas.METADATA_JSON_KEYS),
+            _nested_unknown(raw, "recipe", schemas.RECIPE_JSON_KEYS),
+        ).alias("extras"),
+    )
+
+
+def _nested_unknown(raw, member: str, known: list[str]):
+    """Unknown members of a nested object, keyed ``member/name``."""
+    inner = F.coalesce(F.get_json_object(raw, f"$.{member}"), F.lit("{}"))
+    return F.transform_keys(
+        split_unknown_fields(inner, known), lambda k, _: F.concat(F.lit(f"{member}/"), k)
     )
 
 
@@ -142,15 +154,36 @@ def record_json():
             m["location"]["altitude_metres"].alias("altitudeMetres"),
         ),
     )
+    metadata = F.to_json(F.struct(
+        _text(m["kind"]).alias("kind"), _text(m["file_name"]).alias("fileName"),
+        _text(m["folder_path"]).alias("folderPath"),
+        F.struct(
+            F.coalesce(iso(m["capture_time"]["wall_clock"]), F.lit("")).alias("wallClock"),
+            m["capture_time"]["utc_offset_seconds"].alias("utcOffsetSeconds"),
+        ).alias("captureTime"),
+        _text(m["capture_time_origin"]).alias("captureTimeOrigin"),
+        _text(m["camera_make"]).alias("cameraMake"), _text(m["camera_model"]).alias("cameraModel"),
+        _text(m["lens_model"]).alias("lensModel"), m["pixel_width"].alias("pixelWidth"),
+        m["pixel_height"].alias("pixelHeight"), m["rotation_degrees"].alias("rotationDegrees"),
+        m["duration_ms"].alias("durationMs"), m["has_audio"].alias("hasAudio"),
+        location.alias("location"), m["rating"].alias("rating"), _text(m["caption"]).alias("caption"),
+        m["tags"].alias("tags"),
+        F.transform(m["conflicts"], lambda c: F.struct(
+            c["field"].alias("field"), c["preferred_origin"].alias("preferredOrigin"),
+            c["conflicting_origin"].alias("conflictingOrigin"),
+            c["preferred_value"].alias("preferredValue"),
+            c["conflicting_value"].alias("conflictingValue"),
+        )).alias("conflicts"),
+    ))
     operations = F.transform(
         F.col("recipe.operations"),
         lambda o: F.concat(
-            F.lit('{"kind":'), F.regexp_extract(F.to_json(F.struct(o["kind"].alias("k"))), r'^\{"k":(.*)\}$', 1),
-            F.lit(',"parameters":'), F.coalesce(o["parameters"], F.lit("{}")), F.lit("}"),
+            F.lit('{"kind":'), _quoted(o["kind"]), F.lit(',"parameters":'),
+            F.coalesce(o["parameters"], F.lit("{}")), F.lit("}"),
         ),
     )
     recipe = F.concat(
-        F.lit('"recipe":{"revision":'), F.col("recipe.revision").cast("string"),
+        F.lit('{"revision":'), F.col("recipe.revision").cast("string"),
         F.lit(',"operations":['), F.array_join(operations, ","), F.lit("]}"),
     )
     body = F.to_json(F.struct(
@@ -164,44 +197,44 @@ def record_json():
         ).alias("identity"),
         _text(F.col("original_storage")).alias("originalStorage"),
         _text(F.col("managed_original_path")).alias("managedOriginalPath"),
-        F.struct(
-            _text(m["kind"]).alias("kind"), _text(m["file_name"]).alias("fileName"), _text(m["folder_path"]).alias("folderPath"),
-            F.struct(
-                F.coalesce(iso(m["capture_time"]["wall_clock"]), F.lit("")).alias("wallClock"),
-                m["capture_time"]["utc_offset_seconds"].alias("utcOffsetSeconds"),
-            ).alias("captureTime"),
-            _text(m["capture_time_origin"]).alias("captureTimeOrigin"),
-            _text(m["camera_make"]).alias("cameraMake"), _text(m["camera_model"]).alias("cameraModel"),
-            _text(m["lens_model"]).alias("lensModel"), m["pixel_width"].alias("pixelWidth"),
-            m["pixel_height"].alias("pixelHeight"), m["rotation_degrees"].alias("rotationDegrees"),
-            m["duration_ms"].alias("durationMs"), m["has_audio"].alias("hasAudio"),
-            location.alias("location"), m["rating"].alias("rating"), _text(m["caption"]).alias("caption"),
-            m["tags"].alias("tags"),
-            F.transform(m["conflicts"], lambda c: F.struct(
-                c["field"].alias("field"), c["preferred_origin"].alias("preferredOrigin"),
-                c["conflicting_origin"].alias("conflictingOrigin"),
-                c["preferred_value"].alias("preferredValue"),
-                c["conflicting_value"].alias("conflictingValue"),
-            )).alias("conflicts"),
-        ).alias("metadata"),
         F.when(F.col("derivative").isNotNull(), F.struct(
             F.col("derivative.source_media_id").alias("sourceMediaId"),
             F.col("derivative.recipe_revision").alias("recipeRevision"),
             F.col("derivative.kind").alias("kind"),
         )).alias("derivative"),
     ))
-    members = F.transform(
-        F.map_entries(F.coalesce(F.col("extras"), F.create_map().cast("map<string,string>"))),
-        lambda e: F.concat(
-            F.regexp_extract(F.to_json(F.struct(e["key"].alias("k"))), r'^\{"k":(.*)\}$', 1), F.lit(":"),
-            # Nested values and numbers are JSON text already; bare words were strings.
-            F.when(F.try_parse_json(e["value"]).isNotNull(), e["value"]).otherwise(
-                F.regexp_extract(F.to_json(F.struct(e["value"].alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
-            ),
-        ),
+    nested = F.concat(
+        F.lit(',"metadata":'), _with_members(metadata, _members("metadata/")),
+        F.lit(',"recipe":'), _with_members(recipe, _members("recipe/")), F.lit("}"),
     )
-    tail = F.array_join(F.concat(F.array(recipe), members), ",")
-    return F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(","), tail, F.lit("}"))
+    whole = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), nested)
+    return _with_members(whole, _members(""))
+
+
+def _quoted(text):
+    """A string as a JSON literal."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+
+
+def _members(prefix: str):
+    """Preserved unknown members of one level as ``"name":value`` texts."""
+    entries = F.map_entries(F.coalesce(F.col("extras"), F.create_map().cast("map<string,string>")))
+    here = F.filter(entries, lambda e: (
+        e["key"].startswith(prefix) if prefix else ~e["key"].rlike("^(metadata|recipe)/")
+    ))
+    return F.transform(here, lambda e: F.concat(
+        _quoted(F.substring(e["key"], F.lit(len(prefix) + 1), F.length(e["key"]))), F.lit(":"),
+        # Nested values and numbers are JSON text already; bare words were strings.
+        F.when(F.try_parse_json(e["value"]).isNotNull(), e["value"]).otherwise(_quoted(e["value"])),
+    ))
+
+
+def _with_members(json_object, members):
+    """Append members to an object that is not empty."""
+    return F.when(F.size(members) == 0, json_object).otherwise(F.concat(
+        F.substring(json_object, F.lit(1), F.length(json_object) - 1), F.lit(","),
+        F.array_join(members, ","), F.lit("}"),
+    ))
 
 
 def write_records(records: DataFrame, folder: str) -> None:

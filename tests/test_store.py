@@ -145,6 +145,21 @@ def test_legacy_defaults(spark):
     assert row.extras == {"later": '{"x":[1]}'} and row.problem is None
 
 
+def test_unknown_members_survive_at_every_level(spark):
+    text = (
+        '{"id":"a","later":{"x":[1]},"word":"7 up","metadata":{"caption":"c","mood":"calm","n":[1,{"a":"b"}]},'
+        '"recipe":{"revision":3,"operations":[{"kind":"new","parameters":{"p":"q"}}],"hint":5}}'
+    )
+    rows = files.parse_records(spark.createDataFrame([(text,)], "json string")).drop("problem", "json")
+    again = files.parse_records(rows.select(files.record_json().alias("json"))).first()
+    want = {
+        "later": '{"x":[1]}', "word": "7 up", "metadata/mood": "calm", "metadata/n": '[1,{"a":"b"}]', "recipe/hint": "5",
+    }
+    assert again.extras == want == rows.first().extras
+    assert (again.recipe.revision, again.recipe.operations[0].kind) == (3, "new")
+    assert again.recipe.operations[0].parameters == '{"p":"q"}'
+
+
 # --- versions, requests, cache ----------------------------------------------------------------
 
 
