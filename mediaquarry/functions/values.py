@@ -159,11 +159,24 @@ def has_permission(library_valid: Column, local_user: Column, user: Column) -> C
     return F.coalesce(library_valid & (user != "") & (user == local_user), F.lit(False))
 
 
+def is_json_object(text: Column) -> Column:
+    """Exactly one JSON object and nothing behind it.
+
+    The parsers stop at the end of the first value, so the text is read inside an array and inside
+    an object: trailing text breaks one of the two.
+    """
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    inside = F.json_object_keys(F.concat(F.lit('{"r":'), text, F.lit("}"))).isNotNull()
+    return F.coalesce(text.rlike(r"^\s*\{") & alone & inside, F.lit(False))
+
+
 def split_unknown_fields(json_text: Column, known: list[str]) -> Column:
-    """Members a build does not know, each kept as its JSON text."""
+    """Members a build does not know, each kept as the JSON text of its value."""
     keep = F.array(*[F.lit(k) for k in [*known, "schemaVersion"]])
-    members = F.from_json(json_text, "map<string,string>")
-    return F.map_filter(members, lambda k, v: ~F.array_contains(keep, k))
+    members = F.map_filter(
+        F.from_json(json_text, "map<string,variant>"), lambda k, v: ~F.array_contains(keep, k)
+    )
+    return F.transform_values(members, lambda k, v: F.to_json(v))
 
 
 def merge_unknown_fields(known: Column, unknown: Column) -> Column:
@@ -179,10 +192,7 @@ def provenance(message: Column, prefix: str) -> Column:
     parsed = F.from_json(
         body, "message string, authorId string, applicationVersion string, parentId string"
     )
-    is_object = F.coalesce(
-        message.startswith(prefix) & F.try_parse_json(body).isNotNull() & body.rlike(r"^\s*\{"),
-        F.lit(False),
-    )
+    is_object = F.coalesce(message.startswith(prefix), F.lit(False)) & is_json_object(body)
     text = lambda c: F.coalesce(c, F.lit(""))
     return F.struct(
         F.when(is_object, text(parsed["message"])).otherwise(message).alias("message"),

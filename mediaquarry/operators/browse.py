@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed_values as fv
 from ..functions.capture import from_wall_clock_ms, iso_text
 from ..functions.paths import original_path
+from ..functions.values import is_json_object
 from .ordering import ordered_positions
 
 
@@ -81,10 +82,7 @@ def by_id(media: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select(
         "id",
         F.when(F.col("record_json").isNull(), "notFound")
-        .when(
-            F.try_parse_json("record_json").isNull() | ~F.col("record_json").rlike(r"^\s*\{"),
-            "corruptData",
-        ).otherwise("none").alias("error"),
+        .when(~is_json_object(F.col("record_json")), "corruptData").otherwise("none").alias("error"),
         "record_json",
     )
 

@@ -45,7 +45,7 @@ def scan_records(t):
         F.coalesce(wall_clock_ms(F.col("metadata.capture_time.wall_clock")), F.lit(-1)).alias("wall_ms"),
         F.coalesce("identity.last_modified_ms", F.lit(-1)).alias("last_modified_ms"),
         F.size("recipe.operations").alias("operations"),
-        F.coalesce(F.col("extras")["x-lang"], F.lit("")).alias("extra"),
+        F.coalesce(F.get_json_object(F.col("extras")["x-lang"], "$.lang"), F.lit("")).alias("extra"),
         F.when(good, F.col("metadata.kind")).otherwise("").alias("kind"),
     )
 

@@ -120,7 +120,7 @@ def records(t: Tables) -> DataFrame:
             (d % 3 - 1).cast("int").alias("recipe_revision"),
             F.when(d % 20 == 0, "export").otherwise("").alias("kind"),
         )).alias("derivative"),
-        F.when(d % 3 == 0, F.create_map(F.lit("x-lang"), F.col("lang")))
+        F.when(d % 3 == 0, F.create_map(F.lit("x-lang"), F.to_json(F.struct("lang"))))
         .otherwise(F.create_map().cast("map<string,string>")).alias("extras"),
     )
 

@@ -8,7 +8,7 @@ from .. import schemas
 from ..functions.capture import iso_ms_text, parse_iso, wall_clock_ms
 from ..functions.paths import record_file_name, shard_for
 from ..functions.values import (
-    decode_media_kind, decode_origin, split_unknown_fields,
+    decode_media_kind, decode_origin, is_json_object, split_unknown_fields,
 )
 
 
@@ -33,7 +33,7 @@ def parse_records(texts: DataFrame, column: str = "json") -> DataFrame:
     does not know are kept in ``extras``.
     """
     raw = F.col(column)
-    is_object = F.coalesce(F.try_parse_json(raw).isNotNull() & raw.rlike(r"^\s*\{"), F.lit(False))
+    is_object = is_json_object(raw)
     # Edit parameters stay JSON text, so the recipe is read as text too.
     r = F.from_json(raw, schemas.RECORD_JSON)
     parsed = texts.withColumn("_r", F.when(is_object, r)).withColumn("_ok", is_object)
@@ -224,8 +224,7 @@ def _members(prefix: str):
     ))
     return F.transform(here, lambda e: F.concat(
         _quoted(F.substring(e["key"], F.lit(len(prefix) + 1), F.length(e["key"]))), F.lit(":"),
-        # Nested values and numbers are JSON text already; bare words were strings.
-        F.when(F.try_parse_json(e["value"]).isNotNull(), e["value"]).otherwise(_quoted(e["value"])),
+        e["value"],
     ))
 
 
