@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import requests
+from ..operators import requests, versions
+from ..session import shared_dir
 from ..sources import adapters
-from ..streaming import coalesce as rules
+from ..streaming import coalesce as rules, live
 from . import base_sql as q
 from .registry import query
 
@@ -106,3 +109,44 @@ def sweep_due(t):
         F.max(F.when(F.col("kind") == "created", F.col("t"))).alias("last_reconcile_ms")
     )
     return rules.sweep_due(last, 1_706_500_000_000, _SWEEP).select("root", "due")
+
+
+# --- the same rules as streams ----------------------------------------------------------------
+
+_DELAY_MS = 3_600_000
+
+
+def _target(t, name):
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {_BATCHES} SELECT * FROM batch WHERE due_at <= (SELECT max(t) FROM ev) - {_DELAY_MS}""")
+def coalesce_stream(t):
+    """Batches that are due behind the watermark, found by the streaming job."""
+    events = adapters.change_events(t.stream("events"))
+    return live.run_available(live.coalesce_stream(events, _DEBOUNCE, "1 hour"), _target(t, "batches"))
+
+
+@query(f"""WITH {_RUNS} SELECT root, rename_cookie, CAST(sum(pairs) AS BIGINT) AS pairs FROM (
+  SELECT root, rename_cookie, run, epoch, count(*) // 2 AS pairs FROM sg WHERE t < (SELECT max(t) FROM ev) - {_DELAY_MS} GROUP BY ALL)
+GROUP BY 1, 2 HAVING sum(pairs) > 0""")
+def rename_stream(t):
+    events = adapters.change_events(t.stream("events"))
+    found = live.run_available(live.rename_stream(events, _TIMEOUT, "1 hour"), _target(t, "pairs"))
+    return found.groupBy("root", "rename_cookie").agg(F.count("*").alias("pairs"))
+
+
+@query("""SELECT 'm' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id, text, CAST(1 AS INTEGER) AS version FROM documents""")
+def progressive_apply(t):
+    """Scan batches upserted as they arrive, then the visible table read back."""
+    root = _target(t, "progressive")
+    rows = lambda df, n: df.select(
+        F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id"), "text", F.lit(n).alias("version")
+    )
+    versions.publish_version(rows(t.documents, 0), root, "token")
+    query_ = (
+        rows(t.stream("documents"), 1).writeStream.foreachBatch(live.progressive_apply(root))
+        .option("checkpointLocation", f"{root}-state").trigger(availableNow=True).start()
+    )
+    query_.awaitTermination()
+    return versions.read_version(t.spark, root)

@@ -26,6 +26,12 @@ class Tables:
         return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
 
+    def stream(self, name: str) -> DataFrame:
+        """One table as a file stream."""
+        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out an input that comes in fewer pieces than there are cores.
 
@@ -130,12 +136,16 @@ def media(t: Tables) -> DataFrame:
 
 
 def events(t: Tables) -> DataFrame:
+    return change_events(t.events)
+
+
+def change_events(events: DataFrame) -> DataFrame:
     """``events`` as change events: the user is the root, an error an overflow."""
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in {
         "signup": "created", "click": "modified", "view": "renamedFrom", "purchase": "renamedTo",
         "error": "overflow",
     }.items() for x in kv]), F.col("event_type"))
-    return t.events.select(
+    return events.select(
         F.concat(F.lit("/roots/"), F.col("user_id").cast("string")).alias("root"), kind.alias("kind"),
         F.concat(F.lit("/roots/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string")).alias("path"),
         (F.get_json_object("props", "$.k").cast("bigint") % 5).alias("rename_cookie"),

@@ -142,6 +142,24 @@ def _only(events: DataFrame, wanted: Column) -> DataFrame:
     return events.where(F.when(F.col("event_time").isNotNull(), wanted).otherwise(False))
 
 
+def run_available(stream: DataFrame, target: str) -> DataFrame:
+    """Run a stream over everything there is into Parquet files below ``target`` and read them."""
+    query = (
+        stream.writeStream.format("parquet").outputMode("append").option("path", f"{target}/rows")
+        .option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{target}/rows")
+
+
+def _keyed_state(events: DataFrame) -> None:
+    """Map and timer state needs the RocksDB store."""
+    events.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
 def coalesce_stream(
     events: DataFrame, debounce_ms: int = fv.DEBOUNCE_MS, delay: str = "10 seconds"
 ) -> DataFrame:
@@ -150,6 +168,7 @@ def coalesce_stream(
     The first aggregation, on (root, millisecond), spreads a hot root over all tasks; the chain
     per root then sees at most one row per millisecond.
     """
+    _keyed_state(events)
     beats = (
         _timed(events, delay)
         .groupBy("root", F.window("event_time", "1 millisecond").alias("w"))
@@ -169,6 +188,7 @@ def rename_stream(
     events: DataFrame, timeout_ms: int = fv.RENAME_TIMEOUT_MS, delay: str = "10 seconds"
 ) -> DataFrame:
     """Stream of rename pairs; ``seq`` breaks ties between events of one millisecond."""
+    _keyed_state(events)
     half = F.col("kind").isin("renamedFrom", "renamedTo") & (F.col("rename_cookie") != 0)
     halves = _only(_timed(events, delay), half | (F.col("kind") == "overflow"))
     return halves.groupBy("root").transformWithStateInPandas(
