@@ -34,7 +34,14 @@ def capture_to_utc(wall: Column, offset_seconds: Column) -> Column:
 
 
 def iso_text(wall: Column) -> Column:
-    return F.coalesce(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+    """``yyyy-MM-ddTHH:mm:ss``, or empty. Formatting by pattern would go through the session zone."""
+    return F.coalesce(F.replace(F.substring(wall.cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit(""))
+
+
+def iso_with_ms(wall: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss.SSS``, or empty."""
+    fraction = F.substring(F.rpad(F.substring(wall.cast("string"), 21, 6), 3, "0"), 1, 3)
+    return F.when(wall.isNotNull(), F.concat(iso_text(wall), F.lit("."), fraction)).otherwise("")
 
 
 def _two(number: Column) -> Column:
@@ -54,8 +61,10 @@ def describe_capture(wall: Column, offset_seconds: Column) -> Column:
 
 
 def iso_ms_text(ms: Column) -> Column:
-    stamp = F.date_format(from_wall_clock_ms(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS")
-    return F.coalesce(F.concat(stamp, F.lit("Z")), F.lit(""))
+    """An instant in milliseconds as ISO text in UTC, or empty."""
+    return F.when(
+        ms.isNotNull(), F.concat(iso_with_ms(from_wall_clock_ms(ms)), F.lit("Z"))
+    ).otherwise("")
 
 
 def parse_iso(text: Column) -> Column:

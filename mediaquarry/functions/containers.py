@@ -79,7 +79,7 @@ def _positive_int(value: Column) -> Column:
 
 
 # Name → (directory, tag number) of every entry the rules read.
-_EXIF_TAGS = {
+EXIF_TAGS = {
     "make": ("ifd0", fv.TAG_MAKE), "model": ("ifd0", fv.TAG_MODEL),
     "orientation": ("ifd0", fv.TAG_ORIENTATION), "changed": ("ifd0", fv.TAG_DATE_TIME),
     "width": ("ifd0", fv.TAG_WIDTH), "height": ("ifd0", fv.TAG_HEIGHT),
@@ -93,7 +93,7 @@ _EXIF_TAGS = {
 
 def interpret_exif(tags: Column) -> Column:
     """One EXIF block's tag list → struct of fields; an absent field is NULL."""
-    entries = F.struct(*[tag_of(tags, *where).alias(name) for name, where in _EXIF_TAGS.items()])
+    entries = F.struct(*[tag_of(tags, *where).alias(name) for name, where in EXIF_TAGS.items()])
     return let(entries, _exif_fields)
 
 

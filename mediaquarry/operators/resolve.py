@@ -10,7 +10,9 @@ from ..functions.containers import CAPTURE_TYPE, embedded_fields, interpret_xmp
 from ..functions.paths import base_name, kind_from_extension, parent_dir, sidecar_candidates
 from ..functions.signature import kind_from_signature
 from ..functions.values import normalize_metadata
-from ..sources.containers import read_containers, read_sidecars
+from ..sources.containers import (
+    read_container_files, read_containers, read_heads, read_sidecars,
+)
 
 
 def attach_sidecar(media: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -95,20 +97,36 @@ def _warnings(blocks: Column) -> Column:
 
 
 class Extraction:
-    """Metadata of ``files(path, content, last_modified_ms)`` with their sidecars.
+    """Metadata and problems of decoded files with their sidecars.
 
-    ``sidecars(path, content)`` are the readable ones; ``listed_sidecars(path)`` may name more,
-    and those become warnings. The bytes are decoded once per result asked for.
+    ``raw`` is ``(path, last_modified_ms, container, damaged, blocks)``; ``side`` the decoded
+    readable sidecars; ``listed(path)`` may name more sidecars, and those become warnings. The
+    bytes are decoded once per result asked for.
     """
 
-    def __init__(self, files: DataFrame, sidecars: DataFrame, listed_sidecars: DataFrame | None = None):
-        listed = sidecars if listed_sidecars is None else listed_sidecars
-        raw = read_containers(files.select("path", "content", "last_modified_ms"))
-        side = read_sidecars(sidecars).select(
+    def __init__(self, raw: DataFrame, side: DataFrame, listed: DataFrame):
+        packets = side.select(
             F.col("path").alias("sidecar_path"), F.col("blocks").alias("side_blocks"),
             F.lit(True).alias("side_read"),
         )
-        self.blocks = attach_sidecar(raw, listed.select("path")).join(side, "sidecar_path", "left")
+        self.blocks = attach_sidecar(raw, listed.select("path")).join(packets, "sidecar_path", "left")
+
+    @classmethod
+    def of_bytes(
+        cls, files: DataFrame, sidecars: DataFrame, listed: DataFrame | None = None
+    ) -> Extraction:
+        """From ``files(path, content, last_modified_ms)`` and ``sidecars(path, content)``."""
+        raw = read_containers(files.select("path", "content", "last_modified_ms"))
+        return cls(raw, read_sidecars(sidecars), sidecars if listed is None else listed)
+
+    @classmethod
+    def of_files(cls, files: DataFrame, listed: DataFrame) -> Extraction:
+        """From ``files(path, last_modified_ms)`` and ``listed(path)`` that executors can open."""
+        raw = read_container_files(read_heads(files.select("path", "last_modified_ms")))
+        mine = attach_sidecar(files.select("path"), listed).where("sidecar_path IS NOT NULL")
+        packets = mine.select(F.col("sidecar_path").alias("path"), F.lit("xmp").alias("container"))
+        side = read_container_files(packets.distinct()).where("damaged IS NULL")
+        return cls(raw, side, listed)
 
     def metadata(self) -> DataFrame:
         """``(path, metadata, used_sidecar)`` of every readable file."""

@@ -209,7 +209,7 @@ def _seen(metadata: Column) -> list[Column]:
 FROM m WHERE k < 5""")
 def extract_metadata(t):
     """Bytes → blocks → fields → sidecars → resolved metadata, end to end."""
-    found = resolve.Extraction(files(t), sidecars(t)).metadata()
+    found = resolve.Extraction.of_bytes(files(t), sidecars(t)).metadata()
     return found.select("path", *_seen(F.col("metadata")))
 
 
@@ -219,7 +219,7 @@ def extract_metadata(t):
   UNION ALL SELECT path, 'warning', 'corruptData' FROM m WHERE k < 5 AND doc_id % 27 = 0)
 SELECT path, severity, code, count(*) AS n FROM p GROUP BY ALL""")
 def extraction_errors(t):
-    problems = resolve.Extraction(files(t), sidecars(t)).problems()
+    problems = resolve.Extraction.of_bytes(files(t), sidecars(t)).problems()
     return problems.groupBy("path", "severity", "code").agg(F.count("*").alias("n"))
 
 

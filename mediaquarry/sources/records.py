@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..functions.capture import iso_ms_text, parse_iso, wall_clock_ms
+from ..functions.capture import iso_ms_text, iso_with_ms, parse_iso, wall_clock_ms
 from ..functions.paths import record_file_name, shard_for
 from ..functions.values import (
     decode_media_kind, decode_origin, is_json_object, split_unknown_fields,
@@ -146,7 +146,6 @@ def scan_records(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 def record_json():
     """Record columns → the JSON text of a record file; unknown members are written back."""
     m, i = F.col("metadata"), F.col("identity")
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS")
     location = F.when(
         m["location"].isNotNull(),
         F.struct(
@@ -158,7 +157,7 @@ def record_json():
         _text(m["kind"]).alias("kind"), _text(m["file_name"]).alias("fileName"),
         _text(m["folder_path"]).alias("folderPath"),
         F.struct(
-            F.coalesce(iso(m["capture_time"]["wall_clock"]), F.lit("")).alias("wallClock"),
+            iso_with_ms(m["capture_time"]["wall_clock"]).alias("wallClock"),
             m["capture_time"]["utc_offset_seconds"].alias("utcOffsetSeconds"),
         ).alias("captureTime"),
         _text(m["capture_time_origin"]).alias("captureTimeOrigin"),

@@ -60,7 +60,7 @@ def extract(spark, files, sidecars=(), listed=None):
     rows = spark.createDataFrame([(p, c, 1_000) for p, c in files], FILES)
     side = spark.createDataFrame([(p, c) for p, c in sidecars], "path string, content binary")
     names = None if listed is None else spark.createDataFrame([(p,) for p in listed], "path string")
-    found = resolve.Extraction(rows, side, names)
+    found = resolve.Extraction.of_bytes(rows, side, names)
     bad = sorted((r.path, r.severity, r.code) for r in found.problems().collect())
     return {r.path: r.metadata for r in found.metadata().collect()}, bad
 
@@ -192,6 +192,11 @@ def test_wall_clock_key_ignores_offset_and_session_zone(spark):
                 capture.capture_sort_key(F.expr("CAST(NULL AS TIMESTAMP_NTZ)")).alias("none"),
             ).first()
             assert (row.gap, row.none) == (1_615_689_000_123, -(1 << 63))
+            gap = F.expr("TIMESTAMP_NTZ'2021-03-14 02:30:00.12'")
+            texts = spark.range(1).select(
+                capture.iso_with_ms(gap), capture.iso_ms_text(F.lit(1_615_689_000_123)), capture.describe_capture(gap, F.lit(-1800))
+            ).first()
+            assert tuple(texts) == ("2021-03-14T02:30:00.120", "2021-03-14T02:30:00.123Z", "2021-03-14T02:30:00 -00:30")
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
 
