@@ -172,11 +172,14 @@ def is_json_object(text: Column) -> Column:
 
 def split_unknown_fields(json_text: Column, known: list[str]) -> Column:
     """Members a build does not know, each kept as the JSON text of its value."""
+    return unknown_members(F.from_json(json_text, "map<string,variant>"), known)
+
+
+def unknown_members(members: Column, known: list[str]) -> Column:
+    """The same on members already parsed to ``map<string,variant>``."""
     keep = F.array(*[F.lit(k) for k in [*known, "schemaVersion"]])
-    members = F.map_filter(
-        F.from_json(json_text, "map<string,variant>"), lambda k, v: ~F.array_contains(keep, k)
-    )
-    return F.transform_values(members, lambda k, v: F.to_json(v))
+    unknown = F.map_filter(members, lambda k, v: ~F.array_contains(keep, k))
+    return F.transform_values(unknown, lambda k, v: F.to_json(v))
 
 
 def merge_unknown_fields(known: Column, unknown: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import query_terms, token_count, tokenize
+from ..session import cut_lineage
 
 
 def media_tokens(media: DataFrame) -> DataFrame:
@@ -84,10 +85,11 @@ def search(tokens: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
     distinct = [list(p) for p in dict.fromkeys(tuple(p) for p in phrases)]
     weights = [sum(1 for p in phrases if p == d) for d in distinct]
     numbers = range(len(distinct))
-    rows = phrase_hits(tokens, distinct).groupBy("id", "length").agg(*[
+    # One narrow row per matching item, read for the phrase statistics and for the scores.
+    rows = cut_lineage(phrase_hits(tokens, distinct).groupBy("id", "length").agg(*[
         F.sum(F.when(F.col("phrase") == n, F.col("hits")).otherwise(0)).alias(f"f{n}")
         for n in numbers
-    ])
+    ]))
     # Scalar subqueries: corpus size and mean length, and how many rows hold each phrase.
     corpus = lengths.agg(F.struct(
         F.count("*").alias("rows"), F.avg("length").alias("mean_length")

@@ -92,6 +92,7 @@ def _heif(d: Column) -> Column:
     )
 
 
+@adapters.view
 def files(t):
     """``documents`` as media files of six kinds; the whole text is their payload."""
     d = F.col("doc_id")
@@ -115,6 +116,7 @@ def _escape(text: Column) -> Column:
     return text
 
 
+@adapters.view
 def sidecars(t):
     """XMP sidecars of every third document, under the appended or the replaced name."""
     d = F.col("doc_id")

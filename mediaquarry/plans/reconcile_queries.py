@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.values import fingerprint_cache_key
 from ..operators import reconcile as rec
-from ..sources import listing
+from ..sources import adapters, listing
 from . import base_sql as q
 from .registry import query
 
 
+@adapters.view
 def _names(t):
     d = F.col("doc_id")
     ext = F.element_at(F.array(*[F.lit(e) for e in (".jpg", ".mp4", ".txt", ".PNG")]), (d % 4 + 1).cast("int"))
@@ -22,6 +23,7 @@ def _names(t):
     )
 
 
+@adapters.view
 def files(t):
     """What is on disk now; some files moved, changed, stopped being media or cannot be read."""
     d = F.col("doc_id")
@@ -36,6 +38,7 @@ def files(t):
     )
 
 
+@adapters.view
 def stored(t):
     """What the catalogue knows; some paths carry a second record."""
     d = F.col("doc_id")
@@ -49,6 +52,7 @@ def stored(t):
     )
 
 
+@adapters.view
 def hashed(t):
     """Digests of exactly the files the first stage asks for."""
     on_disk = files(t)

@@ -20,7 +20,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or fn.__name__
         if key in QUERIES:
             raise ValueError(f"query {key} is registered twice")
-        QUERIES[key] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[key] = lambda spark, folder: fn(Tables.of(spark, folder))
         if sql is not None:
             ORACLES[key] = sql
         return fn

@@ -6,6 +6,10 @@ derivations are plain arithmetic on keys; the reference results restate them in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
@@ -13,18 +17,37 @@ from ..functions.capture import from_wall_clock_ms, wall_clock_ms
 from ..functions.paths import kind_from_extension, managed_path
 from ..operators.projection import flatten_media
 
+T = TypeVar("T")
 _EXT = [".JPG", ".png", ".jpeg", ".HEIC", ".mp4", ".MOV", ".tif", ".m2ts", ".gif", "", ".txt", ".tar.gz", "."]
 
 
 class Tables:
-    """Lazy access to one folder of the supplied parquet tables."""
+    """Lazy access to one folder of the supplied parquet tables.
+
+    Plans are kept, not data: a view asked for twice is analysed once.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._plans = spark, folder, {}
 
-    def __getattr__(self, name: str) -> DataFrame:
-        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+    @classmethod
+    def of(cls, spark: SparkSession, folder: str) -> Tables:
+        key = (spark.sparkContext.applicationId, id(spark), folder)
+        if key not in _OPEN:
+            _OPEN[key] = cls(spark, folder)
+        return _OPEN[key]
+
+    def plan(self, name: str, build: Callable[[Tables], T]) -> T:
+        if name not in self._plans:
+            self._plans[name] = build(self)
+        return self._plans[name]
 
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self.plan(
+            f"table {name}", lambda t: spread(t.spark.read.parquet(f"{t.folder}/{name}.parquet"))
+        )
 
     def stream(self, name: str) -> DataFrame:
         """One table as a file stream."""
@@ -32,6 +55,14 @@ class Tables:
         return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
 
+_OPEN: dict[tuple, Tables] = {}
+
+
+def view(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """A derived table whose plan is built once per folder."""
+    return lambda t: t.plan(f"{build.__module__}.{build.__name__}", build)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out an input that comes in fewer pieces than there are cores.
 
@@ -53,6 +84,7 @@ def document_file_name(doc: Column) -> Column:
     return F.concat(dot, stem, (doc % 997).cast("string"), ext)
 
 
+@view
 def records(t: Tables) -> DataFrame:
     """``documents`` as catalogue records: the text is the caption, its hash the fingerprint."""
     d = F.col("doc_id")
@@ -131,10 +163,12 @@ def records(t: Tables) -> DataFrame:
     )
 
 
+@view
 def media(t: Tables) -> DataFrame:
     return flatten_media(records(t))
 
 
+@view
 def events(t: Tables) -> DataFrame:
     return change_events(t.events)
 
@@ -154,6 +188,7 @@ def change_events(events: DataFrame) -> DataFrame:
     )
 
 
+@view
 def work_requests(t: Tables) -> DataFrame:
     """``events`` as the request table: some pending, some running or ended."""
     e, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
@@ -172,6 +207,7 @@ def work_requests(t: Tables) -> DataFrame:
     )
 
 
+@view
 def cache_entries(t: Tables) -> DataFrame:
     """``lineitem`` as render-cache entries, many sharing a write time."""
     key = F.concat(

@@ -8,7 +8,7 @@ from .. import schemas
 from ..functions.capture import iso_ms_text, iso_with_ms, parse_iso, wall_clock_ms
 from ..functions.paths import record_file_name, shard_for
 from ..functions.values import (
-    decode_media_kind, decode_origin, is_json_object, split_unknown_fields,
+    decode_media_kind, decode_origin, is_json_object, unknown_members,
 )
 
 
@@ -36,7 +36,9 @@ def parse_records(texts: DataFrame, column: str = "json") -> DataFrame:
     is_object = is_json_object(raw)
     # Edit parameters stay JSON text, so the recipe is read as text too.
     r = F.from_json(raw, schemas.RECORD_JSON)
-    parsed = texts.withColumn("_r", F.when(is_object, r)).withColumn("_ok", is_object)
+    parsed = texts.withColumn("_ok", is_object).select(
+        "*", F.when(F.col("_ok"), r).alias("_r"), F.when(F.col("_ok"), F.try_parse_json(raw)).alias("_v")
+    )
     m, i, rec = F.col("_r.metadata"), F.col("_r.identity"), F.col("_r")
     wall = parse_iso(m["captureTime"]["wallClock"])["wall_clock"]
     modified = parse_iso(i["lastModified"])["wall_clock"]
@@ -113,18 +115,22 @@ def parse_records(texts: DataFrame, column: str = "json") -> DataFrame:
         ).alias("recipe"),
         derivative.alias("derivative"),
         F.map_concat(
-            split_unknown_fields(raw, schemas.RECORD_JSON_KEYS),
-            _nested_unknown(raw, "metadata", schemas.METADATA_JSON_KEYS),
-            _nested_unknown(raw, "recipe", schemas.RECIPE_JSON_KEYS),
+            unknown_members(_object("$"), schemas.RECORD_JSON_KEYS),
+            _nested_unknown("metadata", schemas.METADATA_JSON_KEYS),
+            _nested_unknown("recipe", schemas.RECIPE_JSON_KEYS),
         ).alias("extras"),
     )
 
 
-def _nested_unknown(raw, member: str, known: list[str]):
+def _object(path: str):
+    members = F.try_variant_get(F.col("_v"), path, "map<string,variant>")
+    return F.coalesce(members, F.create_map().cast("map<string,variant>"))
+
+
+def _nested_unknown(member: str, known: list[str]):
     """Unknown members of a nested object, keyed ``member/name``."""
-    inner = F.coalesce(F.get_json_object(raw, f"$.{member}"), F.lit("{}"))
     return F.transform_keys(
-        split_unknown_fields(inner, known), lambda k, _: F.concat(F.lit(f"{member}/"), k)
+        unknown_members(_object(f"$.{member}"), known), lambda k, _: F.concat(F.lit(f"{member}/"), k)
     )
 
 

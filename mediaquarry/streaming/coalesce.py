@@ -274,13 +274,19 @@ def rename_runs(events: DataFrame, timeout_ms: int = fv.RENAME_TIMEOUT_MS) -> Da
     Halves toggle in arrival order — a waiting half and the next one make a pair, whichever kinds
     they are — so a run of n halves makes n // 2 pairs and an odd last half waits on.
     """
-    return _runs(overflow_epochs(events), timeout_ms)
+    return _runs(overflow_epochs(_rename_events(events)), timeout_ms)
+
+
+def _rename_events(events: DataFrame) -> DataFrame:
+    """The events that matter to pairing, narrowed before anything is sorted."""
+    half = F.col("kind").isin("renamedFrom", "renamedTo") & (F.col("rename_cookie") != 0)
+    return events.where(half | (F.col("kind") == "overflow")).select(
+        "root", "kind", "rename_cookie", "t", "seq"
+    )
 
 
 def _runs(events: DataFrame, timeout_ms: int) -> DataFrame:
-    halves = events.where(
-        "kind IN ('renamedFrom', 'renamedTo') AND rename_cookie <> 0"
-    ).select("root", "rename_cookie", "epoch", "t", "seq")
+    halves = events.where("kind <> 'overflow'").drop("kind")
     keys = ["root", "rename_cookie", "epoch"]
 
     def starts(previous, current):
@@ -307,7 +313,7 @@ def pair_renames(events: DataFrame, timeout_ms: int = fv.RENAME_TIMEOUT_MS) -> D
 def expired_halves(events: DataFrame, now_ms: int, timeout_ms: int = fv.RENAME_TIMEOUT_MS) -> DataFrame:
     """Unpaired halves that have waited ``timeout`` by ``now``; one that an overflow dropped before
     that did not expire."""
-    staged = overflow_epochs(events)
+    staged = overflow_epochs(_rename_events(events))
     ends = staged.where("kind = 'overflow'").select(
         "root", (F.col("epoch") - 1).alias("epoch"), F.col("t").alias("dropped_at")
     )

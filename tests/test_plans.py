@@ -70,7 +70,7 @@ def test_positions_have_no_single_task_over_the_rows(spark):
             assert "_part" in line
 
 
-EAGER = {"build_projection", "restore_version", "save_edits", "progressive_apply", "coalesce_stream", "rename_stream"}
+EAGER = {"build_projection", "search_indexed", "search_indexed_phrase", "capture_page_indexed", "restore_version", "save_edits", "progressive_apply", "coalesce_stream", "rename_stream"}
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - EAGER))
