@@ -11,7 +11,7 @@ from ..functions.paths import base_name, kind_from_extension, parent_dir, sideca
 from ..functions.signature import kind_from_signature
 from ..functions.values import normalize_metadata
 from ..sources.containers import (
-    read_container_files, read_containers, read_heads, read_sidecars,
+    read_container_files, read_containers, read_heads, read_sidecar_files, read_sidecars,
 )
 
 
@@ -99,34 +99,39 @@ def _warnings(blocks: Column) -> Column:
 class Extraction:
     """Metadata and problems of decoded files with their sidecars.
 
-    ``raw`` is ``(path, last_modified_ms, container, damaged, blocks)``; ``side`` the decoded
-    readable sidecars; ``listed(path)`` may name more sidecars, and those become warnings. The
-    bytes are decoded once per result asked for.
+    ``blocks`` is ``(path, last_modified_ms, container, damaged, blocks, sidecar_path,
+    side_blocks)``; a listed sidecar without ``side_blocks`` could not be read. The bytes are
+    decoded once per result asked for.
     """
 
-    def __init__(self, raw: DataFrame, side: DataFrame, listed: DataFrame):
-        packets = side.select(
-            F.col("path").alias("sidecar_path"), F.col("blocks").alias("side_blocks"),
-            F.lit(True).alias("side_read"),
-        )
-        self.blocks = attach_sidecar(raw, listed.select("path")).join(packets, "sidecar_path", "left")
+    def __init__(self, blocks: DataFrame):
+        self.blocks = blocks
 
     @classmethod
     def of_bytes(
         cls, files: DataFrame, sidecars: DataFrame, listed: DataFrame | None = None
     ) -> Extraction:
-        """From ``files(path, content, last_modified_ms)`` and ``sidecars(path, content)``."""
+        """From ``files(path, content, last_modified_ms)`` and readable ``sidecars(path, content)``.
+
+        ``listed(path)`` may name more sidecars than could be read.
+        """
         raw = read_containers(files.select("path", "content", "last_modified_ms"))
-        return cls(raw, read_sidecars(sidecars), sidecars if listed is None else listed)
+        packets = read_sidecars(sidecars).select(
+            F.col("path").alias("sidecar_path"), F.col("blocks").alias("side_blocks")
+        )
+        named = attach_sidecar(raw, (sidecars if listed is None else listed).select("path"))
+        return cls(named.join(packets, "sidecar_path", "left"))
 
     @classmethod
     def of_files(cls, files: DataFrame, listed: DataFrame) -> Extraction:
-        """From ``files(path, last_modified_ms)`` and ``listed(path)`` that executors can open."""
-        raw = read_container_files(read_heads(files.select("path", "last_modified_ms")))
-        mine = attach_sidecar(files.select("path"), listed).where("sidecar_path IS NOT NULL")
-        packets = mine.select(F.col("sidecar_path").alias("path"), F.lit("xmp").alias("container"))
-        side = read_container_files(packets.distinct()).where("damaged IS NULL")
-        return cls(raw, side, listed)
+        """From ``files(path, last_modified_ms)`` and ``listed(path)`` that executors can open.
+
+        Only paths are joined; a task then opens a file and its sidecar side by side.
+        """
+        named = attach_sidecar(files.select("path", "last_modified_ms"), listed.select("path"))
+        both = read_sidecar_files(read_container_files(read_heads(named)))
+        readable = F.col("sidecar_path").isNotNull() & F.col("side_damaged").isNull()
+        return cls(both.withColumn("side_blocks", F.when(readable, F.col("side_blocks"))))
 
     def metadata(self) -> DataFrame:
         """``(path, metadata, used_sidecar)`` of every readable file."""
@@ -160,7 +165,7 @@ def extraction_errors(rows: DataFrame) -> DataFrame:
     )
     kind = "array<struct<severity:string,code:string,message:string>>"
     none = F.array().cast(kind)
-    unread = F.col("side_read").isNull()
+    unread = F.col("side_blocks").isNull()
     side = F.when(unread, F.array(as_warning(F.lit("The sidecar cannot be read.")))).otherwise(
         F.transform(_warnings(F.col("side_blocks")), as_warning)
     )

@@ -25,11 +25,14 @@ def test_a_folder_becomes_a_catalogue(spark, tmp_path):
     (root / "noext").write_bytes(jpeg())
     (root / ".DS_Store").write_bytes(b"junk")
     (root / "copy1.jpg").write_bytes(jpeg(tail=b"\xff\xd9same"))
+    (root / "copy1.xmp").write_bytes(b"<broken")
     (root / "copy2.jpg").write_bytes(jpeg(tail=b"\xff\xd9same"))
 
     first = lifecycle.rescan(spark, str(root), store)
     assert counts(first) == {"added": 5} and first.version
-    assert [(os.path.basename(r.path), r.code) for r in first.warnings.collect()] == [("b.jpg", "unsupportedMedia")]
+    assert sorted((os.path.basename(r.path), r.code) for r in first.warnings.collect()) == [
+        ("b.jpg", "unsupportedMedia"), ("copy1.jpg", "corruptData"),
+    ]
     rows = by_name(spark, store)
     a = rows["a.jpg"]
     assert (a.metadata.caption, a.metadata.rating, a.metadata.camera_make, a.metadata.pixel_width) == ("Golden Gate sunset", 4, "Abc", 40)
