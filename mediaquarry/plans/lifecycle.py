@@ -15,7 +15,7 @@ from ..operators import projection, reconcile as rec, versions
 from ..operators.resolve import Extraction
 from ..session import cut_lineage
 from ..sources.containers import read_heads
-from ..sources.listing import hash_files, scan_listing
+from ..sources.listing import folder_exists, hash_files, scan_listing
 
 _RECIPE = "struct<revision:int,operations:array<struct<kind:string,parameters:string>>>"
 
@@ -102,8 +102,11 @@ def staged_records(
 def rescan(spark: SparkSession, root: str, store: str, follow_symlinks: bool = False) -> Rescan:
     """List, compare, hash only what changed, match moves, read metadata, commit.
 
-    A scan that changes nothing commits nothing.
+    A scan that changes nothing commits nothing, and a missing root is an error, not an empty
+    folder.
     """
+    if not folder_exists(spark, root):
+        raise FileNotFoundError(f"Library root does not exist: {root}")
     files = listed_files(spark, root, follow_symlinks)
     records = committed_records(spark, store)
     under = records.where(within_root(F.col("identity.absolute_path"), F.lit(root)))

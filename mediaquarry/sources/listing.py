@@ -51,6 +51,16 @@ def _list_folders(follow_symlinks: bool):
 _COLUMNS = ["path", "file_name", "is_directory", "is_symlink", "size_bytes", "last_modified_ms"]
 
 
+def _folder_flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"found": [os.path.isdir(path) for path in batch["path"]]})
+
+
+def folder_exists(spark: SparkSession, root: str) -> bool:
+    """Asked in a task: the driver need not see the folder."""
+    return spark.createDataFrame([(root,)], "path string").mapInPandas(_folder_flags, "found boolean").first()[0]
+
+
 def scan_listing(spark: SparkSession, root: str, follow_symlinks: bool = False) -> DataFrame:
     """Every file under ``root``, hidden ones included; folders are walked, not listed.
 

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from test_media import alt, app1, exif, jpeg, xmp
 
 from mediaquarry.operators import browse, projection, search
@@ -28,6 +29,8 @@ def test_a_folder_becomes_a_catalogue(spark, tmp_path):
     (root / "copy1.xmp").write_bytes(b"<broken")
     (root / "copy2.jpg").write_bytes(jpeg(tail=b"\xff\xd9same"))
 
+    with pytest.raises(FileNotFoundError):
+        lifecycle.rescan(spark, str(tmp_path / "nowhere"), store)
     first = lifecycle.rescan(spark, str(root), store)
     assert counts(first) == {"added": 5} and first.version
     assert sorted((os.path.basename(r.path), r.code) for r in first.warnings.collect()) == [

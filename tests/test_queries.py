@@ -12,6 +12,8 @@ QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     result = QUERIES[name](spark, SMALL)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name in ORACLES:
         assert differences(result, duck, ORACLES[name]) == []
     else:
