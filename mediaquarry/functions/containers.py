@@ -20,7 +20,7 @@ def _first(items: Column) -> Column:
 
 
 def _last(items: Column) -> Column:
-    return F.get(items, F.size(items) - 1)
+    return F.try_element_at(items, F.lit(-1))
 
 
 def _present(items: Column) -> Column:
@@ -146,24 +146,24 @@ def movie_capture(creation_seconds: Column) -> Column:
 
 
 def interpret_movie(blocks: Column) -> Column:
-    of = lambda kind: F.filter(blocks, lambda b: b["kind"] == kind)
     at = lambda b, i: F.get(b["nums"], F.lit(i))
-    captures = _present(F.transform(of("mvhd"), lambda b: movie_capture(at(b, 0))))
-    lengths = _present(F.transform(of("mvhd"), lambda b: movie_duration_ms(at(b, 1), at(b, 2))))
-    frame = lambda b: F.struct(
-        F.floor(at(b, 0) / 65536).cast("int").alias("w"), F.floor(at(b, 1) / 65536).cast("int").alias("h")
-    )
-    visual = F.filter(F.transform(of("tkhd"), frame), lambda f: (f["w"] > 0) & (f["h"] > 0))
-    sound = F.exists(of("hdlr"), lambda b: b["text"] == "soun")
-    return let(
-        F.struct(captures.alias("captures"), lengths.alias("lengths"), _first(visual).alias("visual")),
-        lambda m: F.struct(
-            _last(m["captures"]).alias("capture_time"),
-            m["visual"]["w"].alias("pixel_width"), m["visual"]["h"].alias("pixel_height"),
-            _last(m["lengths"]).alias("duration_ms"),
-            F.when(sound, True).when(F.size(of("trak")) > 0, False).alias("has_audio"),
-        ),
-    )
+    last = lambda kind, test: _last(F.filter(blocks, lambda b: (b["kind"] == kind) & test(b)))
+    # Display sizes are 16.16 fixed point; a sound track has none.
+    shown = lambda b: (b["kind"] == "tkhd") & (at(b, 0) >= 65536) & (at(b, 1) >= 65536)
+    whole = lambda n: F.floor(n / 65536).cast("int")
+    frame = let(_first(F.filter(blocks, shown)), lambda b: F.struct(
+        whole(at(b, 0)).alias("w"), whole(at(b, 1)).alias("h")
+    ))
+    sound = F.exists(blocks, lambda b: (b["kind"] == "hdlr") & (b["text"] == "soun"))
+    return let(frame, lambda f: F.struct(
+        let(last("mvhd", lambda b: at(b, 0) > 0), lambda b: movie_capture(at(b, 0))).alias("capture_time"),
+        f["w"].alias("pixel_width"), f["h"].alias("pixel_height"),
+        let(
+            last("mvhd", lambda b: (at(b, 1) > 0) & (at(b, 2) > 0)),
+            lambda b: movie_duration_ms(at(b, 1), at(b, 2)),
+        ).alias("duration_ms"),
+        F.when(sound, True).when(F.exists(blocks, lambda b: b["kind"] == "trak"), False).alias("has_audio"),
+    ))
 
 
 # --- XMP --------------------------------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,20 @@ def local_session(cores: str = "8", app: str = "mediaquarry") -> SparkSession:
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package; called by every operator that runs Python in tasks."""
+    application = spark.sparkContext.applicationId
+    source = Path(__file__).parent
+    if application in _SHIPPED or not source.is_dir():
+        return
+    target = f"{tempfile.mkdtemp(prefix='mediaquarry-')}/mediaquarry"
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", source.parent, source.name))
+    _SHIPPED.add(application)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for data that must outlive an executor.
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..session import shared_dir
+from ..session import shared_dir, ship_package
 
 _BATCH = 10_000
 _CHUNK = 1 << 20
@@ -58,6 +58,7 @@ def _folder_flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def folder_exists(spark: SparkSession, root: str) -> bool:
     """Asked in a task: the driver need not see the folder."""
+    ship_package(spark)
     return spark.createDataFrame([(root,)], "path string").mapInPandas(_folder_flags, "found boolean").first()[0]
 
 
@@ -67,6 +68,7 @@ def scan_listing(spark: SparkSession, root: str, follow_symlinks: bool = False)
     Each depth is written to the shared folder, so a lost executor never repeats the walk and the
     driver sees only whether another depth exists. Sort on ``path_order(path)`` for walking order.
     """
+    ship_package(spark)
     base = f"{shared_dir(spark)}/listing-{uuid.uuid4().hex}"
     frontier, depth = spark.createDataFrame([(root,)], "path string"), 0
     width = spark.sparkContext.defaultParallelism
@@ -131,5 +133,6 @@ def hash_files(paths: DataFrame) -> DataFrame:
     Content is read only for the paths handed in, which is what makes a rescan cheap, and a file
     of any size fits.
     """
+    ship_package(paths.sparkSession)
     width = paths.sparkSession.sparkContext.defaultParallelism
     return paths.select("path").repartition(width * 4).mapInPandas(_hash_batches, schemas.HASHED)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..operators.ordering import ordered_segments, running_total, with_previous
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 
 _SPAN = 64  # debounce spans per block
 _FAN = 256  # blocks per block of the next level
@@ -225,6 +225,7 @@ def _grouped(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def coalesce_changes(events: DataFrame, debounce_ms: int = fv.DEBOUNCE_MS) -> DataFrame:
     """``(root, kind, t)`` → ``(root, opened_at, due_at, n_events, had_overflow)``."""
+    ship_package(events.sparkSession)
     length = _SPAN * debounce_ms
     beats = cut_lineage(_grouped(
         ticks(events).withColumn("block", F.floor(F.col("t") / length)), ["root", "block"], "t"

@@ -7,9 +7,11 @@ watermark delay. Rows later than the watermark are left to the periodic sweep.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -153,7 +155,11 @@ def run_available(stream: DataFrame, target: str) -> DataFrame:
 
 
 def _keyed_state(events: DataFrame) -> None:
-    """Map and timer state needs the RocksDB store."""
+    """Map and timer state needs the RocksDB store.
+
+    The processors travel by value: the worker that sets up their state does not see shipped files.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     events.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
