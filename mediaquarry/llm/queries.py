@@ -69,3 +69,33 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = langid.fit(docs.where(~held_out(5, 0)))
     return langid.identify(docs, model).withColumn("held_out", held_out(5, 0))
+
+
+@query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, folder, "documents")
+    rows = toxicity.learning_rows(docs, table(spark, folder, "labels")).where(~held_out(4, 2))
+    return toxicity.score(docs, toxicity.fit(rows)).withColumn("held_out", held_out(4, 2))
+
+
+#: The rules of the query.
+RULES = [
+    ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
+
+@query
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from . import urls
+
+    return urls.judge(table(spark, folder, "pages"), RULES)
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from . import chunks
+
+    return chunks.repeated_spans(table(spark, folder, "documents"))
