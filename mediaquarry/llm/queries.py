@@ -99,3 +99,17 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from . import chunks
 
     return chunks.repeated_spans(table(spark, folder, "documents"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from . import lines
+
+    return lines.repeated_lines(table(spark, folder, "documents"))
