@@ -113,3 +113,12 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from . import lines
 
     return lines.repeated_lines(table(spark, folder, "documents"))
+
+
+@query
+def op4_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
+    from . import brown
+
+    docs = table(spark, folder, "documents")
+    model, counts = brown.fit(docs.where(~held_out(7, 2)))
+    return brown.score(docs, model, counts).withColumn("held_out", held_out(7, 2))
