@@ -31,10 +31,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, line, d1, d2)``: every line that is not blank; d1 and d2 are its digest."""
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.where(F.col("line").rlike(r"\S")).select(
-        "doc_id", "line_no", "line", F.xxhash64("line").alias("d1"), F.xxhash64(F.lit(1), F.col("line")).alias("d2")
+        "doc_id", "line_no", "line", F.xxhash64("line").alias("d1"), _digest(F.col("line")).alias("d2")
     )
 
 
+def _digest(line: Column) -> Column:
+    """The second half of a line's digest."""
+    return F.xxhash64(F.lit(1), line)
+
+
 def _wide(line: Column) -> Column:
     """Two bytes for every UTF-16 unit, so that a shingle is a slice at a known place."""
     return F.encode(line, "UTF-16BE")
@@ -50,60 +55,52 @@ def _shingle(wide: Column, at: Column) -> Column:
 
 
 def signatures(distinct: DataFrame) -> DataFrame:
-    """``(d1, d2, line)`` → ``(d1, d2, kind, m0 … m20)``; the rows of a line stay in their partition."""
-    wide = distinct.select("d1", "d2", _wide(F.col("line")).alias("wide"))
+    """``(d1, line)`` → ``(d1, kind, m0 … m20)``; the rows of a line stay in their partition."""
+    wide = distinct.select("d1", _wide(F.col("line")).alias("wide"))
     kinds = F.array_compact(F.array(F.when(_last(F.col("wide")) < ALL, 0), F.when(_last(F.col("wide")) + 1 >= SOME, 1)))
-    hashes = wide.select("d1", "d2", "wide", F.explode(kinds).alias("kind")).select(
-        "d1", "d2", "wide", "kind", F.explode(F.sequence(F.lit(0), _last(F.col("wide")))).alias("at")
-    ).select("d1", "d2", "kind", _shingle(F.col("wide"), F.col("at")).alias("h"))
+    hashes = wide.select("d1", "wide", F.explode(kinds).alias("kind")).select(
+        "d1", "wide", "kind", F.explode(F.sequence(F.lit(0), _last(F.col("wide")))).alias("at")
+    ).select("d1", "kind", _shingle(F.col("wide"), F.col("at")).alias("h"))
     some = hashes.where((F.col("kind") == 0) | (F.col("h").bitwiseAND(3) == 0))
-    return some.groupBy("d1", "d2", "kind").agg(
+    return some.groupBy("d1", "kind").agg(
         *[F.min(F.col("h").bitwiseXOR(F.lit(mask))).alias(f"m{i}") for i, mask in enumerate(MASKS)]
     )
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """``(a1, a2, b1, b2)``: every line with two leaders of each band bucket that it shares.
+    """``(a, b)``, first digests, a < b: every line with two leaders of each band bucket it shares.
 
     A bucket gives two pairs a line, whatever its size; the seven bands have different leaders.
-    Pairs of lines whose digests differ only, each once.
     """
     keys = [F.xxhash64(F.lit(b), "kind", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    banded = signed.select("d1", "d2", F.explode(F.array(*keys)).alias("band"))
-    leaders = banded.groupBy("band").agg(
-        F.count("*").alias("n"), F.min("d1").alias("x1"), F.min_by("d2", "d1").alias("x2"),
-        F.max("d1").alias("y1"), F.max_by("d2", "d1").alias("y2"),
-    ).where("n > 1")
+    banded = signed.select("d1", F.explode(F.array(*keys)).alias("band"))
+    leaders = banded.groupBy("band").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x < y")
     # The side that a hot bucket makes large is spread over salts, the other repeated for each.
     spread = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     met = banded.withColumn("salt", F.pmod("d1", F.lit(_SALTS)).cast("int")).join(spread, ["band", "salt"])
-    me, first, last = F.struct("d1", "d2"), F.struct(F.col("x1").alias("d1"), F.col("x2").alias("d2")), F.struct(
-        F.col("y1").alias("d1"), F.col("y2").alias("d2")
-    )
-    pairs = met.select(me.alias("me"), F.explode(F.array(first, last)).alias("other")).where("me <> other")
-    return pairs.select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).select(
-        F.col("a.d1").alias("a1"), F.col("a.d2").alias("a2"), F.col("b.d1").alias("b1"), F.col("b.d2").alias("b2")
-    ).distinct()
+    pairs = met.select("d1", F.explode(F.array("x", "y")).alias("other")).where("d1 <> other")
+    return pairs.select(F.least("d1", "other").alias("a"), F.greatest("d1", "other").alias("b")).distinct()
 
 
-def _set(line: Column) -> Column:
-    wide = _wide(line)
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(wide)), lambda at: _shingle(wide, at)))
+def _set(wide: str) -> Column:
+    """Shingle hashes of a column of wide lines; a column, as an expression would be encoded anew for each shingle."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(F.col(wide))), lambda at: _shingle(F.col(wide), at)))
 
 
 def links(lines: DataFrame) -> DataFrame:
     """``(a, b)``, structs of digests: candidate lines whose shingle sets are similar enough."""
-    distinct = lines.groupBy("d1", "d2").agg(F.first("line").alias("line"))
-    left = distinct.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("line").alias("left"))
-    right = distinct.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("line").alias("right"))
-    pairs = candidates(signatures(distinct)).join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
-    sets = pairs.select("a1", "a2", "b1", "b2", _set(F.col("left")).alias("left"), _set(F.col("right")).alias("right"))
-    common = sets.select("a1", "a2", "b1", "b2", F.size("left").alias("l"), F.size("right").alias("r"),
-                         F.size(F.array_intersect("left", "right")).alias("both"))
-    similar = common.where(F.col("both") >= SIMILARITY * (F.col("l") + F.col("r") - F.col("both")))
-    return similar.select(
-        F.struct(F.col("a1").alias("d1"), F.col("a2").alias("d2")).alias("a"),
-        F.struct(F.col("b1").alias("d1"), F.col("b2").alias("d2")).alias("b"),
+    # Lines that share the first digest are told apart by the line itself.
+    distinct = lines.groupBy("d1").agg(F.collect_set("line").alias("same")).select("d1", F.explode("same").alias("line"))
+    pairs = candidates(signatures(distinct))
+    for side in ("a", "b"):
+        named = distinct.select(F.col("d1").alias(side), _digest(F.col("line")).alias(f"{side}2"), _wide(F.col("line")).alias(f"{side}_wide"))
+        pairs = pairs.join(named, side)
+    sets = pairs.select("a", "a2", "b", "b2", _set("a_wide").alias("a_set"), _set("b_wide").alias("b_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    sized = sets.select("a", "a2", "b", "b2", (F.size("a_set") + F.size("b_set")).alias("sum"), both.alias("both"))
+    return sized.where(F.col("both") >= SIMILARITY * (F.col("sum") - F.col("both"))).select(
+        F.struct(F.col("a").alias("d1"), F.col("a2").alias("d2")).alias("a"),
+        F.struct(F.col("b").alias("d1"), F.col("b2").alias("d2")).alias("b"),
     )
 
 
