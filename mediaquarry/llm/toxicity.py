@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import ship_package
+from .storage import small, stored
 
 #: Lengths of the word beginnings that may become terms.
 STEMS = (4, 5, 6)
@@ -32,7 +33,9 @@ THRESHOLD = 0.3
 #: Width and number of the evidence steps that are calibrated.
 STEP, STEPS = 2.0, 16
 #: Pieces of text and automaton states remembered by a worker before it starts anew.
-KEPT_PIECES, KEPT_STATES = 500_000, 100_000
+KEPT_PIECES, KEPT_STATES = 1_000_000, 100_000
+#: Labels that are broadcast; more are joined by a shuffle.
+BROADCAST_LABELS = 5_000_000
 ADDRESS = frozenset("you your you're youre yours yourself u ur tu te du dich dein deine sie ihr vous vos votre usted".split())
 REPORT = frozenset(
     "said says called calls wrote writes quote quoted quotes word term phrase cited sagte nannte schrieb dit "
@@ -125,25 +128,29 @@ class Automaton:
 
 class Judge:
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.automaton, self.store = lexicon, Automaton(lexicon.terms), {}
+        self.lexicon, self.automaton, self.clean = lexicon, Automaton(lexicon.terms), set()
 
-    def _piece(self, piece: str) -> float:
+    def _weight(self, piece: str) -> float:
+        """Of the best term in a piece between white space; pieces without one are remembered."""
         found = max((self.automaton.weight(w) for w in _WORD.findall(piece)), default=0.0)
-        if len(self.store) >= KEPT_PIECES:
-            self.store.clear()
-        if len(piece) < 100:
-            self.store[piece] = found
+        if not found and len(piece) < 100:
+            if len(self.clean) >= KEPT_PIECES:
+                self.clean.clear()
+            self.clean.add(piece)
         return found
 
     def hits(self, text: str) -> list[tuple[int, float, str]]:
         """(word number, weight, quoted | abuse | plain) of every term in the text."""
-        pieces, store = text.lower().split(), self.store
+        pieces = text.lower().split()
+        weights = {}
+        for piece in set(pieces) - self.clean:
+            if weight := self._weight(piece):
+                weights[piece] = weight
+        if not weights:
+            return []
         found = []
         for at, piece in enumerate(pieces):
-            weight = store.get(piece)
-            if weight is None:
-                weight = self._piece(piece)
-            if weight:
+            if weight := weights.get(piece):
                 before, after = pieces[max(0, at - WINDOW) : at], pieces[at + 1 : at + 1 + WINDOW]
                 bare = {w.strip(".,;:!?()\"“”„«»") for w in before + after}
                 opened = piece[0] in QUOTES or any(w[0] in QUOTES for w in before)
@@ -164,6 +171,18 @@ class Judge:
         return rates[low] + (rates[high] - rates[low]) * (at - low)
 
 
+_JUDGES: dict[tuple, Judge] = {}
+
+
+def _judge(lexicon: Lexicon) -> Judge:
+    """One judge per worker process and lexicon, so that tasks share what it remembers."""
+    key = (tuple(lexicon.terms.items()), tuple(lexicon.rates))
+    if key not in _JUDGES:
+        _JUDGES.clear()
+        _JUDGES[key] = Judge(lexicon)
+    return _JUDGES[key]
+
+
 def _terms() -> Column:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1))
     stems = [F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
@@ -199,7 +218,7 @@ def _run(docs: DataFrame, lexicon: Lexicon, column: str, kept: list[str]) -> Dat
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(sent.value)
+        judge = _judge(sent.value)
         for batch in batches:
             found = [judge.evidence(t) for t in batch.column(0).to_pylist()]
             if column == "score":
@@ -245,8 +264,9 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts with their label; a doc_id with several labels teaches each of them."""
-    marks = labels.select(F.col("doc_id").alias("_labelled"), "toxic")
-    return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "toxic")
+    marks, few = small(labels.select(F.col("doc_id").alias("_labelled"), "toxic"), BROADCAST_LABELS)
+    rows = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "toxic")
+    return rows if few else stored(rows)
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -256,7 +276,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(sent.value)
+        judge = _judge(sent.value)
         for batch in batches:
             clean = [judge.score(judge.evidence(t)) < THRESHOLD for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
