@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import retryable
 
+SALTS = 16
+
 
 def enqueue_coalesced(queue: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows to insert, mapping id → effective_id)`` for ``incoming`` in ``seq`` order.
@@ -23,16 +25,18 @@ def enqueue_coalesced(queue: DataFrame, incoming: DataFrame) -> tuple[DataFrame,
         incoming.where("state = 'pending' AND coalescing_key <> ''")
         .groupBy("coalescing_key").agg(F.min_by("id", "seq").alias("first_id"), F.min("seq").alias("first_seq"))
     )
-    keyed = incoming.join(pending, "coalescing_key", "left").join(first, "coalescing_key", "left")
-    free = F.col("coalescing_key") == ""
-    earlier = F.coalesce(F.col("first_seq") < F.col("seq"), F.lit(False))
-    effective = (
-        F.when(free, F.col("id"))
-        .when(F.col("pending_id").isNotNull(), F.col("pending_id"))
-        .when(earlier, F.col("first_id"))
-        .otherwise(F.col("id"))
+    # Requests without a key never meet another and pass the joins by. The keyed ones are spread over
+    # salts, and each key's one row is repeated for every salt, so a key named by a third of the
+    # batch is joined by many tasks.
+    known = pending.join(first, "coalescing_key", "full").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
-    judged = keyed.withColumn("effective_id", effective)
+    keyed = incoming.where("coalescing_key <> ''").withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALTS)))
+    earlier = F.coalesce(F.col("first_seq") < F.col("seq"), F.lit(False))
+    effective = F.coalesce("pending_id", F.when(earlier, F.col("first_id")), "id")
+    judged = keyed.join(known, ["coalescing_key", "_salt"], "left").withColumn("effective_id", effective)
+    alone = incoming.where("coalesce(coalescing_key, '') = ''").withColumn("effective_id", F.col("id"))
+    judged = judged.select(*alone.columns).unionByName(alone)
     rows = judged.where("effective_id = id").select(queue.columns)
     return rows, judged.select("id", "effective_id")
 
@@ -62,34 +66,45 @@ def pending_count(queue: DataFrame) -> DataFrame:
     return queue.agg(F.count_if(F.col("state") == "pending").alias("pending"))
 
 
-def transition(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """``outcomes(id, outcome, error_code)`` with outcome ``claimed``, ``succeeded``, ``failed`` or
-    ``cancelled``; rows whose state does not allow the step stay as they are."""
-    o = outcomes.select("id", "outcome", F.col("error_code").alias("new_error"))
-    running, pending = F.col("state") == "running", F.col("state") == "pending"
-    ended = F.col("outcome").isin("succeeded", "failed") & running
-    failed = (F.col("outcome") == "failed") & running
-    again = failed & retryable(F.col("new_error")) & (F.col("attempts") + 1 < F.col("max_attempts"))
-    no = F.lit(False)
+def _step(row: Column, step: Column) -> Column:
+    """One outcome applied to the changing part of a request; a step that its state forbids changes nothing."""
+    outcome, running = step["outcome"], row["state"] == "running"
+    won, lost = (outcome == "succeeded") & running, (outcome == "failed") & running
+    tries = row["attempts"] + F.when(won | lost, 1).otherwise(0)
+    again = lost & F.coalesce(retryable(step["error"]), F.lit(False)) & (tries < row["max_attempts"])
     state = (
-        F.when(F.coalesce(again, no), "pending")
-        .when(F.coalesce(failed, no), "failed")
-        .when(F.coalesce((F.col("outcome") == "succeeded") & running, no), "succeeded")
-        .when(F.coalesce((F.col("outcome") == "cancelled") & (running | pending), no), "cancelled")
-        .when(F.coalesce((F.col("outcome") == "claimed") & pending, no), "running")
-        .otherwise(F.col("state"))
+        F.when(again, "pending").when(lost, "failed").when(won, "succeeded")
+        .when((outcome == "cancelled") & (running | (row["state"] == "pending")), "cancelled")
+        .when((outcome == "claimed") & (row["state"] == "pending"), "running")
+        .otherwise(row["state"])
     )
-    changed = queue.join(o, "id", "left").select(
-        "*", state.alias("_state"),
-        (F.col("attempts") + F.coalesce(ended, no).cast("int")).alias("_attempts"),
-        F.when(F.coalesce(again, no), None).otherwise(F.col("not_before_ms")).alias("_not_before"),
-        F.when(F.coalesce(failed, no), F.col("new_error")).otherwise(F.col("last_error_code")).alias("_error"),
+    return F.struct(
+        state.alias("state"), tries.alias("attempts"), row["max_attempts"].alias("max_attempts"),
+        F.when(again, None).otherwise(row["not_before_ms"]).alias("not_before_ms"),
+        F.when(lost, step["error"]).otherwise(row["last_error_code"]).alias("last_error_code"),
     )
-    renamed = {
-        "state": "_state", "attempts": "_attempts", "not_before_ms": "_not_before",
-        "last_error_code": "_error",
-    }
-    return changed.select(*[F.col(renamed.get(c, c)).alias(c) for c in queue.columns])
+
+
+def transition(queue: DataFrame, outcomes: DataFrame, order: str | None = None) -> DataFrame:
+    """``outcomes(id, outcome, error_code)`` with outcome ``claimed``, ``succeeded``, ``failed`` or
+    ``cancelled``; rows whose state does not allow the step stay as they are.
+
+    Several outcomes of one id are applied one after the other, by the column ``order``; without it
+    each id must have one. The outcomes of an id are its own short history, so they are gathered in
+    one row and the queue keeps exactly one row per id.
+    """
+    place = F.col(order) if order else F.lit(0)
+    steps = outcomes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(
+        place.alias("at"), F.col("outcome").alias("outcome"), F.col("error_code").alias("error")
+    ))).alias("_steps"))
+    if not order:
+        steps = steps.withColumn("_steps", F.when(F.size("_steps") > 1, F.raise_error(
+            F.lit("several outcomes for one id need an order")
+        )).otherwise(F.col("_steps")))
+    parts = ["state", "attempts", "max_attempts", "not_before_ms", "last_error_code"]
+    joined = queue.join(steps, "id", "left").withColumn("_row", F.struct(*parts))
+    moved = joined.withColumn("_row", F.coalesce(F.aggregate("_steps", F.col("_row"), _step), F.col("_row")))
+    return moved.select(*[F.col(f"_row.{c}").alias(c) if c in parts else F.col(c) for c in queue.columns])
 
 
 def recover_interrupted(queue: DataFrame) -> DataFrame:

@@ -24,16 +24,34 @@ def last_per_id(batch: DataFrame, order: str) -> DataFrame:
     return batch.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("_r")).select("id", "_r.*")
 
 
+def _only_row(batch: DataFrame) -> DataFrame:
+    """The batch, refused where an id occurs twice: without an order no row is the last."""
+    rest = [c for c in batch.columns if c != "id"]
+    twice = F.raise_error(F.lit("a repeated id needs an order"))
+    grouped = batch.groupBy("id").agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_r"))
+    return grouped.select("id", F.when(F.col("_n") > 1, twice).otherwise(F.col("_r")).alias("_r")).select("id", "_r.*")
+
+
+def _latest(batch: DataFrame, order: str | None) -> DataFrame:
+    return last_per_id(batch, order) if order else _only_row(batch)
+
+
 def apply_records(base: DataFrame, batch: DataFrame, order: str | None = None) -> DataFrame:
-    """Upsert: rows of the batch replace rows with the same id; applying twice changes nothing."""
-    latest = last_per_id(batch, order) if order else batch
+    """Upsert: rows of the batch replace rows with the same id; applying twice changes nothing.
+
+    With ``order``, the last row of an id wins; without it a repeated id is refused.
+    """
+    latest = _latest(batch, order)
     return base.join(latest.select("id"), "id", "left_anti").unionByName(latest)
 
 
-def commit_staged(committed: DataFrame, staged: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Committed rows minus tombstones plus staged rows; a row in both survives as staged."""
+def commit_staged(committed: DataFrame, staged: DataFrame, tombstones: DataFrame, order: str | None = None) -> DataFrame:
+    """Committed rows minus tombstones plus staged rows; a row in both survives as staged.
+
+    A repeated staged id is treated as by ``apply_records``.
+    """
     touched = tombstones.select("id").unionByName(staged.select("id"))
-    return committed.join(touched, "id", "left_anti").unionByName(staged)
+    return committed.join(touched, "id", "left_anti").unionByName(_latest(staged, order))
 
 
 # --- committed versions ---------------------------------------------------------------------
