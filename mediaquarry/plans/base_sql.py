@@ -59,7 +59,7 @@ def iso(ms: str) -> str:
 
 DOC = """doc AS (
   SELECT doc_id, text, lang, source, n_chars,
-    'm' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id, sha256(text) AS digest,
+    'm' || lpad(CAST(doc_id AS VARCHAR), 20, '0') AS id, sha256(text) AS digest,
     (CASE WHEN doc_id % 29 = 0 THEN '.' ELSE '' END)
     || (CASE doc_id % 3 WHEN 0 THEN 'IMG_' WHEN 1 THEN 'img_' ELSE 'Clip-' END)
     || CAST(doc_id % 997 AS VARCHAR)
@@ -96,7 +96,7 @@ EVENTS = """ev AS (
   FROM events)"""
 
 REQUESTS = """job AS (
-  SELECT 'w' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS id,
+  SELECT 'w' || lpad(CAST(event_id AS VARCHAR), 20, '0') AS id,
     (['scanRoot', 'reconcileRoot', 'readMetadata', 'generateThumbnail'])[CAST(event_id % 4 AS INTEGER) + 1] AS kind,
     CAST(event_id % 4 AS INTEGER) AS priority,
     (['pending', 'running', 'pending', 'succeeded', 'failed', 'cancelled'])[CAST(event_id % 6 AS INTEGER) + 1] AS state,

@@ -48,7 +48,7 @@ def record_count(t):
 UNION ALL SELECT id || '-gone', 'notFound' FROM media WHERE doc_id % 7 = 0""")
 def filter_by_id(t):
     m = adapters.media(t)
-    number = F.substring("id", 2, 9).cast("bigint")
+    number = F.substring("id", 2, 20).cast("bigint")
     damaged = m.withColumn(
         "record_json", F.when(number % 3 == 1, F.substring("record_json", 1, 12)).otherwise(F.col("record_json"))
     )
@@ -189,7 +189,7 @@ _LISTS = f"""WITH {q.MEDIA}, o AS (SELECT id, row_number() OVER (ORDER BY captur
 
 def _lists(t):
     m = adapters.media(t)
-    number = F.substring("id", 2, 9).cast("bigint")
+    number = F.substring("id", 2, 20).cast("bigint")
     return (
         browse.positions_by(m.where(number % 5 != 0), "captureTime"),
         browse.positions_by(m.where(number % 7 != 0), "captureTime"),

@@ -136,12 +136,12 @@ def rename_stream(t):
     return found.groupBy("root", "rename_cookie").agg(F.count("*").alias("pairs"))
 
 
-@query("""SELECT 'm' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id, text, CAST(1 AS INTEGER) AS version FROM documents""")
+@query("""SELECT 'm' || lpad(CAST(doc_id AS VARCHAR), 20, '0') AS id, text, CAST(1 AS INTEGER) AS version FROM documents""")
 def progressive_apply(t):
     """Scan batches upserted as they arrive, then the visible table read back."""
     root = _target(t, "progressive")
     rows = lambda df, n: df.select(
-        F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id"), "text", F.lit(n).alias("version")
+        F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 20, "0")).alias("id"), "text", F.lit(n).alias("version")
     )
     versions.publish_version(rows(t.documents, 0), root, "token")
     query_ = (

@@ -363,7 +363,7 @@ def resolve_sources(t):
         F.when(d % 5 != 0, F.when(d % 7 == 0, "").otherwise(F.col("source"))).alias("caption"), F.array("source").alias("tags"),
     )
     rows = t.documents.select(
-        F.concat(F.lit("m"), F.lpad(d.cast("string"), 9, "0")).alias("id"), embedded.alias("e"), side.alias("s")
+        F.concat(F.lit("m"), F.lpad(d.cast("string"), 20, "0")).alias("id"), embedded.alias("e"), side.alias("s")
     )
     m = resolve.resolved_metadata(F.col("e"), F.col("s"), F.col("id"), F.lit("image"), F.lit(0).cast("bigint")).alias("m")
     return rows.select("id", m).select(

@@ -42,7 +42,7 @@ def files(t):
 def stored(t):
     """What the catalogue knows; some paths carry a second record."""
     d = F.col("doc_id")
-    number = F.lpad(d.cast("string"), 9, "0")
+    number = F.lpad(d.cast("string"), 20, "0")
     ids = F.when(d % 19 == 0, F.array(F.concat(F.lit("r"), number), F.concat(F.lit("z"), number))).otherwise(
         F.array(F.concat(F.lit("r"), number))
     )
@@ -75,7 +75,7 @@ f AS (SELECT CASE WHEN doc_id % 11 = 3 THEN new_path ELSE old_path END AS path,
   n_chars + CAST(doc_id % 13 = 5 AS INTEGER) AS sz, doc_id * 1000 + CAST(doc_id % 13 = 5 AS INTEGER) AS ms,
   CASE WHEN doc_id % 23 <> 0 THEN sha256(text || CASE WHEN doc_id % 13 = 5 THEN 'x' ELSE '' END) END AS dig,
   doc_id % 23 <> 0 AS ok FROM n WHERE doc_id % 7 <> 0),
-r0 AS (SELECT unnest(CASE WHEN doc_id % 19 = 0 THEN ['r', 'z'] ELSE ['r'] END) || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id,
+r0 AS (SELECT unnest(CASE WHEN doc_id % 19 = 0 THEN ['r', 'z'] ELSE ['r'] END) || lpad(CAST(doc_id AS VARCHAR), 20, '0') AS id,
   old_path AS path, sha256(text) AS dig, n_chars AS sz, doc_id * 1000 AS ms, doc_id % 17 <> 0 AS man FROM n WHERE doc_id % 5 <> 0),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY id) AS rn FROM r0)"""
 

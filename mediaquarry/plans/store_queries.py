@@ -16,7 +16,7 @@ from ..sources import adapters, records as record_files
 from . import base_sql as q
 from .registry import query
 
-_d = lambda: F.substring("id", 2, 9).cast("bigint")
+_d = lambda: F.substring("id", 2, 20).cast("bigint")
 
 
 # --- record files and projection ------------------------------------------------------------
@@ -83,7 +83,7 @@ def state_token(t):
 
 
 def _simple(t):
-    return t.documents.select(F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id"), "text", F.lit(0).alias("version"))
+    return t.documents.select(F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 20, "0")).alias("id"), "text", F.lit(0).alias("version"))
 
 
 _SIMPLE = f"WITH {q.DOC}"
@@ -126,7 +126,7 @@ def restore_version(t):
 def _staged_edits(t):
     r = adapters.records(t)
     wanted = t.labels.select(
-        F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id"), "quality", "toxic"
+        F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 20, "0")).alias("id"), "quality", "toxic"
     )
     edits = wanted.join(r.select("id", "metadata", "recipe"), "id", "left").select(
         "id", F.col("metadata").withField("rating", (F.col("quality") * 7 - 1).cast("int")).alias("metadata"),
@@ -288,7 +288,7 @@ def history_chain(t):
 
 def _incoming(t):
     queue = adapters.work_requests(t)
-    return queue.where(F.substring("id", 2, 9).cast("bigint") % 2 == 0).select(
+    return queue.where(F.substring("id", 2, 20).cast("bigint") % 2 == 0).select(
         F.concat(F.lit("n"), F.col("id")).alias("id"), "kind", "priority",
         F.when(F.col("priority") == 0, "running").otherwise("pending").alias("state"),
         F.when(F.col("coalescing_key") == "", "").when(F.col("priority") == 2, F.concat("coalescing_key", F.lit("-new")))
@@ -349,7 +349,7 @@ def transition(t):
     pick = lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (n % len(words) + 1).cast("int"))
     e = F.col("event_id")
     outcomes = t.events.where(e % 7 != 0).select(
-        F.concat(F.lit("w"), F.lpad(e.cast("string"), 9, "0")).alias("id"),
+        F.concat(F.lit("w"), F.lpad(e.cast("string"), 20, "0")).alias("id"),
         pick(["succeeded", "failed", "cancelled", "claimed", "failed"], e).alias("outcome"),
         pick(["timeout", "corruptData", "interrupted"], e).alias("error_code"),
     )

@@ -252,7 +252,7 @@ s4 AS (SELECT *, CASE WHEN empty OR e2 IS NOT NULL THEN e2 WHEN doc_id % 10 BETW
 
 
 def _outcome(t):
-    d = F.substring("id", 2, 9).cast("bigint")
+    d = F.substring("id", 2, 20).cast("bigint")
     out = recipe.recipe_outcome(
         F.col("recipe.operations"), (d % 2000 + 1).cast("int"), (d % 1000 + 1).cast("int")
     )
@@ -287,7 +287,7 @@ def fit_within(t):
 @query(f"""WITH {q.DOC} SELECT id, {q.kind('file_name')} <> 'unknown' OR doc_id % 3 = 0 AS indexable FROM doc""")
 def filter_indexable(t):
     """A known extension, or content that starts like a readable container."""
-    d = F.substring("id", 2, 9).cast("bigint")
+    d = F.substring("id", 2, 20).cast("bigint")
     png = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode("metadata.caption", "UTF-8"))
     content = F.when(d % 3 == 0, png).otherwise(F.encode("metadata.caption", "UTF-8"))
     return adapters.records(t).select(
@@ -299,7 +299,7 @@ def filter_indexable(t):
   coalesce(size_bytes >= 0 AND last_modified_ms IS NOT NULL AND doc_id % 5 <> 0, false) AS unchanged,
   doc_id % 2 = 0 AND doc_id % 3 <> 0 AS same_file FROM doc""")
 def filter_looks_unchanged(t):
-    d = F.substring("id", 2, 9).cast("bigint")
+    d = F.substring("id", 2, 20).cast("bigint")
     i = F.col("identity")
     other_size = F.when(d % 5 == 0, i["size_bytes"] + 1).otherwise(i["size_bytes"])
     other_file = F.when(d % 3 == 0, "other").otherwise(i["file_id"])
@@ -382,7 +382,7 @@ def record_file_names(t):
   sha256(lang) AS digest FROM doc WHERE {q.kind('file_name')} = 'image'""")
 def derivative_record(t):
     r = adapters.records(t)
-    d = F.substring("id", 2, 9).cast("bigint").cast("string")
+    d = F.substring("id", 2, 20).cast("bigint").cast("string")
     exports = r.select(
         F.col("id").alias("source_id"),
         F.concat(F.lit("/exports/"), F.col("metadata.tags")[0], F.lit("/x"), d, F.lit(".png")).alias("path"),

@@ -74,7 +74,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _key(column: str = "doc_id", mark: str = "m") -> Column:
-    return F.concat(F.lit(mark), F.lpad(F.col(column).cast("string"), 9, "0"))
+    return F.concat(F.lit(mark), F.lpad(F.col(column).cast("string"), 20, "0"))
 
 
 def document_file_name(doc: Column) -> Column:
@@ -154,7 +154,7 @@ def records(t: Tables) -> DataFrame:
         ).alias("metadata"),
         F.struct((d % 4).cast("int").alias("revision"), operations.alias("operations")).alias("recipe"),
         F.when(d % 10 == 0, F.struct(
-            F.concat(F.lit("m"), F.lpad((d + 1).cast("string"), 9, "0")).alias("source_media_id"),
+            F.concat(F.lit("m"), F.lpad((d + 1).cast("string"), 20, "0")).alias("source_media_id"),
             (d % 3 - 1).cast("int").alias("recipe_revision"),
             F.when(d % 20 == 0, "export").otherwise("").alias("kind"),
         )).alias("derivative"),
@@ -194,7 +194,7 @@ def work_requests(t: Tables) -> DataFrame:
     e, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
     pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n % len(names) + 1).cast("int"))
     return t.events.select(
-        F.concat(F.lit("w"), F.lpad(e.cast("string"), 9, "0")).alias("id"),
+        F.concat(F.lit("w"), F.lpad(e.cast("string"), 20, "0")).alias("id"),
         pick(["scanRoot", "reconcileRoot", "readMetadata", "generateThumbnail"], e).alias("kind"),
         (e % 4).cast("int").alias("priority"),
         pick(["pending", "running", "pending", "succeeded", "failed", "cancelled"], e).alias("state"),

@@ -100,7 +100,7 @@ def test_projection_round_trip(spark, tmp_path):
     from conftest import SMALL
     from mediaquarry.sources import adapters
 
-    r = adapters.records(adapters.Tables(spark, SMALL)).where("id < 'm000000040'")
+    r = adapters.records(adapters.Tables(spark, SMALL)).where("id < 'm00000000000000000040'")
     base = str(tmp_path / "projection")
     assert projection.is_stale(projection.projected_state_token(spark, base), "t")
     first = projection.build_projection(r, base)
@@ -113,14 +113,14 @@ def test_projection_round_trip(spark, tmp_path):
         projection.build_projection(broken, base, "other")
     assert projection.read_pointer(spark, base) == (first, token)
     hits = search.search_ids(tables["media_token"], tables["media_len"], "img_1")
-    assert "m000000001" in ids(hits)
+    assert "m00000000000000000001" in ids(hits)
 
 
 def test_record_files_round_trip(spark, tmp_path):
     from conftest import SMALL
     from mediaquarry.sources import adapters
 
-    r = adapters.records(adapters.Tables(spark, SMALL)).where("id < 'm000000030'")
+    r = adapters.records(adapters.Tables(spark, SMALL)).where("id < 'm00000000000000000030'")
     folder = str(tmp_path / "records")
     os.makedirs(folder)
     for row in r.select("id", files.record_json().alias("j")).collect():
