@@ -8,7 +8,7 @@ from ..functions import fixed_values as fv
 from ..functions.capture import from_wall_clock_ms, iso_text
 from ..functions.paths import original_path
 from ..functions.values import is_json_object
-from .ordering import ordered_positions
+from .ordering import join_spread, ordered_positions
 
 
 def nocase(text: Column) -> Column:
@@ -123,7 +123,7 @@ def duplicate_groups(media: DataFrame) -> DataFrame:
 def duplicate_members(media: DataFrame) -> DataFrame:
     """Every record of a duplicate group, one row each, so a hot group stays spread."""
     key = ["fingerprint_algorithm", "fingerprint_digest"]
-    return media.select("id", *key).join(duplicate_groups(media), key)
+    return join_spread(media.select("id", *key), duplicate_groups(media), key, ["id"])
 
 
 def hydrate_ids(positions: DataFrame, media: DataFrame) -> DataFrame:

@@ -43,24 +43,29 @@ def ordered_positions(df: DataFrame, order: list[Column], name: str = "pos") ->
     return placed.withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
 
 
-def grouped_positions(
-    df: DataFrame, group: list[str], order: list[Column], name: str = "pos",
-    largest_sorted_group: int = 1_000_000,
-) -> DataFrame:
+SALTS = 16
+
+
+def join_spread(rows: DataFrame, single: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """Joins ``rows`` with a table of one row per key; the rows of a hot key meet it in many tasks.
+
+    The one row is repeated for each salt, and ``by`` deals the rows of a key out to the salts.
+    """
+    salt = F.pmod(F.hash(*by), F.lit(SALTS))
+    repeated = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def grouped_positions(df: DataFrame, group: list[str], order: list[Column], by: list[str], name: str = "pos") -> DataFrame:
     """Adds the 0-based position of each row inside its group.
 
-    When every group is known to be small, a window numbers them in one shuffle. A group above
-    the limit — one digest may hold a third of all rows — is numbered globally instead: its rows
-    span many partitions and the group's first position is subtracted. ``df`` is read twice, so
-    hand in rows whose lineage is cut.
+    All rows are numbered in one global order, so a group that holds a third of them spans many
+    partitions, and the group's first position is subtracted. ``by`` names columns that differ
+    inside a group.
     """
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if largest <= largest_sorted_group:
-        inside = W.partitionBy(*group).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(inside).cast("bigint") - 1)
     everywhere = ordered_positions(df, [*[F.col(g) for g in group], *order], "_at")
     first = everywhere.groupBy(*group).agg(F.min("_at").alias("_first"))
-    joined = everywhere.join(first, group)
+    joined = join_spread(everywhere, first, group, by)
     return joined.withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_first")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.paths import base_name, clean_path, managed_path, path_order
 from ..functions.values import looks_unchanged
 from ..session import cut_lineage
-from .ordering import grouped_positions, ordered_positions
+from .ordering import grouped_positions, join_spread, ordered_positions
 
 # files:   path, indexable, size_bytes, last_modified_ms            (one row per listed path)
 # records: id, path, digest, size_bytes, last_modified_ms, managed  (records under the root)
@@ -17,11 +17,10 @@ from .ordering import grouped_positions, ordered_positions
 def keep_first_per_path(records: DataFrame) -> DataFrame:
     """Flags every record but the first id of a path as ``extra``.
 
-    A map-side minimum per path and a join back: a path that holds very many records is never
-    sorted in one task.
+    A map-side minimum per path and a join back that spreads the records of a hot path.
     """
     first = records.groupBy("path").agg(F.min("id").alias("_first"))
-    return records.join(first, "path").withColumn("extra", F.col("id") != F.col("_first")).drop("_first")
+    return join_spread(records, first, ["path"], ["id"]).withColumn("extra", F.col("id") != F.col("_first")).drop("_first")
 
 
 def _known(records: DataFrame) -> DataFrame:
@@ -50,9 +49,7 @@ def needs_fingerprint(files: DataFrame, records: DataFrame) -> DataFrame:
     return compare_with_known(files, records).where("stage = 'pending'").select("path")
 
 
-def match_moves(
-    new_files: DataFrame, vanished: DataFrame, largest_sorted_group: int = 1_000_000
-) -> DataFrame:
+def match_moves(new_files: DataFrame, vanished: DataFrame) -> DataFrame:
     """``(path, id)``: new files that take over a vanished record of equal content.
 
     The n-th file of a digest in walking order takes the n-th record in id order. Rows whose
@@ -67,10 +64,9 @@ def match_moves(
     )
     both = fresh.unionByName(gone)
     sides = both.groupBy("digest").agg(F.min("is_file").alias("a"), F.max("is_file").alias("b"))
-    shared = cut_lineage(both.join(sides.where("a <> b").select("digest"), "digest", "left_semi"))
+    shared = cut_lineage(join_spread(both, sides.where("a <> b").select("digest"), ["digest"], ["path", "id"], "left_semi"))
     numbered = grouped_positions(
-        shared, ["digest", "is_file"], [path_order(F.col("path")), F.col("id")], "n",
-        largest_sorted_group,
+        shared, ["digest", "is_file"], [path_order(F.col("path")), F.col("id")], ["path", "id"], "n"
     )
     files = numbered.where("is_file").select("digest", "n", "path")
     return files.join(numbered.where("NOT is_file").select("digest", "n", "id"), ["digest", "n"]).select("path", "id")

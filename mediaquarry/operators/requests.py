@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import retryable
-
-SALTS = 16
-
+from .ordering import join_spread
 
 def enqueue_coalesced(queue: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows to insert, mapping id → effective_id)`` for ``incoming`` in ``seq`` order.
@@ -25,16 +23,12 @@ def enqueue_coalesced(queue: DataFrame, incoming: DataFrame) -> tuple[DataFrame,
         incoming.where("state = 'pending' AND coalescing_key <> ''")
         .groupBy("coalescing_key").agg(F.min_by("id", "seq").alias("first_id"), F.min("seq").alias("first_seq"))
     )
-    # Requests without a key never meet another and pass the joins by. The keyed ones are spread over
-    # salts, and each key's one row is repeated for every salt, so a key named by a third of the
-    # batch is joined by many tasks.
-    known = pending.join(first, "coalescing_key", "full").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    keyed = incoming.where("coalescing_key <> ''").withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALTS)))
+    # Requests without a key never meet another and pass the join by.
+    keyed = incoming.where("coalescing_key <> ''")
+    known = pending.join(first, "coalescing_key", "full")
     earlier = F.coalesce(F.col("first_seq") < F.col("seq"), F.lit(False))
     effective = F.coalesce("pending_id", F.when(earlier, F.col("first_id")), "id")
-    judged = keyed.join(known, ["coalescing_key", "_salt"], "left").withColumn("effective_id", effective)
+    judged = join_spread(keyed, known, ["coalescing_key"], ["id"], "left").withColumn("effective_id", effective)
     alone = incoming.where("coalesce(coalescing_key, '') = ''").withColumn("effective_id", F.col("id"))
     judged = judged.select(*alone.columns).unionByName(alone)
     rows = judged.where("effective_id = id").select(queue.columns)

@@ -58,9 +58,7 @@ def commit_staged(committed: DataFrame, staged: DataFrame, tombstones: DataFrame
 #
 # A version is a small manifest: one base folder and the deltas committed since. A commit writes
 # only its own rows, so its cost follows the change and not the table; reading lays the deltas
-# over the base. Every few commits the deltas are folded into a new base.
-
-MAX_DELTAS = 16
+# over the base. ``fold`` writes a new base when reading should not lay over many deltas any more.
 
 
 def _write_manifest(spark: SparkSession, root: str, base: str, deltas: list[str], token: str) -> str:
@@ -122,16 +120,21 @@ def commit(
     folder = f"delta-{uuid.uuid4().hex}"
     delta.write.parquet(f"{root}/{folder}")
     if spark.read.parquet(f"{root}/{folder}").isEmpty():
-        raise Conflict("There are no staged changes to commit.")
+        raise Conflict("nothing is staged")
     now = _manifest(spark, root, None)
     if now is None:
         first = spark.read.parquet(f"{root}/{folder}").where("NOT _deleted").drop("_deleted")
         return publish_version(first, root, token or "")
     token = now["token"] if token is None else token
-    version = _write_manifest(spark, root, now["base"], [*now["deltas"], folder], token)
-    if len(now["deltas"]) + 1 >= MAX_DELTAS:
-        version = publish_version(read_version(spark, root, version), root, token)
-    return version
+    return _write_manifest(spark, root, now["base"], [*now["deltas"], folder], token)
+
+
+def fold(spark: SparkSession, root: str) -> str:
+    """Write the current version as one new base without deltas; to be run beside the commits."""
+    now = _manifest(spark, root, None)
+    if now is None:
+        raise FileNotFoundError(root)
+    return publish_version(read_version(spark, root, None), root, now["token"])
 
 
 def restore(spark: SparkSession, root: str, version: str) -> None:

@@ -106,7 +106,7 @@ def rescan(spark: SparkSession, root: str, store: str, follow_symlinks: bool = F
     folder.
     """
     if not folder_exists(spark, root):
-        raise FileNotFoundError(f"Library root does not exist: {root}")
+        raise FileNotFoundError(f"no folder {root}")
     files = listed_files(spark, root, follow_symlinks)
     records = committed_records(spark, store)
     under = records.where(within_root(F.col("identity.absolute_path"), F.lit(root)))

@@ -69,8 +69,8 @@ def _search_sql(text: str) -> str:
 
 
 _SEARCHES = {
-    "search_terms": "the an", "search_prefix": "erba", "search_phrase": "img_1 the",
-    "search_hostile_text": 'AND "the* (de NEAR:', "search_accents": "énergie été",
+    "search_terms": "the an", "search_prefix": "thre", "search_phrase": "img_1 the",
+    "search_hostile_text": 'AND "the* (of OR:', "search_accents": "cióne",
     "search_repeated_term": "und und der",
 }
 for _name, _text in _SEARCHES.items():

@@ -17,6 +17,7 @@ def local_session(cores: str = "8", app: str = "mediaquarry") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.mediaquarry.inputPartitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config(

@@ -64,13 +64,13 @@ def view(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out an input that comes in fewer pieces than there are cores.
+    """Deal the rows out to ``spark.mediaquarry.inputPartitions`` tasks, where the session sets it.
 
-    One Parquet row group is one task, however many cores wait. Large inputs have more pieces
-    than cores and are left alone: no shuffle is added where it would cost anything.
+    One Parquet row group is one task, however many cores wait: a session over small files may ask
+    for more. Without the setting the files' own splits stand and nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    wanted = int(df.sparkSession.conf.get("spark.mediaquarry.inputPartitions", "0"))
+    return df.repartition(wanted) if wanted else df
 
 
 def _key(column: str = "doc_id", mark: str = "m") -> Column:

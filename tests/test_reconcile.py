@@ -159,15 +159,14 @@ def test_store_equivalence_sees_a_double(spark):
 
 
 def test_a_hot_digest_is_numbered_over_many_tasks(spark):
-    """The same pairs whether a group is small enough for a window or not."""
+    """Files and records of a digest pair up in order, however many there are."""
     paths = [(f"/r/{i % 7}/{i:03d}.jpg", "empty" if i % 3 else f"d{i % 5}") for i in range(300)]
     olds = [(f"id{i:03d}", "empty" if i % 4 else f"d{i % 5}") for i in range(250)]
     new = spark.createDataFrame(paths, "path string, digest string")
     gone = spark.createDataFrame(olds, "id string, digest string")
-    window = sorted(map(tuple, rec.match_moves(new, gone).collect()))
-    spread = sorted(map(tuple, rec.match_moves(new, gone, largest_sorted_group=0).collect()))
+    found = sorted(map(tuple, rec.match_moves(new, gone).collect()))
     want = []
     for digest in {d for _, d in paths}:
         left = sorted((p for p, d in paths if d == digest), key=lambda p: p.split("/"))
         want += zip(left, sorted(i for i, d in olds if d == digest))
-    assert window == spread == sorted(want)
+    assert found == sorted(want)

@@ -178,8 +178,7 @@ def test_commit_restore_and_empty_commit(spark, tmp_path):
         versions.restore(spark, base, "version-none")
 
 
-def test_many_commits_fold_into_a_new_base(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(versions, "MAX_DELTAS", 3)
+def test_deltas_fold_into_a_new_base(spark, tmp_path):
     base, want = str(tmp_path / "store"), {}
     for step in range(6):
         rows = [(f"k{i}", step) for i in range(step, step + 3)]
@@ -190,6 +189,8 @@ def test_many_commits_fold_into_a_new_base(spark, tmp_path, monkeypatch):
         want.update(rows)
         for (name,) in gone:
             want.pop(name)
+        if step % 3 == 2:
+            versions.fold(spark, base)
         assert dict(map(tuple, versions.read_version(spark, base).collect())) == want
 
 
@@ -283,3 +284,33 @@ def test_text_corpus(spark, tmp_path):
     }
 
 
+
+
+def test_outcomes_of_one_id_apply_in_order(spark):
+    queue = spark.createDataFrame(
+        [("a", "pending", 0, 3, 5, "none"), ("b", "running", 2, 3, 5, "none")],
+        "id string, state string, attempts int, max_attempts int, not_before_ms long, last_error_code string",
+    )
+    steps = spark.createDataFrame(
+        [("a", "claimed", None, 1), ("a", "failed", "timeout", 2), ("a", "cancelled", None, 3), ("b", "failed", "timeout", 1), ("b", "claimed", None, 2)],
+        "id string, outcome string, error_code string, n int",
+    )
+    moved = requests.transition(queue, steps, "n").orderBy("id").collect()
+    assert [tuple(r) for r in moved] == [("a", "cancelled", 1, 3, None, "timeout"), ("b", "failed", 3, 3, 5, "timeout")]
+    with pytest.raises(Exception, match="need an order"):
+        requests.transition(queue, steps).collect()
+
+
+def test_a_repeated_id_needs_an_order(spark):
+    base = spark.createDataFrame([("a", 0)], "id string, v int")
+    twice = spark.createDataFrame([("a", 1, 1), ("a", 2, 2)], "id string, v int, n int")
+    assert [tuple(r) for r in versions.apply_records(base, twice, "n").collect()] == [("a", 2)]
+    with pytest.raises(Exception, match="needs an order"):
+        versions.apply_records(base, twice.drop("n")).collect()
+
+
+def test_ids_keep_every_digit(spark):
+    from mediaquarry.sources import adapters
+
+    rows = spark.createDataFrame([(1234567890,), (1234567891,)], "doc_id long")
+    assert sorted(r[0] for r in rows.select(adapters._key()).collect()) == ["m00000000001234567890", "m00000000001234567891"]
