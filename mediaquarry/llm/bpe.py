@@ -24,7 +24,7 @@ from ..session import ship_package
 
 LONG_WORD = 200
 #: Words kept per task between batches; beyond it the store starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 350_000
 _NONE = 1 << 60
 _SHIFT = 20
 # ``str.split`` parts words here, the tokenizer file does not.

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import ship_package
+from .words import slices
 
 FEATURES = 1 << 15
 SMOOTHING = 0.5
@@ -88,7 +89,7 @@ def fit(docs: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = counts.setdefault(lang, np.zeros(FEATURES, np.int64))
                 found += np.bincount(features(text), minlength=FEATURES)
@@ -117,7 +118,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [judge.predict(t) if has_letter(t) else ("und", 0.0, False) for t in batch.column(1).to_pylist()]
             lang, score, unsure = zip(*found) if found else ((), (), ())
             yield pa.record_batch(

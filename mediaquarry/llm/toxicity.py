@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import ship_package
 from .storage import small, stored
+from .words import slices
 
 #: Lengths of the word beginnings that may become terms.
 STEMS = (4, 5, 6)
@@ -33,7 +34,7 @@ THRESHOLD = 0.3
 #: Width and number of the evidence steps that are calibrated.
 STEP, STEPS = 2.0, 16
 #: Pieces of text and automaton states remembered by a worker before it starts anew.
-KEPT_PIECES, KEPT_STATES = 1_000_000, 100_000
+KEPT_PIECES, KEPT_STATES = 300_000, 100_000
 #: Labels that are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 5_000_000
 ADDRESS = frozenset("you your you're youre yours yourself u ur tu te du dich dein deine sie ihr vous vos votre usted".split())
@@ -219,7 +220,7 @@ def _run(docs: DataFrame, lexicon: Lexicon, column: str, kept: list[str]) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [judge.evidence(t) for t in batch.column(0).to_pylist()]
             if column == "score":
                 found = [judge.score(x) for x in found]
@@ -277,7 +278,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             clean = [judge.score(judge.evidence(t)) < THRESHOLD for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
