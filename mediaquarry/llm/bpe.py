@@ -24,7 +24,7 @@ from ..session import ship_package
 
 LONG_WORD = 200
 #: Words kept per task between batches; beyond it the store starts anew.
-KEPT_WORDS = 350_000
+KEPT_WORDS = 150_000
 _NONE = 1 << 60
 _SHIFT = 20
 # ``str.split`` parts words here, the tokenizer file does not.
@@ -38,6 +38,12 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def token_names(spec: str) -> dict[int, str]:
+    """Id → token, the added tokens included: all that decoding needs."""
+    read = json.loads(spec)
+    return {i: t for t, i in [*read["model"]["vocab"].items(), *((t["content"], t["id"]) for t in read["added_tokens"])]}
+
+
 class WordTokenizer:
     """The encoder and decoder of one tokenizer file in JSON form."""
 
@@ -185,13 +191,13 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         spec = encoded.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = loaded(spec.value)
+        tokens = token_names(spec.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 ends = [0, *np.cumsum(pa.compute.list_value_length(part.column(1)).fill_null(0).to_numpy()).tolist()]
                 flat = part.column(1).flatten().to_pylist()
-                texts = [tokenizer.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
+                texts = [" ".join([tokens[i] for i in flat[a:b]]) for a, b in zip(ends, ends[1:])]
                 yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     kept = encoded.select("doc_id", "ids")

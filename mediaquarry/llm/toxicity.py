@@ -34,7 +34,7 @@ THRESHOLD = 0.3
 #: Width and number of the evidence steps that are calibrated.
 STEP, STEPS = 2.0, 16
 #: Pieces of text and automaton states remembered by a worker before it starts anew.
-KEPT_PIECES, KEPT_STATES = 300_000, 100_000
+KEPT_PIECES, KEPT_STATES = 100_000, 20_000
 #: Labels that are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 5_000_000
 ADDRESS = frozenset("you your you're youre yours yourself u ur tu te du dich dein deine sie ihr vous vos votre usted".split())
