@@ -60,7 +60,10 @@ class Model:
     """``rates``: a row of n-gram rates per language."""
 
     def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages, self.code = languages, codewords(len(languages))
+        self.languages = languages
+        if not languages:
+            return
+        self.code = codewords(len(languages))
         smooth = counts + SMOOTHING
         rates = smooth / smooth.sum(axis=1, keepdims=True)
         ones = (self.code > 0).astype(float)
