@@ -35,6 +35,8 @@ THRESHOLD = 0.3
 STEP, STEPS = 2.0, 16
 #: Pieces of text and automaton states remembered by a worker before it starts anew.
 KEPT_PIECES, KEPT_STATES = 100_000, 20_000
+#: Letters of a beginning that is remembered, and signs around a word that are no part of it.
+HEAD, _SIGNS = 4, "\"'.,;:!?()[]{}“”„«»‘’_-"
 #: Labels that are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 5_000_000
 ADDRESS = frozenset("you your you're youre yours yourself u ur tu te du dich dein deine sie ihr vous vos votre usted".split())
@@ -109,6 +111,19 @@ class Automaton:
         self.moves[state][letter] = found
         return found
 
+    def dies(self, head: str) -> bool:
+        """No word that begins so is near a term."""
+        if len(self.sets) > KEPT_STATES:
+            self._forget()
+        state = self.start
+        for letter in head:
+            state = self.moves[state].get(letter) if letter in self.moves[state] else self._step(state, letter)
+            if state < 0:
+                return True
+            if any(self.stem[node] and edits == 0 for node, edits in self.sets[state]):
+                return False
+        return False
+
     def weight(self, word: str) -> float:
         """Of the best term near the word, less a part for each edit; 0 if there is none."""
         if len(self.sets) > KEPT_STATES:
@@ -129,10 +144,24 @@ class Automaton:
 
 class Judge:
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.automaton, self.clean = lexicon, Automaton(lexicon.terms), set()
+        self.lexicon, self.automaton, self.clean, self.dead = lexicon, Automaton(lexicon.terms), set(), set()
 
     def _weight(self, piece: str) -> float:
-        """Of the best term in a piece between white space; pieces without one are remembered."""
+        """Of the best term in a piece between white space.
+
+        A plain word mostly dies within its first letters; such beginnings are remembered, and
+        whole pieces without a term only where the beginning is no reason.
+        """
+        bare = piece.strip(_SIGNS)
+        if bare.isalpha():
+            head = bare[:HEAD]
+            if head in self.dead:
+                return 0.0
+            if self.automaton.dies(head):
+                if len(self.dead) >= KEPT_PIECES:
+                    self.dead.clear()
+                self.dead.add(head)
+                return 0.0
         found = max((self.automaton.weight(w) for w in _WORD.findall(piece)), default=0.0)
         if not found and len(piece) < 100:
             if len(self.clean) >= KEPT_PIECES:
