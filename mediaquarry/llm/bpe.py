@@ -159,6 +159,11 @@ def loaded(spec: str) -> WordTokenizer:
     return _LOADED[hash(spec)]
 
 
+def _listed(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *ids]))
+
+
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``(doc_id, text)`` → ``(doc_id, ids)`` with the tokenizer file at ``vocabulary``.
 
@@ -176,14 +181,38 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 ids = [tokenizer.encode(t or "") for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                values = np.concatenate([np.empty(0, np.int32), *ids])
-                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(ends, values)], ["doc_id", "ids"])
+                yield pa.record_batch([part.column(0), _listed(ids)], ["doc_id", "ids"])
 
     schema = T.StructType([docs.select("doc_id").schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``(doc_id, text)`` → ``(doc_id, ids, decoded)``: ``decode`` of ``encode`` in one pass.
+
+    One Python worker a core holds one tokenizer, where the two steps in a row need two of each.
+    Nulls, repeats and other columns are treated as by ``encode``.
+    """
+    ship_package(docs.sparkSession)
+    with open(vocabulary, encoding="utf-8") as file:
+        spec = docs.sparkSession.sparkContext.broadcast(file.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = loaded(spec.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                ids = [tokenizer.encode(t or "") for t in part.column(1).to_pylist()]
+                texts = pa.array([tokenizer.decode(i.tolist()) for i in ids], pa.string())
+                yield pa.record_batch([part.column(0), _listed(ids), texts], ["doc_id", "ids", "decoded"])
+
+    schema = T.StructType([
+        docs.select("doc_id").schema[0], T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("decoded", T.StringType()),
+    ])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``(doc_id, ids)`` → the same with ``decoded``: the tokens joined by a space, as without a decoder."""
     ship_package(encoded.sparkSession)

@@ -31,8 +31,7 @@ def tokenizer_file() -> str:
 def op9_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     from . import bpe
 
-    coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), tokenizer_file()), tokenizer_file())
-    return bpe_digests(coded)
+    return bpe_digests(bpe.round_trip(table(spark, folder, "documents"), tokenizer_file()))
 
 
 def bpe_digests(coded: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ def test_bpe(odd_docs, no_docs):
     rows = bpe.decode(bpe.encode(odd_docs, tokenizer_file()), tokenizer_file()).collect()
     assert len(rows) == 12
     assert {r["doc_id"]: r["decoded"] for r in rows}[3] == ""
+    assert sorted(map(str, bpe.round_trip(odd_docs, tokenizer_file()).collect())) == sorted(map(str, rows))
     assert bpe.decode(bpe.encode(no_docs, tokenizer_file()), tokenizer_file()).count() == 0
+    assert bpe.round_trip(no_docs, tokenizer_file()).count() == 0
 
 
 def test_simhash(odd_docs, no_docs):
