@@ -8,7 +8,7 @@ from ..functions import fixed_values as fv
 from ..functions.capture import from_wall_clock_ms, iso_text
 from ..functions.paths import original_path
 from ..functions.values import is_json_object
-from .ordering import join_spread, ordered_positions
+from .ordering import join_spread, ordered_positions, with_previous
 
 
 def nocase(text: Column) -> Column:
@@ -60,11 +60,31 @@ def by_capture_time(media: DataFrame) -> DataFrame:
     return media.select("id", "capture_sort_key").orderBy(*capture_order())
 
 
+#: Pages that end within so many rows are a top-k; deeper ones are cut out of numbered rows.
+TOP_ROWS = 10_000
+
+
+def _slice(rows: DataFrame, order: list[Column], start: int, count: int | None) -> DataFrame:
+    """``count`` rows from ``start`` of an order, ``None`` for the rest, in that order.
+
+    Neither one task nor the driver ever sees more than ``TOP_ROWS`` rows of it.
+    """
+    if count is not None and start + count <= TOP_ROWS:
+        return rows.orderBy(*order).offset(start).limit(count)
+    if start == 0 and count is None:
+        return rows.orderBy(*order)
+    at = F.col("_pos")
+    within = at >= start if count is None else at.between(start, start + count - 1)
+    return ordered_positions(rows, order, "_pos").where(within).orderBy("_pos").drop("_pos")
+
+
 def capture_page(media: DataFrame, offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` … ``offset + limit`` by capture time; a negative limit means the rest."""
-    ordered = media.select("id", "capture_sort_key").orderBy(*capture_order())
-    page = ordered.offset(offset) if offset else ordered
-    return page.limit(limit) if limit >= 0 else page
+    """Rows ``offset`` … ``offset + limit`` by capture time; a negative limit means the rest.
+
+    ``capture_page_after`` is the way to go on from a known row without numbering what is before.
+    """
+    rows = media.select("id", "capture_sort_key")
+    return _slice(rows, capture_order(), max(0, offset), limit if limit >= 0 else None)
 
 
 def capture_page_after(media: DataFrame, key: int, media_id: str, limit: int) -> DataFrame:
@@ -160,7 +180,7 @@ def visible_window(
     """
     start = max(0, first - margin)
     rows = max(0, last) + margin + 1 - start
-    return media.orderBy(*order).offset(start).limit(rows)
+    return _slice(media, order, start, max(0, rows))
 
 
 def effective_retention(limit: int, first: int, last: int, margin: int) -> int:
@@ -188,13 +208,11 @@ def order_preserving_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def is_insertion_only(diff: DataFrame) -> DataFrame:
     """One row: the old list is a subsequence of the new one.
 
-    True when nothing was removed and the kept ids rank the same in both lists; both rankings are
-    distributed, no window sees the whole list.
+    True when nothing was removed and, in the order of the old list, no kept id lies in the new one
+    before the kept id ahead of it. One distributed sort; no window sees the whole list.
     """
-    kept = diff.where("change = 'kept'").select("id", "old_pos", "new_pos")
-    was = ordered_positions(kept, [F.col("old_pos")], "was")
-    now = ordered_positions(kept, [F.col("new_pos")], "now")
-    gone = diff.agg(F.count_if(F.col("change") == "removed")).scalar()
-    return was.select("id", "was").join(now.select("id", "now"), "id").agg(
-        F.count_if(F.col("was") != F.col("now")).alias("moved")
-    ).select(((F.col("moved") == 0) & (gone == 0)).alias("insertion_only"))
+    old = diff.where("change <> 'inserted'").select("change", "old_pos", "new_pos")
+    followed = with_previous(old, [F.col("old_pos")], ["new_pos"])
+    # A removed id refuses by itself, so a missing position before a kept id need not be bridged.
+    refused = (F.col("change") == "removed") | (F.col("previous.new_pos") > F.col("new_pos"))
+    return followed.agg((F.count_if(refused) == 0).alias("insertion_only"))

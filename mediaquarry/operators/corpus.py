@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed_values as fv
+from ..sources.listing import read_files, scan_listing
 
 _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -38,15 +39,13 @@ def language_of(path: Column) -> Column:
 def scan_text_corpus(spark: SparkSession, root: str) -> DataFrame:
     """``(path, text, language)`` of the countable files below ``root``; bad bytes are replaced.
 
-    Spark's file index skips dot-files; add ``scan_listing`` rows for those two names if needed.
+    Names are judged before anything is read; names with a dot or an underscore in front count.
     """
-    base = root.rstrip("/") + "/"
-    files = spark.read.text(base, wholetext=True, recursiveFileLookup=True).select(
-        F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/*", "/").alias("full"),
-        F.col("value").alias("text"),
-    )
-    return countable_files(files.select(
-        F.substring(F.col("full"), F.lit(len(base) + 1), F.length("full")).alias("path"), "text"
+    base = root.rstrip("/")
+    relative = F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path"))
+    wanted = scan_listing(spark, base).where(supported_path(relative) & (language_of(relative) != "Other"))
+    return countable_files(read_files(wanted).where("read_error IS NULL").select(
+        relative.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")
     ))
 
 

@@ -148,18 +148,25 @@ def restore(spark: SparkSession, root: str, version: str) -> None:
 # --- edits ----------------------------------------------------------------------------------
 
 
-def stage_edits(edits: DataFrame, originals: DataFrame) -> DataFrame:
+_BASE = ("base_metadata", "base_recipe", "base_fingerprint", "base_path")
+
+
+def stage_edits(edits: DataFrame, originals: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """``edits(id, metadata, recipe)`` against records → staged rows with their base snapshot.
 
     Only managed originals can be edited; metadata is normalised; the recipe revision grows by
     one exactly when the recipe changed. ``problem`` is NULL, ``notFound`` or
-    ``unsupportedMedia``.
+    ``unsupportedMedia``. ``earlier`` holds rows staged before: an item that is edited again keeps
+    the base snapshot of its first edit, so a change made in between still shows as a conflict.
     """
     base = originals.select(
         "id", "original_storage", F.col("metadata").alias("base_metadata"),
         F.col("recipe").alias("base_recipe"), F.col("fingerprint").alias("base_fingerprint"),
         F.col("managed_original_path").alias("base_path"),
     )
+    if earlier is not None:
+        first = earlier.where("problem IS NULL").select("id", F.lit("managed").alias("original_storage"), *_BASE)
+        base = base.join(first.select("id"), "id", "left_anti").unionByName(first)
     changed = ~F.col("recipe").eqNullSafe(F.col("base_recipe"))
     revision = F.when(changed, F.col("base_recipe.revision") + 1).otherwise(F.col("base_recipe.revision"))
     problem = (
@@ -216,11 +223,17 @@ def save_gate(checked: DataFrame) -> DataFrame:
     )
 
 
-def save_edits(checked: DataFrame, current: DataFrame, new_digests: DataFrame) -> DataFrame:
+def save_edits(
+    checked: DataFrame, current: DataFrame, new_digests: DataFrame, pending: DataFrame | None = None
+) -> DataFrame:
     """Record table after saving; every row of the batch is applied, or the batch is refused.
 
-    ``new_digests(id, digest)`` holds the digests of rewritten files.
+    ``new_digests(id, digest)`` holds the digests of rewritten files, ``pending`` the rows that are
+    staged by others: while there are any, nothing is saved. ``checkpoint_append`` gives the
+    checkpoint row of a batch that was saved.
     """
+    if pending is not None and not pending.isEmpty():
+        raise Conflict("conflict: other changes are staged")
     verdict = save_gate(checked).first()
     if verdict["error"] != "none":
         raise Conflict(f"{verdict['error']}: {verdict['conflicts']} conflicts, {verdict['unsupported']} unsupported")

@@ -97,6 +97,12 @@ def capture_page(t):
     return browse.capture_page(m, 20, 50)
 
 
+@query(f"WITH {q.MEDIA} SELECT id, capture_sort_key FROM media ORDER BY capture_sort_key, id OFFSET 20")
+def capture_page_rest(t):
+    """All rows from an offset: numbered in a distributed order, never in one task."""
+    return browse.capture_page(adapters.media(t), 20, -1)
+
+
 @query(f"""WITH {q.MEDIA} SELECT id, capture_sort_key FROM media
 WHERE (capture_sort_key, id) > (1600000000000, 'm') ORDER BY capture_sort_key, id LIMIT 40""")
 def capture_page_after(t):

@@ -50,6 +50,20 @@ def scan_records(t):
     )
 
 
+@query(f"""WITH {q.DOC} SELECT id, size_bytes, text AS caption, coalesce(wall_ms, -1) AS wall_ms,
+  coalesce(last_modified_ms, -1) AS last_modified_ms, {q.kind('file_name')} AS kind FROM doc""")
+def write_records(t):
+    """Every record written to the packed table and read back from it."""
+    folder = f"{shared_dir(t.spark)}/records-{uuid.uuid4().hex}"
+    record_files.write_records(adapters.records(t), folder)
+    good, _ = record_files.scan_records(t.spark, folder, packed=True)
+    return good.select(
+        "id", F.col("identity.size_bytes").alias("size_bytes"), F.col("metadata.caption").alias("caption"),
+        F.coalesce(wall_clock_ms(F.col("metadata.capture_time.wall_clock")), F.lit(-1)).alias("wall_ms"),
+        F.coalesce("identity.last_modified_ms", F.lit(-1)).alias("last_modified_ms"), F.col("metadata.kind").alias("kind"),
+    )
+
+
 @query(f"""WITH {q.MEDIA} SELECT 'media' AS tbl, count(*) AS rows FROM media
 UNION ALL SELECT 'media_tag', count(*) FROM (SELECT DISTINCT id, unnest([lang, source]) AS tag FROM media)
 UNION ALL SELECT 'media_len', count(*) FROM media""")
@@ -151,6 +165,19 @@ def stage_edits(t):
     )
 
 
+@query(f"""{_EDIT} SELECT id, CAST(greatest(0, least(5, quality * 3 - 1)) AS INTEGER) AS rating,
+  CAST(greatest(0, least(5, doc_id % 9 - 2)) AS INTEGER) AS base_rating FROM e WHERE managed""")
+def stage_edits_again(t):
+    """A second edit, while the records have changed, against the base of the first one."""
+    first, r = _staged_edits(t)
+    asked = first.where("problem IS NULL").select(
+        "id", F.col("metadata").withField("rating", F.when(F.col("metadata.rating") > 0, 2).otherwise(-1)).alias("metadata"), "recipe"
+    )
+    changed = r.withColumn("metadata", F.col("metadata").withField("rating", F.lit(4)))
+    again = versions.stage_edits(asked, changed, first)
+    return again.select("id", "metadata.rating", F.greatest(F.lit(0), F.least(F.lit(5), F.col("base_metadata.rating"))).alias("base_rating"))
+
+
 def _checked(t):
     staged, r = _staged_edits(t)
     n = _d()

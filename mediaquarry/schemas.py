@@ -41,6 +41,8 @@ LISTING = (
     "path string, file_name string, is_directory boolean, is_symlink boolean, "
     "size_bytes bigint, last_modified_ms bigint"
 )
+RECORD_TABLE = "record_file string, shard string, json string"
+FILE = "path string, last_modified_ms bigint, length bigint, content binary, read_error string"
 HASHED = "path string, digest string, read_error string"
 EVENT = "root string, kind string, path string, rename_cookie bigint, observed_at timestamp_ntz"
 WORK_REQUEST = (

@@ -6,12 +6,14 @@ that must be exact walks the folders itself: one Spark pass per folder depth.
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 import os
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
@@ -19,6 +21,12 @@ from ..session import shared_dir, ship_package
 
 _BATCH = 10_000
 _CHUNK = 1 << 20
+#: Bytes of whole files held before they are handed on, and the largest file read whole.
+_READ, _LARGEST = 8 << 20, (1 << 31) - (1 << 16)
+_FILE = {
+    "path": pa.string(), "last_modified_ms": pa.int64(), "length": pa.int64(), "content": pa.binary(),
+    "read_error": pa.string(),
+}
 
 
 def _list_folders(follow_symlinks: bool):
@@ -86,27 +94,72 @@ def scan_listing(spark: SparkSession, root: str, follow_symlinks: bool = False)
     )
 
 
+def _read_whole(path: str) -> tuple:
+    try:
+        with open(path, "rb") as source:
+            stat = os.fstat(source.fileno())
+            if stat.st_size > _LARGEST:
+                return path, None, stat.st_size, None, "tooLarge"
+            content = source.read()
+            return path, stat.st_mtime_ns // 1_000_000, len(content), content, None
+    except FileNotFoundError:
+        return path, None, None, None, "notFound"
+    except OSError:
+        return path, None, None, None, "permissionDenied"
+
+
+def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(_FILE)
+        return pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, _FILE.values())], list(_FILE))
+
+    for batch in batches:
+        rows, held = [], 0
+        for path in batch.column(0).to_pylist():
+            rows.append(_read_whole(path))
+            held += len(rows[-1][3] or b"")
+            if held >= _READ:
+                yield packed(rows)
+                rows, held = [], 0
+        yield packed(rows)
+
+
+def read_files(paths: DataFrame) -> DataFrame:
+    """``path`` of each row → ``(path, last_modified_ms, length, content, read_error)``, a row per path.
+
+    ``read_error`` is NULL, ``notFound``, ``permissionDenied`` or ``tooLarge`` (beyond a binary
+    value; ``hash_files`` streams such files). Few whole files are held at a time.
+    """
+    spark = paths.sparkSession
+    ship_package(spark)
+    wanted = paths.where("path IS NOT NULL").select("path").repartition(spark.sparkContext.defaultParallelism * 4)
+    return wanted.mapInArrow(_read_batches, schemas.FILE)
+
+
 def scan_binary(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """``(path, modificationTime, length, content)``; unread columns are never loaded."""
-    reader = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("ignoreMissingFiles", True)
-    )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(folder)
-    return files.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+    """The rows of ``read_files`` for every file below ``folder``, hidden ones included.
+
+    ``glob`` is held against the file name. Files without bytes stay as rows with ``read_error``.
+    """
+    listed = scan_listing(spark, folder)
+    return read_files(listed.where(F.col("file_name").rlike(fnmatch.translate(glob))) if glob else listed)
 
 
 def scan_sidecars(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_binary(spark, folder, "*.xmp").select("path", "content")
+    return scan_binary(spark, folder, "*.xmp").where("read_error IS NULL").select("path", "content")
 
 
 def read_errors(listing: DataFrame, read: DataFrame) -> DataFrame:
-    """Listed files that gave no bytes, as warning rows; the scan goes on without them."""
-    return (
-        listing.select("path").join(read.select("path"), "path", "left_anti")
-        .select("path", F.lit("notFound").alias("code"), F.lit("Cannot read file").alias("message"))
+    """Listed files that gave no bytes, as warning rows; the scan goes on without them.
+
+    The code is the ``read_error`` of the rows read, where they have one; a path that was not
+    read at all is ``notFound``.
+    """
+    reason = F.col("read_error") if "read_error" in read.columns else F.lit(None).cast("string")
+    told = read.select("path", F.coalesce(reason, F.lit("none")).alias("_code"))
+    code = F.coalesce("_code", F.lit("notFound"))
+    return listing.select("path").join(told, "path", "left").where(code != "none").select(
+        "path", code.alias("code"), F.lit("Cannot read file").alias("message")
     )
 
 

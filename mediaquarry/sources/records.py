@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions.capture import iso_ms_text, iso_with_ms, parse_iso, wall_clock_ms
-from ..functions.paths import record_file_name, shard_for
+from ..functions.paths import base_name, record_file_name, shard_for
 from ..functions.values import (
     decode_media_kind, decode_origin, is_json_object, unknown_members,
 )
+from .listing import scan_binary
 
 
 _JSON_CONFLICTS = (
@@ -134,18 +135,24 @@ def _nested_unknown(member: str, known: list[str]):
     )
 
 
-def scan_records(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """``(records, problems)`` of a folder of record files.
+def scan_records(spark: SparkSession, folder: str, packed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(records, problems)`` of a folder of record files, or of the table of ``write_records``.
 
-    Hidden names, so the dot-named library descriptor too, are skipped by the file index.
+    Record names never begin with a dot, so such names, the library descriptor among them, are no
+    records; every other ``*.json`` is one. A file that cannot be read is a problem row too.
     Listing order is a sort on ``id`` by whoever needs it.
     """
-    files = spark.read.text(
-        folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json"
-    ).select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("record_file"))
-    parsed = parse_records(files)
-    good = parsed.where("problem IS NULL").drop("problem", "json", "record_file")
-    bad = parsed.where("problem IS NOT NULL").select("record_file", "problem")
+    if packed:
+        files = spark.read.schema(schemas.RECORD_TABLE).parquet(folder).withColumn("read_error", F.lit(None).cast("string"))
+    else:
+        found = scan_binary(spark, folder, "*.json").where(~base_name(F.col("path")).startswith("."))
+        files = found.select(
+            F.col("path").alias("record_file"), F.make_valid_utf8(F.col("content").cast("string")).alias("json"), "read_error"
+        )
+    parsed = parse_records(files.select("record_file", "json", "read_error"))
+    problem = F.coalesce("read_error", "problem")
+    good = parsed.where(problem.isNull()).drop("problem", "json", "record_file", "read_error")
+    bad = parsed.where(problem.isNotNull()).select("record_file", problem.alias("problem"))
     return good, bad
 
 
@@ -242,11 +249,15 @@ def _with_members(json_object, members):
 
 
 def write_records(records: DataFrame, folder: str) -> None:
-    """Write record JSON as text, partitioned by the two-character shard of the file name."""
+    """Write one packed table of record texts; ``scan_records(..., packed=True)`` reads it back.
+
+    ``record_file`` and its two-character ``shard`` say where the record lies as a loose file. The
+    shard is a column and no folder: ids share their beginnings, so one folder could hold all rows.
+    """
     named = records.withColumn("record_file", record_file_name(F.col("id"))).select(
-        shard_for(F.col("record_file")).alias("shard"), record_json().alias("value")
+        "record_file", shard_for(F.col("record_file")).alias("shard"), record_json().alias("json")
     )
-    named.write.mode("overwrite").partitionBy("shard").text(folder)
+    named.write.mode("overwrite").parquet(folder)
 
 
 def library_descriptor(name, created_at_ms, library_id, user_id):

@@ -68,6 +68,19 @@ def test_pages_filters_and_windows(spark):
     assert browse.effective_retention(10, 0, 9, 5) == 36 and browse.effective_retention(10, -1, -1, 5) == 10
 
 
+def test_deep_pages_are_cut_from_positions(spark, monkeypatch):
+    m = media(spark, [item(f"{i:02d}", capture=i // 3) for i in range(30)])
+    monkeypatch.setattr(browse, "TOP_ROWS", 4)
+    names = [f"{i:02d}" for i in range(30)]
+    for offset, limit in [(0, 3), (2, 9), (25, 90), (30, 2), (0, -1), (7, -1), (40, -1), (5, 0)]:
+        page = browse.capture_page(m, offset, limit)
+        assert ids(page) == names[offset:][: limit if limit >= 0 else None], (offset, limit)
+        if offset and (limit < 0 or offset + limit > 4):
+            # Neither a limit nor an offset, which gather rows in one task or on the driver.
+            plan = page._jdf.queryExecution().executedPlan().toString()
+            assert "Limit" not in plan and "TakeOrdered" not in plan
+
+
 def test_insertion_only(spark):
     order = lambda text: spark.createDataFrame([(c, i) for i, c in enumerate(text)], "id string, pos bigint")
     for old, new, want in [("abc", "xaybzc", True), ("abc", "acb", False), ("abc", "ab", False), ("", "ab", True), ("ab", "ab", True)]:
@@ -126,6 +139,8 @@ def test_record_files_round_trip(spark, tmp_path):
     for row in r.select("id", files.record_json().alias("j")).collect():
         with open(f"{folder}/{row.id}.json", "w") as out:
             out.write(row.j)
+    os.makedirs(f"{folder}/_a/.b")
+    os.rename(f"{folder}/m00000000000000000003.json", f"{folder}/_a/.b/_x.json")
     for name, text in {"bad.json": "{", "tail.json": '{"id":"x"} y', "list.json": "[1]", "noid.json": "{}", ".library.json": "{}"}.items():
         with open(f"{folder}/{name}", "w") as out:
             out.write(text)
@@ -133,8 +148,10 @@ def test_record_files_round_trip(spark, tmp_path):
     assert projection.state_token(good).first()[0] == projection.state_token(r).first()[0]
     assert sorted(x.problem for x in bad.collect()) == ["corruptData", "corruptData", "corruptData", "invalidId"]
     files.write_records(r, str(tmp_path / "written"))
-    shards = spark.read.text(str(tmp_path / "written"))
-    assert shards.count() == 30 and {x.shard for x in shards.select("shard").collect()} == {"m0"}
+    rows = spark.read.parquet(str(tmp_path / "written")).collect()
+    assert len(rows) == 30 and {x.shard for x in rows} == {"m0"} and all(x.record_file.endswith(".json") for x in rows)
+    good, bad = files.scan_records(spark, str(tmp_path / "written"), packed=True)
+    assert projection.state_token(good).first()[0] == projection.state_token(r).first()[0] and bad.isEmpty()
 
 
 def test_legacy_defaults(spark):
@@ -265,7 +282,10 @@ def test_listing_and_hashes(spark, tmp_path):
     read = listing.scan_binary(spark, str(root))
     whole = {r.path: r.d for r in read.select("path", F.sha2("content", 256).alias("d")).collect()}
     assert whole[str(root / "a" / "1.jpg")] == hashed[str(root / "a" / "1.jpg")][0]
-    assert listing.read_errors(asked, read).where("path LIKE '%gone.jpg'").count() == 1
+    assert listing.read_errors(asked, read).where("path LIKE '%gone.jpg' AND code = 'notFound'").count() == 1
+    tried = spark.createDataFrame([(str(root),), (str(root / "gone.jpg"),), (None,)], "path string")
+    codes = {r.path: r.code for r in listing.read_errors(tried, listing.read_files(tried)).collect()}
+    assert codes[str(root)] == "permissionDenied" and codes[str(root / "gone.jpg")] == "notFound"
 
 
 def test_text_corpus(spark, tmp_path):
@@ -273,6 +293,7 @@ def test_text_corpus(spark, tmp_path):
     for name, text in {
         "src/a b+c.py": "# one\n\nx = 1\r\ny = 2\x0c", "src/b.cpp": "/* a\nb */ c\n// d\nint x;\n", "build/no.py": "x\n",
         "docs/metrics/no.md": "x\n", "x.unknown": "x\n", "Makefile": "#a\n\tb\n", "c.css": "* star\n/* one */\n",
+        "src/__init__.py": "", "_util.py": "y = 1\n", ".gitignore": "*.o\n", ".hidden.py": "x\n",
     }.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text, newline="")
@@ -280,12 +301,34 @@ def test_text_corpus(spark, tmp_path):
     found = {r.path: (r.language, r.lines, r.blank, r.comment, r.code) for r in rows.collect()}
     assert found == {
         "src/a b+c.py": ("Python", 4, 1, 1, 2), "src/b.cpp": ("C++", 4, 0, 3, 1), "Makefile": ("Make", 2, 0, 1, 1),
-        "c.css": ("CSS", 2, 0, 2, 0),
+        "c.css": ("CSS", 2, 0, 2, 0), "src/__init__.py": ("Python", 0, 0, 0, 0), "_util.py": ("Python", 1, 0, 0, 1),
     }
 
 
 
 
+def test_a_second_edit_keeps_the_first_base(spark):
+    from conftest import SMALL
+    from mediaquarry.sources import adapters
+
+    r = adapters.records(adapters.Tables(spark, SMALL)).where("original_storage = 'managed'").limit(3).cache()
+    ask = lambda rating: r.select("id", F.col("metadata").withField("rating", F.lit(rating)).alias("metadata"), "recipe")
+    first = versions.stage_edits(ask(1), r)
+    moved = r.withColumn("metadata", F.col("metadata").withField("caption", F.lit("changed meanwhile")))
+    again = versions.stage_edits(ask(2), moved, first)
+    bases = {x.id: x.base_metadata for x in first.collect()}
+    assert {x.id: x.base_metadata for x in again.collect()} == bases and {x.metadata.rating for x in again.collect()} == {2}
+    contents = r.select("id", F.col("fingerprint.digest").alias("digest"))
+    late = versions.edit_conflicts(again, moved, contents)
+    assert {x.conflict for x in late.collect()} == {"changed"}
+    good = versions.edit_conflicts(versions.stage_edits(ask(2), r, first), r, contents)
+    digests = r.limit(0).select("id", F.lit("d").alias("digest"))
+    with pytest.raises(versions.Conflict):
+        versions.save_edits(good, r, digests, pending=r.select("id"))
+    with pytest.raises(versions.Conflict):
+        versions.save_edits(late, moved, digests)
+
+
 def test_outcomes_of_one_id_apply_in_order(spark):
     queue = spark.createDataFrame(
         [("a", "pending", 0, 3, 5, "none"), ("b", "running", 2, 3, 5, "none")],
