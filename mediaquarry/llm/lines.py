@@ -70,11 +70,15 @@ def signatures(distinct: DataFrame) -> DataFrame:
 def candidates(signed: DataFrame) -> DataFrame:
     """``(a, b)``, first digests, a < b: every line with two leaders of each band bucket it shares.
 
-    A bucket gives two pairs a line, whatever its size; the seven bands have different leaders.
+    A bucket gives two pairs a line, whatever its size. Its key mixes the order of its lines, so the
+    seven buckets that two lines may share have leaders of their own.
     """
     keys = [F.xxhash64(F.lit(b), "kind", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     banded = signed.select("d1", F.explode(F.array(*keys)).alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x < y")
+    mixed = F.col("d1").bitwiseXOR(F.col("band"))
+    leaders = banded.groupBy("band").agg(F.min(mixed).alias("x"), F.max(mixed).alias("y")).where("x < y").select(
+        "band", *[F.col(side).bitwiseXOR(F.col("band")).alias(side) for side in ("x", "y")]
+    )
     # The side that a hot bucket makes large is spread over salts, the other repeated for each.
     spread = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     met = banded.withColumn("salt", F.pmod("d1", F.lit(_SALTS)).cast("int")).join(spread, ["band", "salt"])
