@@ -74,21 +74,25 @@ def candidates(signed: DataFrame) -> DataFrame:
     seven buckets that two lines may share have leaders of their own.
     """
     keys = [F.xxhash64(F.lit(b), "kind", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    banded = signed.select("d1", F.explode(F.array(*keys)).alias("band"))
+    # A hot bucket is dealt out by salt, once for both uses. The salt is an expression that is never
+    # null: a test for null would be pushed into one of the two and part their plans.
+    salt = F.col("d1").bitwiseAND(_SALTS - 1).alias("salt")
+    banded = signed.select("d1", salt, F.explode(F.array(*keys)).alias("band")).repartition("band", "salt")
     mixed = F.col("d1").bitwiseXOR(F.col("band"))
-    leaders = banded.groupBy("band").agg(F.min(mixed).alias("x"), F.max(mixed).alias("y")).where("x < y").select(
+    ends = banded.groupBy("band", "salt").agg(F.min(mixed).alias("x"), F.max(mixed).alias("y"))
+    leaders = ends.groupBy("band").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x < y").select(
         "band", *[F.col(side).bitwiseXOR(F.col("band")).alias(side) for side in ("x", "y")]
     )
-    # The side that a hot bucket makes large is spread over salts, the other repeated for each.
-    spread = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    met = banded.withColumn("salt", F.pmod("d1", F.lit(_SALTS)).cast("int")).join(spread, ["band", "salt"])
+    spread = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))))
+    met = banded.join(spread, ["band", "salt"])
     pairs = met.select("d1", F.explode(F.array("x", "y")).alias("other")).where("d1 <> other")
     return pairs.select(F.least("d1", "other").alias("a"), F.greatest("d1", "other").alias("b")).distinct()
 
 
-def _set(wide: str) -> Column:
-    """Shingle hashes of a column of wide lines; a column, as an expression would be encoded anew for each shingle."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(F.col(wide))), lambda at: _shingle(F.col(wide), at)))
+def _set(line: str) -> Column:
+    """Shingles of a line by signs; a line shorter than a shingle is one."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), 1)
+    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(found))
 
 
 def links(lines: DataFrame) -> DataFrame:
@@ -97,10 +101,12 @@ def links(lines: DataFrame) -> DataFrame:
     distinct = lines.groupBy("d1").agg(F.collect_set("line").alias("same")).select("d1", F.explode("same").alias("line"))
     pairs = candidates(signatures(distinct))
     for side in ("a", "b"):
-        named = distinct.select(F.col("d1").alias(side), _digest(F.col("line")).alias(f"{side}2"), _wide(F.col("line")).alias(f"{side}_wide"))
+        named = distinct.select(F.col("d1").alias(side), _digest(F.col("line")).alias(f"{side}2"), F.col("line").alias(f"{side}_line"))
         pairs = pairs.join(named, side)
-    sets = pairs.select("a", "a2", "b", "b2", _set("a_wide").alias("a_set"), _set("b_wide").alias("b_set"))
-    both = F.size(F.array_intersect("a_set", "b_set"))
+    sets = pairs.select("a", "a2", "b", "b2", _set("a_line").alias("a_set"), _set("b_line").alias("b_set"))
+    # Exploded, the size stays behind the sets; as a plain expression it would become part of the
+    # join's condition, which builds every set three times.
+    both = F.explode(F.array(F.size(F.array_intersect("a_set", "b_set"))))
     sized = sets.select("a", "a2", "b", "b2", (F.size("a_set") + F.size("b_set")).alias("sum"), both.alias("both"))
     return sized.where(F.col("both") >= SIMILARITY * (F.col("sum") - F.col("both"))).select(
         F.struct(F.col("a").alias("d1"), F.col("a2").alias("d2")).alias("a"),
