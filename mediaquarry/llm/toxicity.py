@@ -34,7 +34,7 @@ THRESHOLD = 0.3
 #: Width and number of the evidence steps that are calibrated.
 STEP, STEPS = 2.0, 16
 #: Pieces of text and automaton states remembered by a worker before it starts anew.
-KEPT_PIECES, KEPT_STATES = 100_000, 20_000
+KEPT_PIECES, KEPT_STATES = 200_000, 40_000
 #: Letters of a beginning that is remembered, and signs around a word that are no part of it.
 HEAD, _SIGNS = 4, "\"'.,;:!?()[]{}“”„«»‘’_-"
 #: Labels that are broadcast; more are joined by a shuffle.
@@ -77,13 +77,20 @@ class Automaton:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers, self.sets, self.moves = {}, [], []
+        self.numbers, self.sets, self.moves, self.begun, self.ended = {}, [], [], [], []
         self.start = self._number(frozenset([(0, 0)]))
 
     def _number(self, state: frozenset) -> int:
         if state not in self.numbers:
             self.numbers[state] = len(self.sets)
             self.sets.append(state), self.moves.append({})
+            # What a word is worth that has come here, and that ends here.
+            begun = [self.stem[node][0] for node, edits in state if self.stem[node] and edits == 0]
+            ended = [
+                self.whole[node][0] * (1 - 0.3 * edits) for node, edits in state
+                if self.whole[node] and edits <= min(2, self.whole[node][1])
+            ]
+            self.begun.append(max(begun, default=0.0)), self.ended.append(max(ended, default=0.0))
         return self.numbers[state]
 
     def _closed(self, reached: set[tuple[int, int]]) -> frozenset:
@@ -117,10 +124,11 @@ class Automaton:
             self._forget()
         state = self.start
         for letter in head:
-            state = self.moves[state].get(letter) if letter in self.moves[state] else self._step(state, letter)
+            to = self.moves[state].get(letter)
+            state = self._step(state, letter) if to is None else to
             if state < 0:
                 return True
-            if any(self.stem[node] and edits == 0 for node, edits in self.sets[state]):
+            if self.begun[state]:
                 return False
         return False
 
@@ -128,41 +136,40 @@ class Automaton:
         """Of the best term near the word, less a part for each edit; 0 if there is none."""
         if len(self.sets) > KEPT_STATES:
             self._forget()
-        state, best = self.start, 0.0
+        moves, begun, state, best = self.moves, self.begun, self.start, 0.0
         for letter in word:
-            state = self.moves[state].get(letter) if letter in self.moves[state] else self._step(state, letter)
+            to = moves[state].get(letter)
+            state = self._step(state, letter) if to is None else to
             if state < 0:
                 return best
-            for node, edits in self.sets[state]:
-                if self.stem[node] and edits == 0:
-                    best = max(best, self.stem[node][0])
-        for node, edits in self.sets[state]:
-            if self.whole[node] and edits <= min(2, self.whole[node][1]):
-                best = max(best, self.whole[node][0] * (1 - 0.3 * edits))
-        return best
+            if begun[state] > best:
+                best = begun[state]
+        return max(best, self.ended[state])
 
 
 class Judge:
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.automaton, self.clean, self.dead = lexicon, Automaton(lexicon.terms), set(), set()
+        self.lexicon, self.automaton, self.clean, self.dead = lexicon, Automaton(lexicon.terms), set(), {}
 
     def _weight(self, piece: str) -> float:
         """Of the best term in a piece between white space.
 
-        A plain word mostly dies within its first letters; such beginnings are remembered, and
-        whole pieces without a term only where the beginning is no reason.
+        A plain word mostly dies within its first letters; whether it does is remembered for each
+        beginning, and whole pieces without a term only where the beginning is no reason.
         """
         bare = piece.strip(_SIGNS)
         if bare.isalpha():
             head = bare[:HEAD]
-            if head in self.dead:
-                return 0.0
-            if self.automaton.dies(head):
+            dead = self.dead.get(head)
+            if dead is None:
                 if len(self.dead) >= KEPT_PIECES:
                     self.dead.clear()
-                self.dead.add(head)
+                dead = self.dead[head] = self.automaton.dies(head)
+            if dead:
                 return 0.0
-        found = max((self.automaton.weight(w) for w in _WORD.findall(piece)), default=0.0)
+            found = self.automaton.weight(bare)
+        else:
+            found = max((self.automaton.weight(w) for w in _WORD.findall(piece)), default=0.0)
         if not found and len(piece) < 100:
             if len(self.clean) >= KEPT_PIECES:
                 self.clean.clear()
