@@ -3,7 +3,8 @@
 Equal lines are one line from the start. A line's shingles are all its runs of nine characters; the
 signature holds, for each of 21 masks, the smallest shingle hash under that mask. Lines that agree
 on three masks of a band are candidates; the exact Jaccard similarity of their shingle sets decides,
-and one line of every component of linked lines stays: the first by document and line number.
+and one line of every component of linked lines stays: the first by document and line number. Each
+line is compared with two leaders of its buckets first, then with all others that are still apart.
 """
 
 from __future__ import annotations
@@ -67,39 +68,63 @@ def signatures(distinct: DataFrame) -> DataFrame:
     )
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """``(a, b)``, first digests, a < b: every line with two leaders of each band bucket it shares.
+def buckets(signed: DataFrame) -> DataFrame:
+    """``(d1, band, x, y, n)``: a line in each band bucket it shares, the bucket's leaders and size.
 
-    A bucket gives two pairs a line, whatever its size. Its key mixes the order of its lines, so the
-    seven buckets that two lines may share have leaders of their own.
+    A key mixes the order of its lines, so the seven buckets that two lines may share have leaders of
+    their own.
     """
     keys = [F.xxhash64(F.lit(b), "kind", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     # A hot bucket is dealt out by salt, once for both uses. The salt is an expression that is never
     # null: a test for null would be pushed into one of the two and part their plans.
-    salt = F.col("d1").bitwiseAND(_SALTS - 1).alias("salt")
-    banded = signed.select("d1", salt, F.explode(F.array(*keys)).alias("band")).repartition("band", "salt")
+    banded = signed.select("d1", _salt().alias("salt"), F.explode(F.array(*keys)).alias("band")).repartition("band", "salt")
     mixed = F.col("d1").bitwiseXOR(F.col("band"))
-    ends = banded.groupBy("band", "salt").agg(F.min(mixed).alias("x"), F.max(mixed).alias("y"))
-    leaders = ends.groupBy("band").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x < y").select(
-        "band", *[F.col(side).bitwiseXOR(F.col("band")).alias(side) for side in ("x", "y")]
+    ends = banded.groupBy("band", "salt").agg(F.min(mixed).alias("x"), F.max(mixed).alias("y"), F.count("*").alias("n"))
+    leaders = ends.groupBy("band").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.sum("n").alias("n")).where("x < y").select(
+        "band", *[F.col(side).bitwiseXOR(F.col("band")).alias(side) for side in ("x", "y")], "n"
     )
-    spread = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))))
-    met = banded.join(spread, ["band", "salt"])
+    return banded.join(leaders.withColumn("salt", _salts()), ["band", "salt"]).drop("salt")
+
+
+def _salt() -> Column:
+    return F.col("d1").bitwiseAND(_SALTS - 1)
+
+
+def _salts() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint")))
+
+
+def leader_pairs(met: DataFrame) -> DataFrame:
+    """``(a, b)``, first digests, a < b: every line with the two leaders of each bucket it shares."""
     pairs = met.select("d1", F.explode(F.array("x", "y")).alias("other")).where("d1 <> other")
     return pairs.select(F.least("d1", "other").alias("a"), F.greatest("d1", "other").alias("b")).distinct()
 
 
+def rest_pairs(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: all lines that share a bucket, were not compared and are not one component yet.
+
+    Leaders have met their whole bucket. Pairs within a component change nothing, so a bucket of
+    copies gives none, whatever its size; lines that are no copies of each other must all be told apart.
+    """
+    rest = met.where("n > 3 and d1 <> x and d1 <> y").select("band", "d1")
+    named = roots.select(F.col("node.d1").alias("d1"), "root")
+    alone = F.struct("d1", F.lit(0).cast("bigint").alias("d2"))
+    rest = stored(rest.join(named, "d1", "left").select("band", "d1", F.coalesce("root", alone).alias("root")))
+    mixed = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    rest = rest.join(mixed, "band", "left_semi")
+    one = rest.select("band", F.col("d1").alias("a"), F.col("root").alias("a_root"), _salt().alias("salt"))
+    other = rest.select("band", F.col("d1").alias("b"), F.col("root").alias("b_root"), _salts().alias("salt"))
+    return one.join(other, ["band", "salt"]).where("a < b and a_root <> b_root").select("a", "b").distinct()
+
+
 def _set(line: str) -> Column:
     """Shingles of a line by signs; a line shorter than a shingle is one."""
     found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), 1)
     return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(found))
 
 
-def links(lines: DataFrame) -> DataFrame:
-    """``(a, b)``, structs of digests: candidate lines whose shingle sets are similar enough."""
-    # Lines that share the first digest are told apart by the line itself.
-    distinct = lines.groupBy("d1").agg(F.collect_set("line").alias("same")).select("d1", F.explode("same").alias("line"))
-    pairs = candidates(signatures(distinct))
+def similar(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b)``, structs of digests: those of the pairs whose shingle sets are similar enough."""
     for side in ("a", "b"):
         named = distinct.select(F.col("d1").alias(side), _digest(F.col("line")).alias(f"{side}2"), F.col("line").alias(f"{side}_line"))
         pairs = pairs.join(named, side)
@@ -114,6 +139,27 @@ def links(lines: DataFrame) -> DataFrame:
     )
 
 
+def _distinct(lines: DataFrame) -> DataFrame:
+    """``(d1, line)``; lines that share the first digest are told apart by the line itself."""
+    return lines.groupBy("d1").agg(F.collect_set("line").alias("same")).select("d1", F.explode("same").alias("line"))
+
+
+def components(lines: DataFrame) -> DataFrame:
+    """``(node, root)``, structs of digests: the components of all similar lines that share a bucket.
+
+    Leaders link most of a bucket; what they leave apart is then compared in full.
+    """
+    distinct = _distinct(lines)
+    met = stored(buckets(signatures(distinct)))
+    roots = connected_components(similar(distinct, leader_pairs(met)))
+    pairs = stored(rest_pairs(met, roots))
+    if pairs.isEmpty():
+        return roots
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
+    found = similar(_distinct(lines.join(ends, "d1", "left_semi")), pairs)
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)`` → ``(doc_id, line_no, first_doc_id, first_line_no, kept)``, a row per line.
 
@@ -124,7 +170,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     in several of them shares one decision. Other columns are ignored.
     """
     lines = lines_of(docs)
-    roots = connected_components(links(lines)).select("node.d1", "node.d2", "root")
+    roots = components(lines).select("node.d1", "node.d2", "root")
     seen = lines.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
     # Only lines that occur twice or have a link need a word about their component.
     own = F.struct("d1", "d2")

@@ -98,6 +98,31 @@ def test_line_links_have_high_recall_and_no_false_link(spark, docs):
         assert first.setdefault(of[line], true[a]) == true[a]
 
 
+def test_line_components_are_those_of_all_pairs_in_shared_buckets(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    word = lambda n: "".join(rng.choices(letters, k=n))
+    header, every = word(68), set()
+    for _ in range(150):
+        tail = word(8)
+        every |= {f"{header}{tail}{x}" for x in (word(1), word(2))}
+    every = sorted(every)
+    table = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    named = lines.lines_of(table).select("doc_id", "d1", "line")
+    number = {r["d1"]: r["doc_id"] for r in named.collect()}
+    met = {}
+    for r in lines.signatures(named.select("d1", "line")).collect():
+        row = r.asDict()
+        for b in range(lines.BANDS):
+            key = (b, row.get("kind"), *[row[f"m{b * lines.ROWS + i}"] for i in range(lines.ROWS)])
+            met.setdefault(key, set()).add(number[row["d1"]])
+    sets = [{x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)} for x in every]
+    pairs = {(a, b) for bucket in met.values() for a in bucket for b in bucket if a < b}
+    want = groups(range(len(every)), [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert max(map(len, met.values())) > 100 and len(set(want.values())) < len(every)
+    assert {r["doc_id"]: r["first_doc_id"] for r in lines.repeated_lines(table).collect()} == want
+
+
 def test_base_scores(spark, docs):
     tokens = {d: [*t.encode().lower().split(), b" "] for d, t in docs.items()}
     counts = Counter(w for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in ws)
