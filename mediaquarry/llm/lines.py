@@ -20,9 +20,6 @@ SHINGLE = 9
 SIMILARITY = 0.8
 #: Masks per band and bands: at similarity 0.8 a pair meets in some band with 0.993, at 0.9 with 0.9999.
 ROWS, BANDS = 3, 7
-#: Lines of up to ``ALL`` shingles are signed over all of them, lines of ``SOME`` or more over those
-#: whose hash ends in two zero bits. Both kinds overlap so that any similar pair shares one.
-ALL, SOME = 80, 51
 _SALTS = 8
 _random = random.Random(3)
 MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(ROWS * BANDS)]
@@ -56,14 +53,12 @@ def _shingle(wide: Column, at: Column) -> Column:
 
 
 def signatures(distinct: DataFrame) -> DataFrame:
-    """``(d1, line)`` → ``(d1, kind, m0 … m20)``; the rows of a line stay in their partition."""
+    """``(d1, line)`` → ``(d1, m0 … m20)``, over all shingles; the rows of a line stay in their partition."""
     wide = distinct.select("d1", _wide(F.col("line")).alias("wide"))
-    kinds = F.array_compact(F.array(F.when(_last(F.col("wide")) < ALL, 0), F.when(_last(F.col("wide")) + 1 >= SOME, 1)))
-    hashes = wide.select("d1", "wide", F.explode(kinds).alias("kind")).select(
-        "d1", "wide", "kind", F.explode(F.sequence(F.lit(0), _last(F.col("wide")))).alias("at")
-    ).select("d1", "kind", _shingle(F.col("wide"), F.col("at")).alias("h"))
-    some = hashes.where((F.col("kind") == 0) | (F.col("h").bitwiseAND(3) == 0))
-    return some.groupBy("d1", "kind").agg(
+    hashes = wide.select("d1", "wide", F.explode(F.sequence(F.lit(0), _last(F.col("wide")))).alias("at")).select(
+        "d1", _shingle(F.col("wide"), F.col("at")).alias("h")
+    )
+    return hashes.groupBy("d1").agg(
         *[F.min(F.col("h").bitwiseXOR(F.lit(mask))).alias(f"m{i}") for i, mask in enumerate(MASKS)]
     )
 
@@ -74,7 +69,7 @@ def buckets(signed: DataFrame) -> DataFrame:
     A key mixes the order of its lines, so the seven buckets that two lines may share have leaders of
     their own.
     """
-    keys = [F.xxhash64(F.lit(b), "kind", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
+    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     # A hot bucket is dealt out by salt, once for both uses. The salt is an expression that is never
     # null: a test for null would be pushed into one of the two and part their plans.
     banded = signed.select("d1", _salt().alias("salt"), F.explode(F.array(*keys)).alias("band")).repartition("band", "salt")

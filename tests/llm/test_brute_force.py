@@ -123,6 +123,13 @@ def test_line_components_are_those_of_all_pairs_in_shared_buckets(spark):
     assert {r["doc_id"]: r["first_doc_id"] for r in lines.repeated_lines(table).collect()} == want
 
 
+def test_lines_of_equal_shingles_link_at_any_length(spark):
+    every = [sign * n for sign in "-=*_~" for n in (40, 100, 400)] + ["ab " * 20, "ab " * 60]
+    table = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    first = {r["doc_id"]: r["first_doc_id"] for r in lines.repeated_lines(table).collect()}
+    assert first == {i: 15 if i > 14 else i // 3 * 3 for i in range(17)}
+
+
 def test_base_scores(spark, docs):
     tokens = {d: [*t.encode().lower().split(), b" "] for d, t in docs.items()}
     counts = Counter(w for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in ws)
