@@ -21,6 +21,8 @@ SIMILARITY = 0.8
 #: Masks per band and bands: at similarity 0.8 a pair meets in some band with 0.993, at 0.9 with 0.9999.
 ROWS, BANDS = 3, 7
 _SALTS = 8
+#: Words of 64 bits in a sketch.
+_WORDS = 4
 _random = random.Random(3)
 MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(ROWS * BANDS)]
 
@@ -118,11 +120,34 @@ def _set(line: str) -> Column:
     return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(found))
 
 
+def sketched(distinct: DataFrame) -> DataFrame:
+    """``(d1, line)`` → with ``n`` shingles, repeated ones too, and words ``s0 …`` with a bit set for each."""
+    wide = distinct.select("d1", "line", _wide(F.col("line")).alias("wide"))
+    hashes = wide.select("d1", "line", "wide", F.explode(F.sequence(F.lit(0), _last(F.col("wide")))).alias("at")).select(
+        "d1", "line", _shingle(F.col("wide"), F.col("at")).alias("h")
+    )
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.shiftright("h", 6).bitwiseAND(_WORDS - 1)
+    words = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"s{k}") for k in range(_WORDS)]
+    return hashes.groupBy("d1", "line").agg(F.count("*").alias("n"), *words)
+
+
 def similar(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(a, b)``, structs of digests: those of the pairs whose shingle sets are similar enough."""
+    """``(a, b)``, structs of digests: those of the pairs whose shingle sets are similar enough.
+
+    With sketches in ``distinct``, pairs that differ in too many bits are dropped unread: a bit that
+    differs stands for a shingle that only one side has, so no similar pair is lost.
+    """
+    more = [c for c in distinct.columns if c not in ("d1", "line")]
     for side in ("a", "b"):
-        named = distinct.select(F.col("d1").alias(side), _digest(F.col("line")).alias(f"{side}2"), F.col("line").alias(f"{side}_line"))
+        named = distinct.select(
+            F.col("d1").alias(side), _digest(F.col("line")).alias(f"{side}2"), F.col("line").alias(f"{side}_line"),
+            *[F.col(c).alias(f"{side}_{c}") for c in more],
+        )
         pairs = pairs.join(named, side)
+    if more:
+        differ = sum(F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(_WORDS))
+        # Similarity 0.8 or more: at least four shingles shared for each that is not.
+        pairs = pairs.where(differ * 4 <= F.least("a_n", "b_n"))
     sets = pairs.select("a", "a2", "b", "b2", _set("a_line").alias("a_set"), _set("b_line").alias("b_set"))
     # Exploded, the size stays behind the sets; as a plain expression it would become part of the
     # join's condition, which builds every set three times.
@@ -151,7 +176,7 @@ def components(lines: DataFrame) -> DataFrame:
     if pairs.isEmpty():
         return roots
     ends = pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
-    found = similar(_distinct(lines.join(ends, "d1", "left_semi")), pairs)
+    found = similar(sketched(_distinct(lines.join(ends, "d1", "left_semi"))), pairs)
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 
 

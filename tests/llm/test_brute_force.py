@@ -123,6 +123,19 @@ def test_line_components_are_those_of_all_pairs_in_shared_buckets(spark):
     assert {r["doc_id"]: r["first_doc_id"] for r in lines.repeated_lines(table).collect()} == want
 
 
+def test_sketches_drop_no_similar_pair(spark):
+    rng = random.Random(8)
+    every = set()
+    for _ in range(25):
+        line = "".join(rng.choices("ab c", k=rng.randint(5, 300))) * rng.choice([1, 1, 4])
+        every |= {line, line + "ab c" * rng.randint(1, 9), line[rng.randint(0, len(line) // 5) :]}
+    every = sorted(x for x in every if x.strip())
+    table = spark.createDataFrame(list(enumerate(every)), "d1 long, line string")
+    pairs = spark.createDataFrame([(a, b) for b in range(len(every)) for a in range(b)], "a long, b long")
+    exact, kept = ({(r["a"]["d1"], r["b"]["d1"]) for r in lines.similar(t, pairs).collect()} for t in (table, lines.sketched(table)))
+    assert exact == kept and len(exact) > 20
+
+
 def test_lines_of_equal_shingles_link_at_any_length(spark):
     every = [sign * n for sign in "-=*_~" for n in (40, 100, 400)] + ["ab " * 20, "ab " * 60]
     table = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
