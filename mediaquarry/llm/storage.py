@@ -13,14 +13,15 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *parts: str) -> DataFrame:
     """Write the rows as Parquet below ``spark.checkpoint.dir`` and read them back.
 
     Lineage ends here, so a lost executor costs no recomputation, and the reader has real sizes:
-    the planner may broadcast what is under its threshold and split what is skewed.
+    the planner may broadcast what is under its threshold and split what is skewed. With ``parts``, a
+    reader that asks for some values of these columns opens no other files.
     """
     path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
