@@ -64,7 +64,7 @@ def test_backtracking_equals_the_merges(tokenizer):
     draw = random.Random(5)
     for _ in range(2000):
         part = "▁" + "".join(draw.choice("aeinrstxq") for _ in range(draw.randrange(1, 25)))
-        assert tokenizer.split(part) == tokenizer.merged(part)
+        assert [tokenizer._spelled(token) for token in tokenizer.split(part)] == tokenizer.merged(part)
 
 
 def test_decoding_any_ids(library, tokenizer):
@@ -133,8 +133,8 @@ def plain_collocations(docs, shortest, longest, threshold, cover, best):
     return sorted(rows)
 
 
-@pytest.mark.parametrize("shards,slots,longest", [(1, 1 << 15, 3), (3, 1 << 15, 4), (5, 1 << 15, 3), (2, 8, 3)])
-def test_phrases_of_random_texts(spark, shards, slots, longest):
+@pytest.mark.parametrize("shards,bits,longest", [(1, 16, 3), (3, 20, 4), (5, 10, 3), (2, 2, 3)])
+def test_phrases_of_random_texts(spark, shards, bits, longest):
     draw = random.Random(shards)
     words = ["a", "B", "c", "dé", "日本", "e1", "f'", "G", "rare1", "rare2"]
     weights = [9, 8, 7, 5, 4, 4, 3, 3, 1, 1]
@@ -144,7 +144,7 @@ def test_phrases_of_random_texts(spark, shards, slots, longest):
         for _ in range(120)
     ]
     table = spark.createDataFrame(docs, "lang string, text string").repartition(3)
-    found = phrases.collocations(table, 2, longest, 10, 50, 40, shards, slots)
+    found = phrases.collocations(table, 2, longest, 10, 50, 40, shards, bits)
     wanted = plain_collocations(docs, 2, longest, 10, 50, 40)
     assert sorted(map(tuple, found.collect())) == wanted and len(wanted) > 60
 
@@ -158,7 +158,7 @@ def test_late_phrases_get_a_full_circle(spark):
 
 def test_scores_beyond_64_bits(spark, monkeypatch):
     many = 4 * 10**15
-    counts = [("en", "a", 1, many), ("en", "b", 1, many), ("en", "a b", 2, many - 1)]
+    counts = [("en", "", 0, 2 * many), ("en", "a", 1, many), ("en", "b", 1, many), ("en", "a b", 2, many - 1)]
     table = spark.createDataFrame(counts, "lang string, phrase string, size int, f long")
     monkeypatch.setattr(phrases, "counted", lambda *_: table)
     assert phrases.collocations(table, 2, 3).first()["score"] == 10**6 * (many - 1) ** 2 // many**2
