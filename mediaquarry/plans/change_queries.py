@@ -120,22 +120,48 @@ def _target(t, name):
     return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query(f"""WITH {_BATCHES} SELECT * FROM batch WHERE due_at <= (SELECT max(t) FROM ev) - {_DELAY_MS}""")
-def coalesce_stream(t):
-    """Batches that are due behind the watermark, found by the streaming job."""
+def _bounded(t, name, build, hold):
     events = adapters.change_events(t.stream("events"))
-    return live.run_available(live.coalesce_stream(events, _DEBOUNCE, "1 hour"), _target(t, "batches"))
+    return live.run_bounded(events, build, _target(t, name), _DELAY_MS, hold)
+
 
+@query(f"WITH {_BATCHES} SELECT * FROM batch")
+def coalesce_stream(t):
+    """All batches, found by the streaming job; the closing row hands out the last ones."""
+    return _bounded(t, "batches", lambda e: live.coalesce_stream(e, _DEBOUNCE, "1 hour"), _DEBOUNCE)
 
-@query(f"""WITH {_RUNS} SELECT root, rename_cookie, CAST(sum(pairs) AS BIGINT) AS pairs FROM (
-  SELECT root, rename_cookie, run, epoch, count(*) // 2 AS pairs FROM sg WHERE t < (SELECT max(t) FROM ev) - {_DELAY_MS} GROUP BY ALL)
-GROUP BY 1, 2 HAVING sum(pairs) > 0""")
+
+@query(f"WITH {_RUNS} SELECT root, rename_cookie, CAST(sum(pairs) AS BIGINT) AS pairs FROM runs GROUP BY 1, 2 HAVING sum(pairs) > 0")
 def rename_stream(t):
-    events = adapters.change_events(t.stream("events"))
-    found = live.run_available(live.rename_stream(events, _TIMEOUT, "1 hour"), _target(t, "pairs"))
+    found = _bounded(t, "pairs", lambda e: live.rename_stream(e, _TIMEOUT, "1 hour"), 0)
     return found.groupBy("root", "rename_cookie").agg(F.count("*").alias("pairs"))
 
 
+@query(f"""WITH {_BATCHES}, clock AS (SELECT max(t) + {_DEBOUNCE + 1} AS now FROM ev),
+g AS (SELECT root, due_at, least(coalesce(lead(due_at) OVER (PARTITION BY root ORDER BY due_at) - 1, now), now) AS until FROM batch, clock)
+SELECT root, due_at AS after_ms, (until - due_at) // {_SWEEP} AS sweeps FROM g WHERE (until - due_at) // {_SWEEP} > 0""")
+def sweep_stream(t):
+    """Sweeps of roots that fell silent, up to the clock at which the bounded stream was closed."""
+    found = _bounded(t, "sweeps", lambda e: live.reconcile_stream(e, _DEBOUNCE, _SWEEP, "1 hour"), _DEBOUNCE)
+    return found.where("cause = 'sweep'").groupBy("root", F.col("since").alias("after_ms")).agg(
+        F.count("*").alias("sweeps")
+    )
+
+
+@query(f"""WITH {_BATCHES} SELECT 'watch-reconcile:' || root AS coalescing_key, 'pending' AS state, due_at AS created_at_ms, had_overflow
+FROM batch QUALIFY row_number() OVER (PARTITION BY root ORDER BY opened_at) = 1""")
+def trigger_stream(t):
+    """The request table that the stream of due batches and sweeps fills: one pending row per root."""
+    table = _target(t, "requests")
+    causes = _bounded(t, "causes", lambda e: live.reconcile_stream(e, _DEBOUNCE, _SWEEP, "1 hour"), _DEBOUNCE)
+    live.open_requests(t.spark, table)
+    live.enqueue_triggers(table)(causes, 0)
+    return live.read_requests(t.spark, table).select(
+        "coalescing_key", "state", "created_at_ms",
+        (F.get_json_object("payload", "$.triggeredByOverflow") == "true").alias("had_overflow"),
+    )
+
+
 @query("""SELECT 'm' || lpad(CAST(doc_id AS VARCHAR), 20, '0') AS id, text, CAST(1 AS INTEGER) AS version FROM documents""")
 def progressive_apply(t):
     """Scan batches upserted as they arrive, then the visible table read back."""

@@ -20,7 +20,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..operators.ordering import ordered_segments, running_total, with_previous
@@ -336,24 +336,35 @@ def coalesce_stats(batches: DataFrame, pairs: DataFrame) -> DataFrame:
     return per_root.join(paired, "root", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
 
 
-def reconcile_triggers(batches: DataFrame) -> DataFrame:
-    """One background work request per due batch; pending ones of a root coalesce by key."""
+def _requests(rows: DataFrame, since: str, at: str, overflow: Column, periodic: bool) -> DataFrame:
+    """Background work requests of roots; ``since`` and the root make the id."""
     payload = F.to_json(F.struct(
-        F.col("root"), F.col("had_overflow").alias("triggeredByOverflow"),
-        F.lit(False).alias("triggeredByPeriodicFallback"),
+        F.col("root"), overflow.alias("triggeredByOverflow"),
+        F.lit(periodic).alias("triggeredByPeriodicFallback"),
     ))
-    return batches.select(
-        F.sha2(F.concat_ws("|", F.col("root"), F.col("opened_at").cast("string")), 256).alias("id"),
+    mark = [F.lit("sweep")] if periodic else []
+    return rows.select(
+        F.sha2(F.concat_ws("|", *mark, F.col("root"), F.col(since).cast("string")), 256).alias("id"),
         F.lit("reconcileRoot").alias("kind"), F.lit(2).alias("priority"),
         F.lit("pending").alias("state"),
         F.concat(F.lit("watch-reconcile:"), F.col("root")).alias("coalescing_key"),
         payload.alias("payload"), F.lit(0).alias("attempts"),
         F.lit(fv.DEFAULT_MAX_ATTEMPTS).alias("max_attempts"),
-        F.col("due_at").alias("created_at_ms"), F.lit(None).cast("bigint").alias("not_before_ms"),
-        F.lit("none").alias("last_error_code"), F.col("due_at").alias("seq"),
+        F.col(at).alias("created_at_ms"), F.lit(None).cast("bigint").alias("not_before_ms"),
+        F.lit("none").alias("last_error_code"), F.col(at).alias("seq"),
     )
 
 
+def reconcile_triggers(batches: DataFrame) -> DataFrame:
+    """One background work request per due batch; pending ones of a root coalesce by key."""
+    return _requests(batches, "opened_at", "due_at", F.col("had_overflow"), False)
+
+
+def sweep_triggers(sweeps: DataFrame) -> DataFrame:
+    """``(root, at)`` → one background work request per periodic sweep, under the same key."""
+    return _requests(sweeps, "at", "at", F.lit(False), True)
+
+
 def sweep_due(roots: DataFrame, now_ms: int, interval_ms: int = fv.SWEEP_INTERVAL_MS) -> DataFrame:
     """``(root, last_reconcile_ms)`` → roots whose periodic sweep is due."""
     waited = F.col("last_reconcile_ms").isNull() | (F.lit(now_ms) - F.col("last_reconcile_ms") >= interval_ms)

@@ -189,6 +189,86 @@ def test_rename_stream_equals_the_loop(spark, tmp_path):
     assert sorted(map(tuple, counted)) == pair_loop(rows, 20)
 
 
+def save_plain(spark, rows, folder, parts=4):
+    """Events in time order over some files, and nothing after the last one."""
+    ordered = sorted(rows, key=lambda r: r[3])
+    size = len(ordered) // parts + 1
+    for number in range(0, len(ordered), size):
+        save(spark, ordered[number:number + size], folder)
+
+
+def test_bounded_stream_hands_out_the_last_batch(spark, tmp_path):
+    """One event and no other: its batch is due although nothing moves time on."""
+    folder, target = str(tmp_path / "events"), str(tmp_path / "out")
+    save(spark, [("a", "created", 0, 5_000)], folder)
+    events = read_change_events(spark, folder)
+    found = live.run_bounded(events, lambda e: live.coalesce_stream(e, 500, "60 seconds"), target, 60_000, 500)
+    assert [tuple(r) for r in found.collect()] == [("a", T0 + 5_000, T0 + 5_500, 1, False)]
+
+
+def test_bounded_stream_without_events(spark, tmp_path):
+    folder, target = str(tmp_path / "events"), str(tmp_path / "out")
+    table(spark, []).select(
+        "root", "kind", "path", "rename_cookie", from_wall_clock_ms(F.col("t")).alias("observed_at")
+    ).write.parquet(folder)
+    events = read_change_events(spark, folder)
+    assert live.run_bounded(events, lambda e: live.coalesce_stream(e, 500, "60 seconds"), target, 60_000, 500).count() == 0
+
+
+def test_bounded_streams_equal_the_batch_twins(spark, tmp_path):
+    rng = random.Random(11)
+    # Two thirds of all events on one root, one overflow in a hundred.
+    rows = [
+        (rng.choice("aab"), rng.choices(["renamedFrom", "renamedTo", "overflow"], [50, 50, 1])[0], rng.randrange(1, 60), t)
+        for t in sorted(rng.sample(range(40_000), 900))
+    ]
+    folder = str(tmp_path / "events")
+    save_plain(spark, rows, folder)
+    events = read_change_events(spark, folder, files_per_trigger=1)
+    batch = with_observed_ms(batch_change_events(spark, folder)).withColumn("seq", F.lit(0))
+    due = live.run_bounded(events, lambda e: live.coalesce_stream(e, 500, "2 seconds"), str(tmp_path / "due"), 2_000, 500)
+    assert sorted(map(tuple, due.collect())) == sorted(map(tuple, rules.coalesce_changes(batch, 500).collect()))
+    pairs = live.run_bounded(
+        events, lambda e: live.rename_stream(e.withColumn("seq", F.lit(0)), 900, "2 seconds"), str(tmp_path / "pairs"), 2_000, 0
+    )
+    wanted = rules.pair_renames(batch, 900).collect()
+    assert wanted and sorted(map(tuple, pairs.groupBy("root", "rename_cookie").count().collect())) == sorted(map(tuple, wanted))
+
+
+def test_reconcile_stream_follows_the_clock(spark, tmp_path):
+    """Sweeps come while a root is silent, none at the moment of the next batch, and stop at the closing time."""
+    folder = str(tmp_path / "events")
+    rows = [("a", "created", 0, 1_000), ("a", "created", 0, 4_500), ("b", "overflow", 0, 6_000)]
+    for row in rows:
+        save(spark, [row], folder)
+    events = read_change_events(spark, folder, files_per_trigger=1)
+    found = live.run_bounded(
+        events, lambda e: live.reconcile_stream(e, 500, 1_000, "1 second"), str(tmp_path / "out"), 1_000, 2_000
+    )
+    assert sorted((r.root, r.cause, r.at - T0, r.since - T0) for r in found.collect()) == [
+        ("a", "due", 1_500, 1_000), ("a", "due", 5_000, 4_500), ("a", "sweep", 2_500, 1_500), ("a", "sweep", 3_500, 1_500),
+        ("a", "sweep", 4_500, 1_500), ("a", "sweep", 6_000, 5_000), ("a", "sweep", 7_000, 5_000), ("a", "sweep", 8_000, 5_000),
+        ("b", "due", 6_500, 6_000), ("b", "sweep", 7_500, 6_500),
+    ]
+    twin = rules.periodic_sweeps(found.where("cause = 'due'").select("root", F.col("at").alias("due_at")), 1_000)
+    assert [tuple(r) for r in twin.collect()] == [("a", T0 + 1_500, 3)]
+
+
+def test_triggers_of_a_batch_run_twice(spark, tmp_path):
+    """A second run of a batch changes nothing; a root with a pending request gets no other."""
+    out = str(tmp_path / "requests")
+    live.open_requests(spark, out)
+    first = spark.createDataFrame([("a", "due", 500, 0, 1, True), ("a", "sweep", 900, 500, 0, False)], live.TRIGGER)
+    later = spark.createDataFrame([("a", "due", 2_500, 2_000, 1, False), ("b", "sweep", 3_000, 100, 0, False)], live.TRIGGER)
+    for number, batch in ((0, first), (0, first), (1, later), (1, later)):
+        live.enqueue_triggers(out)(batch, number)
+    rows = live.read_requests(spark, out).collect()
+    assert sorted((r.coalescing_key, r.created_at_ms, r.batch) for r in rows) == [
+        ("watch-reconcile:a", 500, 0), ("watch-reconcile:b", 3_000, 1)
+    ]
+    assert [r.payload for r in rows if r.batch] == ['{"root":"b","triggeredByOverflow":false,"triggeredByPeriodicFallback":true}']
+
+
 def test_rename_join_stream(spark, tmp_path):
     rows = [
         ("a", "renamedFrom", 7, 0), ("a", "renamedTo", 7, 10), ("b", "renamedTo", 42, 0),
