@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.capture import wall_clock_ms
 from ..functions.paths import supports_embedded_write
-from ..operators import cache, manifest, projection, requests, versions
+from ..operators import cache, lineage, manifest, projection, requests, versions
 from ..operators.ordering import ordered_positions
 from ..session import shared_dir
 from ..sources import adapters, records as record_files
@@ -310,6 +310,36 @@ def history_chain(t):
     return versions.history_chain(rows).select("library", "id", "linked")
 
 
+_LINKS = f"""{_CHECKPOINT}, p AS (SELECT conv_id AS library, id, CASE
+  WHEN turn = 0 AND conv_id % 7 = 3 THEN CAST(conv_id AS VARCHAR) || '/2'
+  WHEN turn = 0 THEN '' WHEN turn = 1 AND conv_id % 11 = 5 THEN CAST(conv_id AS VARCHAR) || '/gone'
+  ELSE CAST(conv_id AS VARCHAR) || '/' || CAST(turn - 1 - CAST(turn % 5 = 4 AS INTEGER) AS VARCHAR) END AS parent_id FROM c)"""
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, steps AS (SELECT library, count(*) AS most FROM p GROUP BY library),
+walk AS (SELECT library, id, id AS cur, CAST(0 AS BIGINT) AS hops FROM p
+  UNION ALL SELECT w.library, w.id, p.parent_id, w.hops + 1 FROM walk w JOIN p ON p.library = w.library AND p.id = w.cur
+    JOIN p up ON up.library = p.library AND up.id = p.parent_id JOIN steps s ON s.library = w.library WHERE w.hops <= s.most),
+ends AS (SELECT library, id, max(hops) AS hops, bool_or(hops > 0 AND cur = id) AS ring FROM walk GROUP BY library, id)
+SELECT p.library, p.id, p.parent_id, CASE WHEN e.hops <= s.most THEN e.hops END AS depth, CASE WHEN e.hops <= s.most THEN w.cur END AS start_id,
+  CASE WHEN p.parent_id = '' THEN 1 ELSE (SELECT count(*) FROM p b WHERE b.library = p.library AND b.parent_id = p.parent_id) END AS siblings,
+  p.parent_id <> '' AND NOT EXISTS (SELECT 1 FROM p b WHERE b.library = p.library AND b.id = p.parent_id) AS lost,
+  CASE WHEN e.ring THEN 'on' WHEN e.hops > s.most THEN 'below' END AS cycle
+FROM p JOIN ends e USING (library, id) JOIN steps s USING (library) JOIN walk w ON w.library = p.library AND w.id = p.id AND w.hops = e.hops""")
+def history_links(t):
+    """Depth, forks, lost parents and rings of every history, by its parent links alone."""
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn")
+    before = turn - 1 - F.when(turn % 5 == 4, 1).otherwise(0)
+    parent = (
+        F.when((turn == 0) & (F.col("conv_id") % 7 == 3), F.concat(conv, F.lit("/2"))).when(turn == 0, "")
+        .when((turn == 1) & (F.col("conv_id") % 11 == 5), F.concat(conv, F.lit("/gone")))
+        .otherwise(F.concat(conv, F.lit("/"), before.cast("string")))
+    )
+    return lineage.history_links(t.conversations.select(
+        F.col("conv_id").alias("library"), F.concat(conv, F.lit("/"), turn.cast("string")).alias("id"), parent.alias("parent_id"),
+    ))
+
+
 # --- requests ---------------------------------------------------------------------------------
 
 

@@ -32,7 +32,7 @@ _FILE = {
 def _list_folders(follow_symlinks: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for folder in batch["path"]:
+            for folder, linked in zip(batch["path"], batch["via_link"]):
                 rows = []
                 try:
                     with os.scandir(folder) as entries:
@@ -43,9 +43,10 @@ def _list_folders(follow_symlinks: bool):
                             try:
                                 stat, is_dir = entry.stat(), entry.is_dir()
                                 size, ms = stat.st_size, stat.st_mtime_ns // 1_000_000
+                                key = _folder_key(stat) if is_dir else None
                             except OSError:
-                                is_dir, size, ms = False, -1, None
-                            rows.append((entry.path, entry.name, is_dir, link, size, ms))
+                                is_dir, size, ms, key = False, -1, None, None
+                            rows.append((entry.path, entry.name, is_dir, link, size, ms, key, linked or link))
                             if len(rows) >= _BATCH:
                                 yield pd.DataFrame(rows, columns=_COLUMNS)
                                 rows = []
@@ -56,7 +57,40 @@ def _list_folders(follow_symlinks: bool):
     return run
 
 
-_COLUMNS = ["path", "file_name", "is_directory", "is_symlink", "size_bytes", "last_modified_ms"]
+_COLUMNS = [
+    "path", "file_name", "is_directory", "is_symlink", "size_bytes", "last_modified_ms", "folder_key", "via_link",
+]
+_LEVEL = f"{schemas.LISTING}, folder_key string, via_link boolean"
+_FOLDER = "path string, folder_key string, via_link boolean"
+
+
+def _folder_key(stat: os.stat_result) -> str:
+    """What a folder is, whatever path leads to it."""
+    return f"{stat.st_dev}:{stat.st_ino}"
+
+
+def _identified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        keys = []
+        for path in batch["path"]:
+            try:
+                keys.append(_folder_key(os.stat(path)))
+            except OSError:
+                keys.append(None)
+        yield pd.DataFrame({"path": batch["path"], "folder_key": keys, "via_link": False})
+
+
+def _to_walk(folders: DataFrame, walked: DataFrame) -> DataFrame:
+    """The folders of one depth that are walked, given those of the depths above.
+
+    Folders reached without a link are a tree and all of them are walked. One that a link leads to is
+    walked once, by its smallest path, and not at all if any path has led to it before.
+    """
+    real = folders.where("NOT via_link")
+    linked = folders.where("via_link").groupBy("folder_key").agg(F.min("path").alias("path"))
+    known = walked.select("folder_key").unionByName(real.select("folder_key")).distinct()
+    fresh = linked.join(known, "folder_key", "left_anti").withColumn("via_link", F.lit(True))
+    return real.unionByName(fresh)
 
 
 def _folder_flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,21 +109,27 @@ def scan_listing(spark: SparkSession, root: str, follow_symlinks: bool = False)
 
     Each depth is written to the shared folder, so a lost executor never repeats the walk and the
     driver sees only whether another depth exists. Sort on ``path_order(path)`` for walking order.
+    With ``follow_symlinks`` a folder behind links is walked once, so links to a folder above end; files
+    below the root keep the rows of their own paths whatever links lead there too.
     """
     ship_package(spark)
     base = f"{shared_dir(spark)}/listing-{uuid.uuid4().hex}"
-    frontier, depth = spark.createDataFrame([(root,)], "path string"), 0
     width = spark.sparkContext.defaultParallelism
+    frontier, depth = spark.createDataFrame([(root,)], "path string").mapInPandas(_identified, _FOLDER), 0
     while True:
-        level = f"{base}/depth={depth:05d}"
+        if follow_symlinks:
+            frontier.write.parquet(f"{base}/walked/depth={depth:05d}")
+            frontier = spark.read.schema(_FOLDER).parquet(f"{base}/walked/depth={depth:05d}")
+        level = f"{base}/listed/depth={depth:05d}"
         spread = frontier.repartition(width) if depth else frontier
-        spread.mapInPandas(_list_folders(follow_symlinks), schemas.LISTING).write.parquet(level)
-        frontier = spark.read.schema(schemas.LISTING).parquet(level).where("is_directory").select("path")
-        if frontier.isEmpty():
+        spread.mapInPandas(_list_folders(follow_symlinks), _LEVEL).write.parquet(level)
+        folders = spark.read.schema(_LEVEL).parquet(level).where("is_directory").select("path", "folder_key", "via_link")
+        if folders.isEmpty():
             break
+        frontier = _to_walk(folders, spark.read.schema(_FOLDER).parquet(f"{base}/walked")) if follow_symlinks else folders
         depth += 1
     return (
-        spark.read.schema(schemas.LISTING).parquet(*[f"{base}/depth={d:05d}" for d in range(depth + 1)])
+        spark.read.schema(schemas.LISTING).parquet(*[f"{base}/listed/depth={d:05d}" for d in range(depth + 1)])
         .where("NOT is_directory")
     )
 

@@ -357,3 +357,54 @@ def test_ids_keep_every_digit(spark):
 
     rows = spark.createDataFrame([(1234567890,), (1234567891,)], "doc_id long")
     assert sorted(r[0] for r in rows.select(adapters._key()).collect()) == ["m00000000001234567890", "m00000000001234567891"]
+
+
+def test_links_to_folders_end(spark, tmp_path):
+    """Links up, across and to each other: each folder behind links is walked once, real paths always."""
+    root = tmp_path / "root"
+    (root / "a" / "b").mkdir(parents=True)
+    outside = tmp_path / "outside"
+    outside.mkdir()
+    for path in (root / "top.jpg", root / "a" / "b" / "deep.jpg", outside / "far.jpg"):
+        path.write_bytes(b"x")
+    (root / "a" / "up").symlink_to(root)
+    (root / "a" / "b" / "self").symlink_to(root / "a" / "b")
+    (root / "z").symlink_to(outside)
+    (root / "a" / "z2").symlink_to(outside)
+    (outside / "back").symlink_to(root / "a")
+    found = listing.scan_listing(spark, str(root), follow_symlinks=True).collect()
+    paths = sorted(r.path.removeprefix(f"{root}/") for r in found)
+    assert paths == ["a/b/deep.jpg", "top.jpg", "z/far.jpg"]
+    assert sorted(r.path for r in listing.scan_listing(spark, str(root)).collect()) == sorted([f"{root}/a/b/deep.jpg", f"{root}/top.jpg"])
+
+
+def test_links_between_two_depths(spark, tmp_path):
+    """A link met before the real folder hides none of the real folder's files."""
+    root = tmp_path / "root"
+    (root / "x" / "y" / "real").mkdir(parents=True)
+    (root / "x" / "y" / "real" / "f.jpg").write_bytes(b"x")
+    (root / "link").symlink_to(root / "x" / "y" / "real")
+    paths = {r.path.removeprefix(f"{root}/") for r in listing.scan_listing(spark, str(root), True).collect()}
+    assert paths == {"x/y/real/f.jpg", "link/f.jpg"}
+
+
+def test_history_links(spark):
+    from mediaquarry.operators import lineage
+
+    chain = [("long", f"{n:04d}", f"{n - 1:04d}" if n else None) for n in range(300)]
+    rows = chain + [
+        ("fork", "r", ""), ("fork", "a", "r"), ("fork", "b", "r"), ("fork", "c", "b"),
+        ("lost", "a", "gone"), ("lost", "b", "a"),
+        ("ring", "a", "c"), ("ring", "b", "a"), ("ring", "c", "b"), ("ring", "d", "c"), ("ring", "e", "d"), ("ring", "s", "s"), ("ring", "free", ""),
+    ]
+    found = {
+        (r.library, r.id): (r.depth, r.start_id, r.siblings, r.lost, r.cycle)
+        for r in lineage.history_links(spark.createDataFrame(rows, "library string, id string, parent_id string")).collect()
+    }
+    assert len(found) == len(rows)
+    assert found["long", "0000"] == (0, "0000", 1, False, None) and found["long", "0299"] == (299, "0000", 1, False, None)
+    assert found["fork", "a"] == (1, "r", 2, False, None) and found["fork", "c"] == (2, "r", 1, False, None)
+    assert found["lost", "a"] == (0, "a", 1, True, None) and found["lost", "b"] == (1, "a", 1, False, None)
+    assert [found["ring", i][4] for i in "abcdes"] == ["on", "on", "on", "below", "below", "on"]
+    assert found["ring", "d"][:3] == (None, None, 2) and found["ring", "free"] == (0, "free", 1, False, None)
+    assert lineage.history_links(spark.createDataFrame([], "library string, id string, parent_id string")).count() == 0
