@@ -23,8 +23,8 @@ from ..session import ship_package
 from .words import slices
 
 SPACE = "▁"
-#: Parts of a text and pairs of pieces that a worker remembers; beyond it the store starts anew.
-KEPT_PARTS, KEPT_PAIRS = 150_000, 400_000
+#: Parts of a text, twice, and pairs of pieces that a worker remembers.
+KEPT_PARTS, KEPT_PAIRS = 300_000, 500_000
 #: Longer parts of a text are encoded each time they occur.
 LONG_PART = 60
 #: Kinds of a piece and the model type in the model file's public format.
@@ -85,15 +85,31 @@ class PieceTokenizer:
         ]
         self.spaced = {i for name, i in self.ids.items() if self.prefix and name.startswith(SPACE)}
         self.end = next(i for i, (name, _, _) in enumerate(rows) if name == "</s>")
+        self.pieces = {i: name for name, i in self.ids.items()}
         self.starts = ahocorasick.Automaton()
-        for name in self.ids:
-            self.starts.add_word(name[::-1], len(name))
+        for name, i in self.ids.items():
+            self.starts.add_word(name[::-1], (i, len(name)))
         self.starts.make_automaton()
-        # No merge crosses the start of a run of spaces unless some piece does.
-        crosses = any(re.search(f"[^{SPACE}]{SPACE}", name) for name in self.ids)
-        self.parts = re.compile("(?s).+" if crosses else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.parts = re.compile(self._part_pattern()).findall
+        self.pairs: dict[int, bool] = {}
         self.kept: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+
+    def _part_pattern(self) -> str:
+        """A pattern of parts that no merge crosses: it parts letters that are neighbours in no piece."""
+        beside = {name[i : i + 2] for name in self.ids for i in range(len(name) - 1)}
+        if any(pair[1] == SPACE != pair[0] for pair in beside):
+            return "(?s).+"
+        known = {*map(chr, range(128)), *"".join(self.ids)} - {SPACE}
+        joined = set("".join(beside))
+        alone = "".join(map(re.escape, sorted(known - joined)))
+        letters = "".join(sorted({"a", *(c for c in joined if c.isalpha())}))
+        after = {pair[1] for pair in beside if pair[0].isalpha()}
+        signs = "".join(map(re.escape, sorted(c for c in joined - after if not c.isalpha() and c != SPACE)))
+        return (
+            f"[{alone}]|{SPACE}*[^{SPACE}{letters}{alone}]*[{letters}]+(?=[{SPACE}{signs}{alone}]|\\Z)"
+            f"|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+"
+        )
 
     def merged(self, letters: str) -> list[str]:
         """The merges by their definition: best score first, then leftmost. For short texts."""
@@ -106,50 +122,61 @@ class PieceTokenizer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether the two pieces stay apart and whole when their letters are merged anew."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
-
-    def split(self, part: str) -> list[str]:
-        """The pieces of a part; letters without a piece stand alone."""
-        size = len(part)
-        sizes: list[list[int]] = [[] for _ in range(size)]
-        for at, length in self.starts.iter(part[::-1]):
-            sizes[size - 1 - at].append(length)
-        failed, taken, at, choice = bytearray(size + 1), [], 0, 0
+    def _spelled(self, token: int) -> str:
+        """The letters of a piece by its id; a letter without a piece has its negated code for an id."""
+        return self.pieces[token] if token >= 0 else chr(~token)
+
+    def compatible(self, left: int | None, right: int) -> bool:
+        """Whether the two tokens stay apart and whole when their letters are merged anew."""
+        wanted = [self._spelled(token) for token in (left, right) if token is not None]
+        return self.merged("".join(wanted)) == wanted
+
+    def split(self, part: str) -> list[int]:
+        """The tokens of a part: ids of its pieces, negated codes of letters without one."""
+        size, pairs = len(part), self.pairs
+        starts: list[list[tuple[int, int]]] = [[] for _ in part]
+        for at, found in self.starts.iter(part[::-1]):
+            starts[~at].append(found)
+        failed, taken, at, choice, left = bytearray(size + 1), [], 0, 0, None
         while at < size:
-            options = sizes[at] or [1]
-            if options[-1] != 1:
-                options.append(1)
-            left = part[taken[-1][0] : at] if taken else ""
-            while choice < len(options):
-                end = at + options[choice]
-                if not failed[end] and self.compatible(left, part[at:end]):
-                    break
+            options = starts[at]
+            if not options or options[-1][1] != 1:
+                options.append((~ord(part[at]), 1))
+            for token, length in options[choice:] if choice else options:
+                if not failed[at + length]:
+                    # One number for a pair: ids and negated codes stay below 2^23.
+                    pair = ~token if left is None else (left << 24) + token
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        if len(pairs) >= KEPT_PAIRS:
+                            pairs.clear()
+                        fits = pairs[pair] = self.compatible(left, token)
+                    if fits:
+                        taken.append((at, choice, token))
+                        left, at, choice = token, at + length, 0
+                        break
                 choice += 1
             else:
                 failed[at] = 1
-                at, choice = taken.pop()
+                at, choice, _ = taken.pop()
                 choice += 1
-                continue
-            taken.append((at, choice))
-            at, choice = end, 0
-        ends = [*(start for start, _ in taken[1:]), size]
-        return [part[start:end] for (start, _), end in zip(taken, ends)]
+                left = taken[-1][2] if taken else None
+        return [token for _, _, token in taken]
 
     def _ids_of(self, part: str) -> list[int]:
-        found = []
-        for piece in self.split(part):
-            known = self.ids.get(piece)
-            found.extend([known] if known is not None else [self.bytes[b] for b in piece.encode()])
+        """Ids of a part, its letters without a piece as byte pieces."""
+        found = self.older.get(part)
+        if found is None:
+            found = []
+            for token in self.split(part):
+                if token >= 0:
+                    found.append(token)
+                else:
+                    found.extend([self.bytes[b] for b in chr(~token).encode()])
         if len(part) <= LONG_PART:
             if len(self.kept) >= KEPT_PARTS:
-                self.kept.clear()
+                # What was not met since the last time is forgotten.
+                self.older, self.kept = self.kept, {}
             self.kept[part] = found
         return found
 
@@ -157,8 +184,11 @@ class PieceTokenizer:
         """Ids of a whole text and the end id."""
         ids, kept = [], self.kept.get
         if text:
-            for part in self.parts.findall(self.prefix + text.replace(" ", SPACE)):
-                ids.extend(kept(part) or self._ids_of(part))
+            for part in self.parts(self.prefix + text.replace(" ", SPACE)):
+                found = kept(part)
+                if found is None:
+                    found, kept = self._ids_of(part), self.kept.get
+                ids += found
         ids.append(self.end)
         return ids
 
