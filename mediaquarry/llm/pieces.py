@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import ahocorasick
 import numpy as np
@@ -24,7 +24,7 @@ from .words import slices
 
 SPACE = "▁"
 #: Parts of a text, twice, and pairs of pieces that a worker remembers.
-KEPT_PARTS, KEPT_PAIRS = 300_000, 500_000
+KEPT_PARTS, KEPT_PAIRS = 400_000, 500_000
 #: Longer parts of a text are encoded each time they occur.
 LONG_PART = 60
 #: Kinds of a piece and the model type in the model file's public format.
@@ -83,6 +83,9 @@ class PieceTokenizer:
             {NORMAL: name.encode(), BYTE: bytes([int(name[3:-1], 16)]) if kind == BYTE else b"", UNKNOWN: " ⁇ ".encode(), CONTROL: b""}[kind]
             for name, _, kind in rows
         ]
+        self.sign_bytes = pa.array(self.signs, pa.binary())
+        self.is_control = np.array([kind == CONTROL for _, _, kind in rows])
+        self.is_spaced = np.array([bool(self.prefix) and kind == NORMAL and name.startswith(SPACE) for name, _, kind in rows])
         self.spaced = {i for name, i in self.ids.items() if self.prefix and name.startswith(SPACE)}
         self.end = next(i for i, (name, _, _) in enumerate(rows) if name == "</s>")
         self.pieces = {i: name for name, i in self.ids.items()}
@@ -198,13 +201,37 @@ class PieceTokenizer:
         if not self.controls.isdisjoint(ids[:-1]):
             # A control id ends a run of byte pieces.
             runs = [list(run) for control, run in groupby(ids, self.controls.__contains__) if not control]
-        text = "".join([b"".join([signs[i] for i in run]).decode("utf-8", "surrogateescape") for run in runs])
-        if not text.isascii():
-            text = re.sub("[\udc80-\udcff]", "�", text.replace(SPACE, " "))
+        text = "".join([_read(b"".join([signs[i] for i in run])) for run in runs])
         # The added space belongs to the first piece only, a byte piece is none.
         first = next((i for i in ids if i not in self.controls), None)
         return text[first in self.spaced :]
 
+    def decode_all(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """``decode`` of many lists: their ids one after the other, and where each list ends."""
+        if not len(flat):
+            return [""] * len(ends)
+        taken = self.sign_bytes.take(pa.array(flat))
+        offsets, data = (np.frombuffer(buffer, kind) for buffer, kind in zip(taken.buffers()[1:], (np.int32, np.uint8)))
+        places = np.flatnonzero(self.is_control[flat])
+        # Lists with a control id that is not their last are read run by run.
+        owner = np.searchsorted(ends, places, "right")
+        odd = set(owner[places != ends[owner] - 1].tolist())
+        texts, start = [], 0
+        for number, end in enumerate(ends.tolist()):
+            if number in odd:
+                texts.append(self.decode(flat[start:end].tolist()))
+            else:
+                text = _read(data[offsets[start] : offsets[end]].tobytes())
+                texts.append(text[start < end and bool(self.is_spaced[flat[start]]) :])
+            start = end
+        return texts
+
+
+def _read(signs: bytes) -> str:
+    """Bytes of pieces as text; each byte that belongs to no sign is a replacement sign."""
+    text = signs.decode("utf-8", "surrogateescape")
+    return text if text.isascii() else re.sub("[\udc80-\udcff]", "�", text.replace(SPACE, " "))
+
 
 _LOADED: dict[int, PieceTokenizer] = {}
 
@@ -223,10 +250,13 @@ def _sent(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def _listed(ids: list[list[int]]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-    flat = np.fromiter((i for row in ids for i in row), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(ends, flat)
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum([len(row) for row in ids], dtype=np.int32)
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]) if len(ends) else 0), ends
+
+
+def _listed(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([np.zeros(1, np.int32), ends]), flat)
 
 
 _IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
@@ -245,8 +275,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = loaded(sent.value)
         for part in slices(batches):
-            ids = [tokenizer.encode(t or "") for t in part.column(1).to_pylist()]
-            yield pa.record_batch([part.column(0), _listed(ids)], ["doc_id", "ids"])
+            ids = _flat([tokenizer.encode(t or "") for t in part.column(1).to_pylist()])
+            yield pa.record_batch([part.column(0), _listed(*ids)], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.select("doc_id").schema[0], _IDS]))
 
@@ -258,7 +288,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = loaded(sent.value)
         for part in slices(batches):
-            texts = [tokenizer.decode(ids or []) for ids in part.column(1).to_pylist()]
+            texts = tokenizer.decode_all(*_flat([ids or [] for ids in part.column(1).to_pylist()]))
             yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     kept = encoded.select("doc_id", "ids")
@@ -276,9 +306,9 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = loaded(sent.value)
         for part in slices(batches):
-            ids = [tokenizer.encode(t or "") for t in part.column(1).to_pylist()]
-            texts = pa.array([tokenizer.decode(i) for i in ids], pa.string())
-            yield pa.record_batch([part.column(0), _listed(ids), texts], ["doc_id", "ids", "decoded"])
+            ids = _flat([tokenizer.encode(t or "") for t in part.column(1).to_pylist()])
+            texts = pa.array(tokenizer.decode_all(*ids), pa.string())
+            yield pa.record_batch([part.column(0), _listed(*ids), texts], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(
         run, T.StructType([docs.select("doc_id").schema[0], _IDS, _DECODED])

@@ -72,6 +72,13 @@ def test_decoding_any_ids(library, tokenizer):
     for _ in range(3000):
         ids = [draw.choice([draw.randrange(32000), draw.randrange(3, 259), 28705, 2]) for _ in range(draw.randrange(8))]
         assert tokenizer.decode(ids) == library.decode(ids)
+        lists = [ids, [], ids[::-1], [2], ids + [2]]
+        ends = np.cumsum([len(one) for one in lists])
+        assert tokenizer.decode_all(np.array(sum(lists, []), np.int32), ends) == [library.decode(one) for one in lists]
+
+
+def test_decoding_nothing(tokenizer):
+    assert tokenizer.decode_all(np.empty(0, np.int32), np.zeros(2, np.int32)) == ["", ""]
 
 
 def test_other_models_are_refused():
