@@ -50,16 +50,34 @@ def state_token(records: DataFrame) -> DataFrame:
     Counts and sums of two independent 64-bit hashes: partial sums combine map-side, and unlike a
     xor they tell a doubled row from a missing one.
     """
+    return _token(_hashes(records, 1), "0:0:0")
+
+
+def _hashes(records: DataFrame, sign: int) -> DataFrame:
     body = record_json()
+    exact = lambda column: (F.lit(sign) * column.cast("decimal(37,0)")).cast("decimal(38,0)")
     return records.select(
-        F.xxhash64(body).alias("a"), F.xxhash64(F.reverse(body)).alias("b")
-    ).agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.col("a").cast("decimal(38,0)")), F.lit(0)).alias("a"),
-        F.coalesce(F.sum(F.col("b").cast("decimal(38,0)")), F.lit(0)).alias("b"),
-    ).select(F.concat_ws(
-        ":", F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")
-    ).alias("state_token"))
+        F.lit(sign).cast("decimal(38,0)").alias("n"), exact(F.xxhash64(body)).alias("a"), exact(F.xxhash64(F.reverse(body))).alias("b")
+    )
+
+
+def _token(rows: DataFrame, token: str) -> DataFrame:
+    """``token`` after the signed rows ``(n, a, b)``."""
+    parts = [
+        (F.lit(part).cast("decimal(38,0)") + F.coalesce(F.sum(c), F.lit(0))).cast("decimal(38,0)").cast("string")
+        for c, part in zip(("n", "a", "b"), token.split(":"))
+    ]
+    return rows.agg(F.concat_ws(":", *parts).alias("state_token"))
+
+
+def token_after(token: str, gone: DataFrame, come: DataFrame) -> DataFrame:
+    """The token once the records of ``gone`` have left and those of ``come`` have been added.
+
+    Counts and sums of hashes can be added to and taken from, so a commit names its new contents from
+    its own rows: the cost follows the change, not the table. A replaced record is in both frames, as
+    it was and as it is; a record that never was in the table must not be in ``gone``.
+    """
+    return _token(_hashes(come, 1).unionByName(_hashes(gone, -1)), token)
 
 
 def is_stale(projected: str | None, current: str | None) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.paths import base_name, clean_path, managed_path, path_order
 from ..functions.values import looks_unchanged
@@ -152,21 +152,38 @@ def commit_batches(outcomes: DataFrame, size: int) -> DataFrame:
     return placed.withColumn("batch", F.floor(F.col("pos") / size).cast("bigint"))
 
 
-def scan_summary(outcomes: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
-    """One row of counts; a moved file counts as updated. Warnings stay a table of their own."""
+def _class_counts() -> list[Column]:
     c = F.col("class")
-    counts = outcomes.agg(
+    return [
         F.count_if(c == "added").alias("added"),
         F.count_if(c.isin("updated", "moved")).alias("updated"),
         F.count_if(c == "removed").alias("removed"),
         F.count_if(c == "unchanged").alias("unchanged"),
         F.count_if(c == "failed").alias("failed"),
-    )
+    ]
+
+
+def scan_summary(outcomes: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """One row of counts; a moved file counts as updated. Warnings stay a table of their own."""
+    counts = outcomes.agg(*_class_counts())
     if warnings is None:
         return counts
     return counts.withColumn("warnings", warnings.agg(F.count("*")).scalar())
 
 
+def write_outcomes(outcomes: DataFrame, path: str) -> DataFrame:
+    """Writes the outcomes as Parquet; the ``scan_summary`` of what was written, without a second pass.
+
+    The counts are observed while the rows go by. Failed files are the warnings of a scan.
+    """
+    seen = Observation()
+    outcomes.observe(seen, *_class_counts()).write.parquet(path)
+    counts = seen.get
+    names = ["added", "updated", "removed", "unchanged", "failed"]
+    row = [int(counts[n]) for n in names]
+    return outcomes.sparkSession.createDataFrame([(*row, row[-1])], ", ".join(f"{n} bigint" for n in [*names, "warnings"]))
+
+
 def scan_warnings(outcomes: DataFrame, hashed: DataFrame) -> DataFrame:
     return outcomes.where("class = 'failed'").join(hashed, "path").select(
         "path", F.col("read_error").alias("code")

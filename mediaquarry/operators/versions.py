@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.paths import base_name, supports_embedded_write
 from ..functions.values import clamp_rating, encode_provenance, normalize_metadata, provenance
+from ..session import cut_lineage
 from .ordering import with_previous
-from .projection import read_pointer, write_pointer
+from .projection import read_pointer, token_after, write_pointer
 
 
 class Conflict(Exception):
@@ -45,6 +46,18 @@ def apply_records(base: DataFrame, batch: DataFrame, order: str | None = None) -
     return base.join(latest.select("id"), "id", "left_anti").unionByName(latest)
 
 
+def apply_with_token(
+    base: DataFrame, batch: DataFrame, token: str, order: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``apply_records`` beside the state token of its result, made from ``token``, that of ``base``.
+
+    Of ``base`` the new token reads only the rows that the batch replaces.
+    """
+    latest = cut_lineage(_latest(batch, order))
+    replaced = base.join(latest.select("id"), "id", "left_semi")
+    return base.join(latest.select("id"), "id", "left_anti").unionByName(latest), token_after(token, replaced, latest)
+
+
 def commit_staged(committed: DataFrame, staged: DataFrame, tombstones: DataFrame, order: str | None = None) -> DataFrame:
     """Committed rows minus tombstones plus staged rows; a row in both survives as staged.
 

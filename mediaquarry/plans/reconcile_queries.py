@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.values import fingerprint_cache_key
 from ..operators import reconcile as rec
+from ..session import shared_dir
 from ..sources import adapters, listing
 from . import base_sql as q
 from .registry import query
@@ -123,17 +126,26 @@ def keep_first_per_path(t):
     return rec.keep_first_per_path(stored(t)).select("id", "path", "extra")
 
 
-@query(f"""WITH {_OUTCOME} SELECT CAST(count(*) FILTER (class = 'added') AS BIGINT) AS added,
+_SUMMARY = f"""WITH {_OUTCOME} SELECT CAST(count(*) FILTER (class = 'added') AS BIGINT) AS added,
   CAST(count(*) FILTER (class IN ('updated', 'moved')) AS BIGINT) AS updated,
   CAST(count(*) FILTER (class = 'removed') AS BIGINT) AS removed,
   CAST(count(*) FILTER (class = 'unchanged') AS BIGINT) AS unchanged,
   CAST(count(*) FILTER (class = 'failed') AS BIGINT) AS failed,
-  CAST(count(*) FILTER (class = 'failed') AS BIGINT) AS warnings FROM out""")
+  CAST(count(*) FILTER (class = 'failed') AS BIGINT) AS warnings FROM out"""
+
+
+@query(_SUMMARY)
 def scan_summary(t):
     out = outcomes(t)
     return rec.scan_summary(out, rec.scan_warnings(out, hashed(t)))
 
 
+@query(_SUMMARY)
+def scan_summary_observed(t):
+    """The same counts, taken while the outcomes are written."""
+    return rec.write_outcomes(outcomes(t), f"{shared_dir(t.spark)}/outcomes-{uuid.uuid4().hex}")
+
+
 @query(f"""WITH {_OUTCOME} SELECT path, id, class,
   (row_number() OVER (ORDER BY string_split(path, '/'), id) - 1) // 64 AS batch
 FROM out WHERE class IN ('added', 'updated', 'moved')""")

@@ -93,6 +93,25 @@ def state_token(t):
     )
 
 
+@query(f"WITH {q.DOC} SELECT step, true AS as_whole_table, step > 0 AS moved_on, (SELECT count(*) FROM doc WHERE doc_id % 4 <> 3 OR step > 1) AS records FROM range(3) s(step)")
+def state_token_kept_up(t):
+    """The token carried from batch to batch equals the token of the whole table after each."""
+    r, d = adapters.records(t), F.substring("id", 2, 20).cast("bigint")
+    edited = lambda rows, by: rows.withColumn("original_storage", F.lit(by))
+    table = r.where(d % 4 != 3)
+    batches = [r.limit(0), edited(r.where(d % 4 == 1), "first"), edited(r.where(d % 4 != 0), "second")]
+    token = start = projection.state_token(table).first()[0]
+    rows = []
+    for step, batch in enumerate(batches):
+        table, after = versions.apply_with_token(table, batch, token)
+        token = after.first()[0]
+        rows.append(projection.state_token(table).select(
+            F.lit(step).cast("bigint").alias("step"), (F.col("state_token") == token).alias("as_whole_table"),
+            F.lit(token != start).alias("moved_on"), F.split_part("state_token", F.lit(":"), F.lit(1)).cast("bigint").alias("records"),
+        ))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 # --- upsert and commit ------------------------------------------------------------------------
 
 

@@ -170,3 +170,13 @@ def test_a_hot_digest_is_numbered_over_many_tasks(spark):
         left = sorted((p for p, d in paths if d == digest), key=lambda p: p.split("/"))
         want += zip(left, sorted(i for i, d in olds if d == digest))
     assert found == sorted(want)
+
+
+def test_written_outcomes_are_counted_on_the_way(spark, tmp_path):
+    classes = ["added", "added", "moved", "updated", "removed", "unchanged", "failed", "retained", None]
+    rows = spark.createDataFrame([(f"/p/{i}", f"r{i}", c) for i, c in enumerate(classes)], "path string, id string, class string")
+    for folder, part in (("all", rows), ("none", rows.where("false"))):
+        told = rec.write_outcomes(part, str(tmp_path / folder))
+        assert told.drop("warnings").collect() == rec.scan_summary(part).collect()
+        assert told.first()["warnings"] == rec.scan_summary(part).first()["failed"]
+        assert spark.read.parquet(str(tmp_path / folder)).count() == part.count()

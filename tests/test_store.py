@@ -408,3 +408,22 @@ def test_history_links(spark):
     assert [found["ring", i][4] for i in "abcdes"] == ["on", "on", "on", "below", "below", "on"]
     assert found["ring", "d"][:3] == (None, None, 2) and found["ring", "free"] == (0, "free", 1, False, None)
     assert lineage.history_links(spark.createDataFrame([], "library string, id string, parent_id string")).count() == 0
+
+
+def test_token_follows_its_deltas(spark):
+    """Edits, new records, an empty batch and leaving records: always the token of the whole table."""
+    from mediaquarry.sources import adapters
+
+    r = adapters.records(adapters.Tables.of(spark, "/root/testdata/sf0.001")).limit(40).cache()
+    table = r.where(F.substring("id", 2, 20).cast("bigint") % 3 != 0)
+    token = projection.state_token(table).first()[0]
+    for batch in (
+        r.where("false"), r.withColumn("original_storage", F.lit("x")),
+        table.withColumn("managed_original_path", F.lit("p")).unionByName(r.where("false")),
+    ):
+        table, after = versions.apply_with_token(table, batch, token)
+        token = after.first()[0]
+        assert token == projection.state_token(table).first()[0]
+    gone = table.where(F.substring("id", 2, 20).cast("bigint") % 5 == 0)
+    left = projection.token_after(token, gone, r.where("false")).first()[0]
+    assert left == projection.state_token(table.join(gone.select("id"), "id", "left_anti")).first()[0] != token
