@@ -262,6 +262,19 @@ def save_edits(
     return apply_records(current, edited.select(current.columns))
 
 
+def save_with_checkpoint(
+    checked: DataFrame, current: DataFrame, new_digests: DataFrame, checkpoints: DataFrame, message: str,
+    author: str | None, version: str, checkpoint_id: str, created_at_ms: int, prefix: str,
+    pending: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``save_edits`` and the checkpoint table with the row that names the batch.
+
+    A refused batch raises ``Conflict`` before either table is made: the caller keeps both as they were.
+    """
+    saved = save_edits(checked, current, new_digests, pending)
+    return saved, checkpoint_append(checkpoints, message, author, version, checkpoint_id, created_at_ms, prefix)
+
+
 def verify_written(expected: DataFrame, reread: DataFrame) -> DataFrame:
     """``(path, rating, caption, tags)`` asked for against what the file now says."""
     want = expected.select("path", F.col("rating").alias("r"), F.col("caption").alias("c"), F.col("tags").alias("t"))

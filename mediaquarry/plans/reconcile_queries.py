@@ -183,6 +183,18 @@ def store_equivalence(t):
     return rec.store_equivalence(left, right)
 
 
+@query(f"""WITH {_INPUT}, a AS (SELECT DISTINCT path, dig FROM r0), b AS (SELECT path, dig FROM r0 GROUP BY ALL)
+SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS left_only,
+  (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS right_only,
+  NOT EXISTS (SELECT * FROM a EXCEPT SELECT * FROM b) AND NOT EXISTS (SELECT * FROM b EXCEPT SELECT * FROM a) AS equivalent""")
+def store_equivalence_rebuilt(t):
+    """Two catalogues of the same files in another order and under other ids hold the same rows."""
+    key = fingerprint_cache_key(F.lit("sha256"), F.col("digest")).alias("fingerprint_key")
+    left = stored(t).select("path", key).distinct()
+    rebuilt = stored(t).withColumn("id", F.sha2("path", 256)).repartition("id").select("id", "path", key)
+    return rec.store_equivalence(left, rebuilt.groupBy("path", "fingerprint_key").agg(F.min("id").alias("id")))
+
+
 @query(f"""WITH {_OUTCOME} SELECT id, path, class <> 'added' AS metadata_replaced FROM out WHERE class IN ('added', 'updated', 'moved')
 UNION ALL SELECT id, path, false FROM r0 WHERE id NOT IN
   (SELECT id FROM out WHERE class IN ('added', 'updated', 'moved', 'removed') AND id IS NOT NULL)""")

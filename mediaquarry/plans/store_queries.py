@@ -233,6 +233,35 @@ def save_edits(t):
     return saved.select("id", "metadata.rating", "fingerprint.digest")
 
 
+@query("""SELECT step, error, changed, (SELECT count(*) FROM conversations) + CAST(changed AS BIGINT) AS checkpoints
+FROM (VALUES ('whole', 'conflict', false), ('clean', 'none', true)) v(step, error, changed)""")
+def save_gated(t):
+    """The whole batch holds conflicts, so it is refused and leaves records and checkpoints as they
+    were; its clean part is saved and adds its checkpoint."""
+    checked, r = _checked(t), adapters.records(t)
+    clean = checked.where(F.col("conflict").isNull() & supports_embedded_write(F.col("base_path")))
+    log = t.conversations.select(
+        F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("id"),
+        F.col("text").alias("message"), (F.col("turn") * 1_000_000 + F.col("conv_id")).alias("created_at_ms"),
+    )
+    token, rows = projection.state_token(r).first()[0], []
+    for step, part in (("whole", checked), ("clean", clean)):
+        digests = part.select("id", F.sha2(F.col("metadata.tags")[0], 256).alias("digest"))
+        try:
+            saved, after = versions.save_with_checkpoint(
+                part, r, digests, log, "edits", None, "1.0", "saved", 9_000_000_000, "checkpoint:"
+            )
+            error = "none"
+        except versions.Conflict as refused:
+            saved, after, error = r, log, str(refused).split(":")[0]
+        count = after.agg(F.count("*")).scalar()
+        rows.append(projection.state_token(saved).select(
+            F.lit(step).alias("step"), F.lit(error).alias("error"), (F.col("state_token") != token).alias("changed"),
+            count.alias("checkpoints"),
+        ))
+    return rows[0].unionByName(rows[1])
+
+
 @query(f"""WITH {q.DOC} SELECT '/library/' || source || '/' || file_name || '#' || id AS path, doc_id % 4 <> 1 AND doc_id % 9 <> 5 AND doc_id % 8 <> 6 AS verified FROM doc""")
 def verify_written(t):
     n = _d()
