@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import small, stored
+from .storage import free_names, small, stored
 
 WINDOW = 5
 #: Share of an item's windows that a document must hold.
@@ -106,5 +106,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leaked item; rows with a null doc_id can't be named and stay."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(stored(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    (name,) = free_names(docs, "_gone")
+    gone = leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stored(gone), F.col("doc_id") == F.col(name), "left_anti")

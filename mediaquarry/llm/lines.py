@@ -14,7 +14,7 @@ import random
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components
-from .storage import stored
+from .storage import free_names, stored
 
 SHINGLE = 9
 SIMILARITY = 0.8
@@ -211,16 +211,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, where there, follows the text of the documents that lost lines. Blank lines stay.
     """
-    gone = repeated_lines(docs).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
+    own_id, gone_at, parts_in, places_of, left = free_names(docs, "_id", "_gone", "_parts", "_places", "_text")
+    gone = repeated_lines(docs).where("not kept").groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_set("line_no").alias(gone_at))
+    joined = docs.join(gone, F.col("doc_id") == F.col(own_id), "left")
     parts = F.split("text", "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    rest = joined.withColumn("_parts", parts).withColumn("_places", places).withColumn(
-        "_text", F.array_join(F.transform("_places", lambda at: F.col("_parts")[at]), "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone_at))
+    rest = joined.withColumn(parts_in, parts).withColumn(places_of, places).withColumn(
+        left, F.array_join(F.transform(places_of, lambda at: F.col(parts_in)[at]), "\n")
     )
-    changed = F.col("_gone").isNotNull()
-    new = {"text": F.when(changed, F.col("_text")).otherwise(F.col("text"))}
+    changed = F.col(gone_at).isNotNull()
+    new = {"text": F.when(changed, F.col(left)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(changed, F.length("_text").cast(kind)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(changed, F.length(left).cast(kind)).otherwise(F.col("n_chars"))
     return rest.withColumns(new).select(*docs.columns)

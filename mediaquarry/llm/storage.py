@@ -38,6 +38,17 @@ def small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(kept) if fits else kept), fits
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns: those given, made longer until the table has no such column."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; null ids give null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor

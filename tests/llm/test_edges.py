@@ -131,3 +131,18 @@ def test_embeddings(spark):
     assert [by[i]["n_links"] for i in (1, 2, 11, 12)] == [3, 3, 3, 3] and by[12]["component_id"] == 1
     assert all(by[i]["n_links"] == 0 and by[i]["kept"] for i in (3, 4, 5, 6, 7, 8, 9, 10, None))
     assert embeddings.near_duplicates(vectors.where("false")).count() == 0
+
+
+def test_filters_leave_columns_of_any_name(spark, odd_docs):
+    """Columns named like the helpers of the filters come out as they went in."""
+    names = ["_id", "_gone", "_parts", "_places", "_text", "_GONE_"]
+    docs = odd_docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    items = spark.createDataFrame([(1, "The cat sat on the mat and looked at the quiet grey sea.")], "item_id long, text string")
+    for kept, plain in (
+        (lines.without_repeats(docs), lines.without_repeats(odd_docs)),
+        (decontaminate.keep_clean(docs, items), decontaminate.keep_clean(odd_docs, items)),
+        (simhash.keep_one(docs), simhash.keep_one(odd_docs)),
+    ):
+        assert kept.columns == docs.columns
+        assert sorted(map(str, kept.select(*odd_docs.columns).collect())) == sorted(map(str, plain.collect()))
+        assert all(row[n] == f"own {n}" for row in kept.collect() for n in names)
