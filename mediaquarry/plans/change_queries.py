@@ -151,7 +151,10 @@ def sweep_stream(t):
 @query(f"""WITH {_BATCHES} SELECT 'watch-reconcile:' || root AS coalescing_key, 'pending' AS state, due_at AS created_at_ms, had_overflow
 FROM batch QUALIFY row_number() OVER (PARTITION BY root ORDER BY opened_at) = 1""")
 def trigger_stream(t):
-    """The request table that the stream of due batches and sweeps fills: one pending row per root."""
+    """The request table of the stream's due batches and sweeps: one pending row per root.
+
+    The sink of ``foreachBatch`` is called once here, with all rows that the bounded stream has written.
+    """
     table = _target(t, "requests")
     causes = _bounded(t, "causes", lambda e: live.reconcile_stream(e, _DEBOUNCE, _SWEEP, "1 hour"), _DEBOUNCE)
     live.open_requests(t.spark, table)
