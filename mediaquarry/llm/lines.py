@@ -1,10 +1,12 @@
 """Fuzzy line dedup by MinHash over character shingles, with DataFrame functions only.
 
 Equal lines are one line from the start. A line's shingles are all its runs of nine characters; the
-signature holds, for each of 21 masks, the smallest shingle hash under that mask. Lines that agree
-on three masks of a band are candidates; the exact Jaccard similarity of their shingle sets decides,
-and one line of every component of linked lines stays: the first by document and line number. Each
-line is compared with two leaders of its buckets first, then with all others that are still apart.
+signature holds, for each of 16 masks, the smallest shingle hash under that mask. The masks are the
+points of the plane of order four and the bands are lines of it, four masks each, so two bands share
+one mask at most. Lines that agree on a band are candidates; those that agree on half of the masks are
+compared by the exact Jaccard similarity of their shingle sets, and one line of every component of
+linked lines stays: the first by document and line number. Each line meets two leaders of its buckets
+first, then all others that are still apart.
 """
 
 from __future__ import annotations
@@ -13,18 +15,31 @@ import random
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.ordering import join_spread
 from .components import connected_components
 from .storage import free_names, stored
 
 SHINGLE = 9
 SIMILARITY = 0.8
-#: Masks per band and bands: at similarity 0.8 a pair meets in some band with 0.993, at 0.9 with 0.9999.
-ROWS, BANDS = 3, 7
+
+
+def _times(a: int, b: int) -> int:
+    """Product in the field of four elements."""
+    carried = (a if b & 1 else 0) ^ (a << 1 if b & 2 else 0)
+    return carried ^ 7 if carried & 4 else carried
+
+
+#: Four of the plane's five classes of parallel lines. At similarity 0.8 a pair shares some band with
+#: 0.989, at 0.85 with 0.997, at 0.9 with 0.9995; at 0.1 with 0.0016.
+BANDS = [[4 * x + (_times(slope, x) ^ at) for x in range(4)] for slope in range(4) for at in range(4)]
+#: Masks that a candidate pair must agree on; of the pairs at similarity 0.8 that share a band it loses 0.0003.
+AGREEING = 8
 _SALTS = 8
-#: Words of 64 bits in a sketch.
-_WORDS = 4
+#: Slots that bands are counted in, over a share of the documents, to learn which hold a hot bucket.
+#: What is learned here decides how rows are dealt out, never which rows meet.
+_SLOTS, _SHARE = 4096, 0.02
 _random = random.Random(3)
-MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(ROWS * BANDS)]
+MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(16)]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -54,33 +69,75 @@ def _shingle(wide: Column, at: Column) -> Column:
     return F.xxhash64(F.substring(wide, F.shiftleft(at, 1) + 1, F.lit(2 * SHINGLE)))
 
 
-def signatures(distinct: DataFrame) -> DataFrame:
-    """``(d1, line)`` → ``(d1, m0 … m20)``, over all shingles; the rows of a line stay in their partition."""
-    wide = distinct.select("d1", _wide(F.col("line")).alias("wide"))
+def signatures(lines: DataFrame) -> DataFrame:
+    """``(d1, line)``, repeated or not → ``(d1, m0 … m15)``, over all shingles.
+
+    Lines are signed where they are read, so the texts are not shuffled.
+    """
+    wide = lines.select("d1", _wide(F.col("line")).alias("wide"))
     hashes = wide.select("d1", "wide", F.explode(F.sequence(F.lit(0), _last(F.col("wide")))).alias("at")).select(
         "d1", _shingle(F.col("wide"), F.col("at")).alias("h")
     )
-    return hashes.groupBy("d1").agg(
-        *[F.min(F.col("h").bitwiseXOR(F.lit(mask))).alias(f"m{i}") for i, mask in enumerate(MASKS)]
-    )
+    least = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(mask)), 32).cast("int")) for mask in MASKS]
+    return hashes.groupBy("d1").agg(*[low.alias(f"m{i}") for i, low in enumerate(least)])
+
+
+def sketches(signed: DataFrame) -> DataFrame:
+    """``(d1, sketch)``: four bits of each mask's minimum, side by side in one number."""
+    sketch = F.lit(0).cast("bigint")
+    for i in range(len(MASKS)):
+        sketch = sketch.bitwiseOR(F.shiftleft(F.col(f"m{i}").bitwiseAND(15).cast("bigint"), 4 * i))
+    return signed.select("d1", sketch.alias("sketch"))
+
+
+def _agree(a: str, b: str) -> Column:
+    """Whether two sketches agree on enough masks."""
+    differ = F.col(a).bitwiseXOR(F.col(b))
+    either = differ.bitwiseOR(F.shiftrightunsigned(differ, 1))
+    either = either.bitwiseOR(F.shiftrightunsigned(either, 2)).bitwiseAND(F.lit(0x1111111111111111))
+    return F.bit_count(either) <= len(MASKS) - AGREEING
+
 
+def _banded(signed: DataFrame) -> DataFrame:
+    """``(d1, band)``: a line with the key of each of its bands."""
+    keys = [F.xxhash64(F.lit(b), *[f"m{m}" for m in masks]) for b, masks in enumerate(BANDS)]
+    return signed.select("d1", F.explode(F.array(*keys)).alias("band"))
 
-def buckets(signed: DataFrame) -> DataFrame:
+
+def _slot() -> Column:
+    return F.col("band").bitwiseAND(_SLOTS - 1)
+
+
+def hot_slots(lines: DataFrame) -> list[int]:
+    """Slots with more than twice the mean of these lines' bands; at most half of the slots."""
+    counts = _banded(signatures(lines)).groupBy(_slot().alias("slot")).count().collect()
+    mean = sum(r["count"] for r in counts) / _SLOTS
+    return [r["slot"] for r in counts if r["count"] > 2 * mean + 100]
+
+
+def buckets(signed: DataFrame, hot: list[int]) -> DataFrame:
     """``(d1, band, x, y, n)``: a line in each band bucket it shares, the bucket's leaders and size.
 
-    A key mixes the order of its lines, so the seven buckets that two lines may share have leaders of
-    their own.
+    A key mixes the order of its lines, so the buckets that two lines may share have leaders of their
+    own. Rows of hot slots are dealt out by salt and their leaders found in two steps; all others
+    meet by one shuffle.
     """
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    # A hot bucket is dealt out by salt, once for both uses. The salt is an expression that is never
-    # null: a test for null would be pushed into one of the two and part their plans.
-    banded = signed.select("d1", _salt().alias("salt"), F.explode(F.array(*keys)).alias("band")).repartition("band", "salt")
+    salt = F.when(_slot().isin(hot), _salt()).otherwise(F.lit(0).cast("bigint")) if hot else F.lit(0).cast("bigint")
+    # The salt is an expression that is never null: a test for null would be pushed into one of the
+    # two uses and part their plans.
+    banded = _banded(signed).withColumn("salt", salt).repartition("band", "salt")
     mixed = F.col("d1").bitwiseXOR(F.col("band"))
     ends = banded.groupBy("band", "salt").agg(F.min(mixed).alias("x"), F.max(mixed).alias("y"), F.count("*").alias("n"))
-    leaders = ends.groupBy("band").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.sum("n").alias("n")).where("x < y").select(
-        "band", *[F.col(side).bitwiseXOR(F.col("band")).alias(side) for side in ("x", "y")], "n"
+    named = [F.col(side).bitwiseXOR(F.col("band")).alias(side) for side in ("x", "y")]
+    met = banded.join(ends.where("x < y"), ["band", "salt"])
+    if not hot:
+        return met.select("d1", "band", *named, "n")
+    cold = met.where(~_slot().isin(hot)).select("d1", "band", *named, "n")
+    wide = ends.where(_slot().isin(hot)).groupBy("band").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.sum("n").alias("n"))
+    spread = wide.where("x < y").withColumn("salt", _salts())
+    return cold.unionByName(
+        banded.where(_slot().isin(hot)).join(spread, ["band", "salt"]).select("d1", "band", *named, "n")
     )
-    return banded.join(leaders.withColumn("salt", _salts()), ["band", "salt"]).drop("salt")
 
 
 def _salt() -> Column:
@@ -91,64 +148,53 @@ def _salts() -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint")))
 
 
-def leader_pairs(met: DataFrame) -> DataFrame:
-    """``(a, b)``, first digests, a < b: every line with the two leaders of each bucket it shares."""
+def leader_pairs(met: DataFrame, known: DataFrame) -> DataFrame:
+    """``(a, b)``, first digests, a < b: every line with the leaders of its buckets that it agrees with."""
     pairs = met.select("d1", F.explode(F.array("x", "y")).alias("other")).where("d1 <> other")
-    return pairs.select(F.least("d1", "other").alias("a"), F.greatest("d1", "other").alias("b")).distinct()
+    pairs = pairs.select(F.least("d1", "other").alias("a"), F.greatest("d1", "other").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("d1").alias(side), F.col("sketch").alias(f"{side}_sketch")), side)
+    return pairs.where(_agree("a_sketch", "b_sketch")).select("a", "b")
 
 
-def rest_pairs(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: all lines that share a bucket, were not compared and are not one component yet.
+def rest_pairs(met: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: the lines that share a bucket, agree and are not one component yet.
 
     Leaders have met their whole bucket. Pairs within a component change nothing, so a bucket of
-    copies gives none, whatever its size; lines that are no copies of each other must all be told apart.
+    copies gives none, whatever its size; of other lines only those that agree become rows.
     """
     rest = met.where("n > 3 and d1 <> x and d1 <> y").select("band", "d1")
     named = roots.select(F.col("node.d1").alias("d1"), "root")
     alone = F.struct("d1", F.lit(0).cast("bigint").alias("d2"))
-    rest = stored(rest.join(named, "d1", "left").select("band", "d1", F.coalesce("root", alone).alias("root")))
+    rest = rest.join(known, "d1").join(named, "d1", "left")
+    rest = stored(rest.select("band", "d1", "sketch", F.coalesce("root", alone).alias("root")))
     mixed = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
     rest = rest.join(mixed, "band", "left_semi")
-    one = rest.select("band", F.col("d1").alias("a"), F.col("root").alias("a_root"), _salt().alias("salt"))
-    other = rest.select("band", F.col("d1").alias("b"), F.col("root").alias("b_root"), _salts().alias("salt"))
-    return one.join(other, ["band", "salt"]).where("a < b and a_root <> b_root").select("a", "b").distinct()
-
-
-def _set(line: str) -> Column:
-    """Shingles of a line by signs; a line shorter than a shingle is one."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), 1)
-    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(found))
+    one, other = (
+        rest.select("band", F.col("d1").alias(side), F.col("sketch").alias(f"{side}_sketch"), F.col("root").alias(f"{side}_root"), salt.alias("salt"))
+        for side, salt in (("a", _salt()), ("b", _salts()))
+    )
+    apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _agree("a_sketch", "b_sketch")
+    return one.join(other, ["band", "salt"]).where(apart).select("a", "b").distinct()
 
 
-def sketched(distinct: DataFrame) -> DataFrame:
-    """``(d1, line)`` → with ``n`` shingles, repeated ones too, and words ``s0 …`` with a bit set for each."""
-    wide = distinct.select("d1", "line", _wide(F.col("line")).alias("wide"))
-    hashes = wide.select("d1", "line", "wide", F.explode(F.sequence(F.lit(0), _last(F.col("wide")))).alias("at")).select(
-        "d1", "line", _shingle(F.col("wide"), F.col("at")).alias("h")
-    )
-    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.shiftright("h", 6).bitwiseAND(_WORDS - 1)
-    words = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"s{k}") for k in range(_WORDS)]
-    return hashes.groupBy("d1", "line").agg(F.count("*").alias("n"), *words)
+def _set(wide: str) -> Column:
+    """Hashes of a line's shingles, from four bytes for every character; a shorter line is one shingle."""
+    last = F.greatest(F.shiftright(F.length(wide), 2) - SHINGLE, F.lit(0))
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(0), last), lambda at: F.xxhash64(F.substring(F.col(wide), F.shiftleft(at, 2) + 1, F.lit(4 * SHINGLE)))
+    ))
 
 
 def similar(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(a, b)``, structs of digests: those of the pairs whose shingle sets are similar enough.
-
-    With sketches in ``distinct``, pairs that differ in too many bits are dropped unread: a bit that
-    differs stands for a shingle that only one side has, so no similar pair is lost.
-    """
-    more = [c for c in distinct.columns if c not in ("d1", "line")]
+    """``(a, b)``, structs of digests: those of the pairs whose shingle sets are similar enough."""
     for side in ("a", "b"):
         named = distinct.select(
-            F.col("d1").alias(side), _digest(F.col("line")).alias(f"{side}2"), F.col("line").alias(f"{side}_line"),
-            *[F.col(c).alias(f"{side}_{c}") for c in more],
+            F.col("d1").alias(side), _digest(F.col("line")).alias(f"{side}2"), F.col("line").alias(f"{side}_line")
         )
         pairs = pairs.join(named, side)
-    if more:
-        differ = sum(F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(_WORDS))
-        # Similarity 0.8 or more: at least four shingles shared for each that is not.
-        pairs = pairs.where(differ * 4 <= F.least("a_n", "b_n"))
-    sets = pairs.select("a", "a2", "b", "b2", _set("a_line").alias("a_set"), _set("b_line").alias("b_set"))
+    wide = pairs.select("a", "a2", "b", "b2", *[F.encode(f"{side}_line", "UTF-32").alias(f"{side}_wide") for side in ("a", "b")])
+    sets = wide.select("a", "a2", "b", "b2", _set("a_wide").alias("a_set"), _set("b_wide").alias("b_set"))
     # Exploded, the size stays behind the sets; as a plain expression it would become part of the
     # join's condition, which builds every set three times.
     both = F.explode(F.array(F.size(F.array_intersect("a_set", "b_set"))))
@@ -164,19 +210,20 @@ def _distinct(lines: DataFrame) -> DataFrame:
     return lines.groupBy("d1").agg(F.collect_set("line").alias("same")).select("d1", F.explode("same").alias("line"))
 
 
-def components(lines: DataFrame) -> DataFrame:
+def components(lines: DataFrame, share: DataFrame) -> DataFrame:
     """``(node, root)``, structs of digests: the components of all similar lines that share a bucket.
 
-    Leaders link most of a bucket; what they leave apart is then compared in full.
+    Leaders link most of a bucket; what they leave apart is then compared in full. Texts are fetched
+    for the lines that share a bucket only. ``share``: lines that show which buckets are hot.
     """
-    distinct = _distinct(lines)
-    met = stored(buckets(signatures(distinct)))
-    roots = connected_components(similar(distinct, leader_pairs(met)))
-    pairs = stored(rest_pairs(met, roots))
+    met = stored(buckets(signatures(lines), hot_slots(share)))
+    texts = stored(_distinct(lines.select("d1", "line").join(met.select("d1").distinct(), "d1", "left_semi")))
+    known = stored(sketches(signatures(texts)))
+    roots = connected_components(similar(texts, stored(leader_pairs(met, known))))
+    pairs = stored(rest_pairs(met, roots, known))
     if pairs.isEmpty():
         return roots
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
-    found = similar(sketched(_distinct(lines.join(ends, "d1", "left_semi"))), pairs)
+    found = similar(texts, pairs)
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 
 
@@ -186,18 +233,19 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     Lines are parted at line feeds and counted from 0; the first line of a component by
     (doc_id, line_no) names it and is kept. Blank lines belong to no component and give no row, nor
     do null and empty texts and rows with a null doc_id. Lines shorter than a shingle are one
-    shingle, so only equal ones link. Rows that share a doc_id are one document: a place that occurs
+    shingle, so only equal ones link; long lines are signed and compared whole. An empty table gives no
+    rows. Of lines that repeat, ties in (doc_id, line_no) are one place. Rows that share a doc_id are one document: a place that occurs
     in several of them shares one decision. Other columns are ignored.
     """
     lines = lines_of(docs)
-    roots = components(lines).select("node.d1", "node.d2", "root")
+    roots = components(lines, lines_of(docs.sample(_SHARE, 7))).select("node.d1", "node.d2", "root")
     seen = lines.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
     # Only lines that occur twice or have a link need a word about their component.
     own = F.struct("d1", "d2")
     named = seen.join(roots, ["d1", "d2"], "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", own))
     named = stored(named.select("d1", "d2", "root", "first"))
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
-    told = stored(named.join(heads, "root").select("d1", "d2", "head"))
+    told = stored(join_spread(named, heads, ["root"], ["d1"]).select("d1", "d2", "head"))
     here = F.struct("doc_id", "line_no")
     head = F.coalesce("head", here)
     return lines.drop("line").join(told, ["d1", "d2"], "left").select(
