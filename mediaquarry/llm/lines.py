@@ -119,25 +119,35 @@ def buckets(signed: DataFrame, hot: list[int]) -> DataFrame:
     """``(d1, band, x, y, n)``: a line in each band bucket it shares, the bucket's leaders and size.
 
     A key mixes the order of its lines, so the buckets that two lines may share have leaders of their
-    own. Rows of hot slots are dealt out by salt and their leaders found in two steps; all others
-    meet by one shuffle.
+    own. Most rows meet by one shuffle on the band; rows of hot slots are dealt out by salt.
     """
-    salt = F.when(_slot().isin(hot), _salt()).otherwise(F.lit(0).cast("bigint")) if hot else F.lit(0).cast("bigint")
-    # The salt is an expression that is never null: a test for null would be pushed into one of the
-    # two uses and part their plans.
-    banded = _banded(signed).withColumn("salt", salt).repartition("band", "salt")
-    mixed = F.col("d1").bitwiseXOR(F.col("band"))
-    ends = banded.groupBy("band", "salt").agg(F.min(mixed).alias("x"), F.max(mixed).alias("y"), F.count("*").alias("n"))
-    named = [F.col(side).bitwiseXOR(F.col("band")).alias(side) for side in ("x", "y")]
-    met = banded.join(ends.where("x < y"), ["band", "salt"])
+    banded = _banded(signed)
     if not hot:
-        return met.select("d1", "band", *named, "n")
-    cold = met.where(~_slot().isin(hot)).select("d1", "band", *named, "n")
-    wide = ends.where(_slot().isin(hot)).groupBy("band").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.sum("n").alias("n"))
-    spread = wide.where("x < y").withColumn("salt", _salts())
-    return cold.unionByName(
-        banded.where(_slot().isin(hot)).join(spread, ["band", "salt"]).select("d1", "band", *named, "n")
-    )
+        return _met(banded)
+    within = _slot().isin(hot)
+    return _met(banded.where(~within)).unionByName(_met_by_salt(banded.where(within)))
+
+
+def _ends(banded: DataFrame, *by: str) -> DataFrame:
+    mixed = F.col("d1").bitwiseXOR(F.col("band"))
+    return banded.groupBy(*by).agg(F.min(mixed).alias("x"), F.max(mixed).alias("y"), F.count("*").alias("n"))
+
+
+def _leaders(met: DataFrame) -> DataFrame:
+    return met.select("d1", "band", *[F.col(side).bitwiseXOR(F.col("band")).alias(side) for side in ("x", "y")], "n")
+
+
+def _met(banded: DataFrame) -> DataFrame:
+    """The buckets with one shuffle for the leaders and for the join that hands them out."""
+    dealt = banded.repartition("band")
+    return _leaders(dealt.join(_ends(dealt, "band").where("x < y"), "band"))
+
+
+def _met_by_salt(banded: DataFrame) -> DataFrame:
+    """The same with a bucket's rows in several tasks, whose leaders are found in two steps."""
+    dealt = banded.withColumn("salt", _salt()).repartition("band", "salt")
+    ends = _ends(dealt, "band", "salt").groupBy("band").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.sum("n").alias("n"))
+    return _leaders(dealt.join(ends.where("x < y").withColumn("salt", _salts()), ["band", "salt"]))
 
 
 def _salt() -> Column:
