@@ -3,8 +3,8 @@
 Equal lines are one line from the start. A line's shingles are all its runs of nine characters; the
 signature holds, for each of 16 masks, the smallest shingle hash under that mask. The masks are the
 points of the plane of order four and the bands are lines of it, four masks each, so two bands share
-one mask at most. Lines that agree on a band are candidates; those that agree on half of the masks are
-compared by the exact Jaccard similarity of their shingle sets, and one line of every component of
+one mask at most. Lines that agree on a band are candidates; those whose shingles are about as many and
+that agree on two thirds of the 64 masks of a sketch are compared by the exact Jaccard similarity of their shingle sets, and one line of every component of
 linked lines stays: the first by document and line number. Each line meets two leaders of its buckets
 first, then all others that are still apart.
 """
@@ -32,14 +32,17 @@ def _times(a: int, b: int) -> int:
 #: Four of the plane's five classes of parallel lines. At similarity 0.8 a pair shares some band with
 #: 0.989, at 0.85 with 0.997, at 0.9 with 0.9995; at 0.1 with 0.0016.
 BANDS = [[4 * x + (_times(slope, x) ^ at) for x in range(4)] for slope in range(4) for at in range(4)]
-#: Masks that a candidate pair must agree on; of the pairs at similarity 0.8 that share a band it loses 0.0003.
-AGREEING = 8
+#: Masks of the sketch that a candidate pair must agree on in four bits. By the binomial formula it
+#: loses 0.0013 of the pairs at similarity 0.8 and less than 0.00001 of those at 0.9.
+AGREEING = 43
 _SALTS = 8
 #: Slots that bands are counted in, over a share of the documents, to learn which hold a hot bucket.
 #: What is learned here decides how rows are dealt out, never which rows meet.
 _SLOTS, _SHARE = 4096, 0.02
 _random = random.Random(3)
-MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(16)]
+MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(64)]
+#: The first masks form the bands.
+_BANDED, _WORD = 16, 16
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -69,8 +72,8 @@ def _shingle(wide: Column, at: Column) -> Column:
     return F.xxhash64(F.substring(wide, F.shiftleft(at, 1) + 1, F.lit(2 * SHINGLE)))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """``(d1, line)``, repeated or not → ``(d1, m0 … m15)``, over all shingles.
+def signatures(lines: DataFrame, masks: int = _BANDED) -> DataFrame:
+    """``(d1, line)``, repeated or not → ``(d1, m0 … m15)`` or more masks, over all shingles.
 
     Lines are signed where they are read, so the texts are not shuffled.
     """
@@ -78,24 +81,42 @@ def signatures(lines: DataFrame) -> DataFrame:
     hashes = wide.select("d1", "wide", F.explode(F.sequence(F.lit(0), _last(F.col("wide")))).alias("at")).select(
         "d1", _shingle(F.col("wide"), F.col("at")).alias("h")
     )
-    least = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(mask)), 32).cast("int")) for mask in MASKS]
+    least = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(mask)), 32).cast("int")) for mask in MASKS[:masks]]
     return hashes.groupBy("d1").agg(*[low.alias(f"m{i}") for i, low in enumerate(least)])
 
 
-def sketches(signed: DataFrame) -> DataFrame:
-    """``(d1, sketch)``: four bits of each mask's minimum, side by side in one number."""
-    sketch = F.lit(0).cast("bigint")
-    for i in range(len(MASKS)):
-        sketch = sketch.bitwiseOR(F.shiftleft(F.col(f"m{i}").bitwiseAND(15).cast("bigint"), 4 * i))
-    return signed.select("d1", sketch.alias("sketch"))
+def counted(lines: DataFrame) -> DataFrame:
+    """``(d1, line)`` → ``(d1, line, n)``, the number of different shingles."""
+    return lines.withColumn("n", F.size(F.array_distinct(_shingles("line"))))
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """``(d1, line, n)`` → ``(d1, sketch)``: n, and four bits of the minimum under each of all masks."""
+    words = []
+    for first in range(0, len(MASKS), _WORD):
+        word = F.lit(0).cast("bigint")
+        for i in range(_WORD):
+            word = word.bitwiseOR(F.shiftleft(F.col(f"m{first + i}").bitwiseAND(15).cast("bigint"), 4 * i))
+        words.append(word.alias(f"w{first // _WORD}"))
+    signed = signatures(texts, len(MASKS)).select("d1", F.struct(*words).alias("words"))
+    sizes = texts.groupBy("d1").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    return signed.join(sizes, "d1").select("d1", F.struct("least", "most", "words.*").alias("sketch"))
 
 
 def _agree(a: str, b: str) -> Column:
-    """Whether two sketches agree on enough masks."""
-    differ = F.col(a).bitwiseXOR(F.col(b))
-    either = differ.bitwiseOR(F.shiftrightunsigned(differ, 1))
-    either = either.bitwiseOR(F.shiftrightunsigned(either, 2)).bitwiseAND(F.lit(0x1111111111111111))
-    return F.bit_count(either) <= len(MASKS) - AGREEING
+    """Whether two lines have about as many shingles and sketches that agree on enough masks.
+
+    The smaller set is at most the intersection and the larger at most the union, so the sizes alone
+    rule out no similar pair.
+    """
+    a, b = F.col(a), F.col(b)
+    differ = F.lit(0)
+    for word in range(len(MASKS) // _WORD):
+        bits = a[f"w{word}"].bitwiseXOR(b[f"w{word}"])
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        differ += F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    alike = (a["most"] >= SIMILARITY * b["least"]) & (b["most"] >= SIMILARITY * a["least"])
+    return alike & (differ <= len(MASKS) - AGREEING)
 
 
 def _banded(signed: DataFrame) -> DataFrame:
@@ -188,24 +209,26 @@ def rest_pairs(met: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
     return one.join(other, ["band", "salt"]).where(apart).select("a", "b").distinct()
 
 
-def _set(line: str) -> Column:
-    """Shingles of a line by signs; a line shorter than a shingle is one."""
+def _shingles(line: str) -> Column:
+    """Shingles of a line by signs, repeated or not; a line shorter than a shingle is one."""
     found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), 1)
-    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(found))
+    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(found)
+
 
+def similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b)``, structs of digests: those of the pairs whose shingle sets are similar enough.
 
-def similar(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(a, b)``, structs of digests: those of the pairs whose shingle sets are similar enough."""
+    ``texts``: ``(d1, line, n)``, so a pair needs the size of the intersection only.
+    """
     for side in ("a", "b"):
-        named = distinct.select(
-            F.col("d1").alias(side), _digest(F.col("line")).alias(f"{side}2"), F.col("line").alias(f"{side}_line")
+        named = texts.select(
+            F.col("d1").alias(side), _digest(F.col("line")).alias(f"{side}2"), F.col("line").alias(f"{side}_line"), F.col("n").alias(f"{side}_n")
         )
         pairs = pairs.join(named, side)
-    sets = pairs.select("a", "a2", "b", "b2", _set("a_line").alias("a_set"), _set("b_line").alias("b_set"))
-    # Exploded, the size stays behind the sets; as a plain expression it would become part of the
-    # join's condition, which builds every set three times.
-    both = F.explode(F.array(F.size(F.array_intersect("a_set", "b_set"))))
-    sized = sets.select("a", "a2", "b", "b2", (F.size("a_set") + F.size("b_set")).alias("sum"), both.alias("both"))
+    # Exploded, the size stays behind the texts; as a plain expression it would become part of the
+    # join's condition, which builds both sets again for each of its terms.
+    both = F.explode(F.array(F.size(F.array_intersect(_shingles("a_line"), _shingles("b_line")))))
+    sized = pairs.select("a", "a2", "b", "b2", (F.col("a_n") + F.col("b_n")).alias("sum"), both.alias("both"))
     return sized.where(F.col("both") >= SIMILARITY * (F.col("sum") - F.col("both"))).select(
         F.struct(F.col("a").alias("d1"), F.col("a2").alias("d2")).alias("a"),
         F.struct(F.col("b").alias("d1"), F.col("b2").alias("d2")).alias("b"),
@@ -224,8 +247,8 @@ def components(lines: DataFrame, share: DataFrame) -> DataFrame:
     for the lines that share a bucket only. ``share``: lines that show which buckets are hot.
     """
     met = stored(buckets(signatures(lines), hot_slots(share)))
-    texts = stored(_distinct(lines.select("d1", "line").join(met.select("d1").distinct(), "d1", "left_semi")))
-    known = stored(sketches(signatures(texts)))
+    texts = stored(counted(_distinct(lines.select("d1", "line").join(met.select("d1").distinct(), "d1", "left_semi"))))
+    known = stored(sketches(texts))
     roots = connected_components(similar(texts, stored(leader_pairs(met, known))))
     pairs = stored(rest_pairs(met, roots, known))
     if pairs.isEmpty():

@@ -131,12 +131,12 @@ def test_similar_lines_are_those_of_brute_force_and_sketches_keep_them(spark):
         every |= {line, line + "ab c" * rng.randint(1, 9), line[rng.randint(0, len(line) // 5) :]}
     every = sorted(x for x in every if x.strip())
     sets = [{x[i : i + lines.SHINGLE] for i in range(max(1, len(x) - lines.SHINGLE + 1))} for x in every]
-    table = spark.createDataFrame(list(enumerate(every)), "d1 long, line string")
+    table = lines.counted(spark.createDataFrame(list(enumerate(every)), "d1 long, line string"))
     some = [(a, b) for b in range(len(every)) for a in range(b)]
     pairs = spark.createDataFrame(some, "a long, b long")
     found = {(r["a"]["d1"], r["b"]["d1"]) for r in lines.similar(table, pairs).collect()}
     assert found == {(a, b) for a, b in some if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} and len(found) > 20
-    known = lines.sketches(lines.signatures(table))
+    known = lines.sketches(table)
     met = pairs.selectExpr("a d1", "b x", "b y")
     agreed = {(r["a"], r["b"]) for r in lines.leader_pairs(met, known).collect()}
     assert len(found & agreed) >= 0.97 * len(found) and len(agreed) < len(some) / 2
