@@ -238,11 +238,22 @@ def test_automaton_is_edit_distance():
     for _ in range(3000):
         word = list(rng.choice(sorted(terms)))
         for _ in range(rng.randint(0, 3)):
-            at = rng.randrange(1, len(word) + 1)
+            at = rng.randrange(len(word) + 1)
             word[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "t", "s"])
         word = "".join(word)
-        best = max([0.0] + [w * (1 - 0.3 * d) for t, w in terms.items() if t[0] == word[:1] and (d := distance(t, word)) <= min(2, len(t) // 5)])
-        assert machine.weight(word) == pytest.approx(best), word
+        best = max([0.0] + [w * (1 - 0.3 * d) for t, w in terms.items() if (d := distance(t, word)) <= (len(t) >= 4) + (len(t) >= 10)])
+        assert machine.weights(word) == (pytest.approx(best), terms.get(word, 0.0)), word
+    assert all(machine.weights(w)[0] for w in ("xdiot", "1diot", "diot", "scvm", "vorthless"))
+
+
+def test_variants_that_clean_texts_use_are_spared(spark):
+    rows = [(f"you are a moron {i}", 1) for i in range(40)] + [(f"the maron is a fruit {i}", 0) for i in range(200)]
+    rows += [("a xoron indeed", 1), ("what a goron", 1), ("the goron again", 0)]
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {"moron", "moro*"} <= set(lexicon.terms) and "maron" in lexicon.spared and not {"xoron", "moron"} & lexicon.spared
+    judge = toxicity.Judge(toxicity.Lexicon({"moron": 5.0}, lexicon.rates, lexicon.spared))
+    assert judge.hits("maron") == [] and [w for _, w, _ in judge.hits("xoron moron")] == [pytest.approx(3.5), 5.0]
+    assert judge.variants("Maron, moron (xoron) apple") == {"maron", "xoron"}
 
 
 def test_quotation_weighs_less():
