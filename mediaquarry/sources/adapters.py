@@ -50,9 +50,12 @@ class Tables:
         )
 
     def stream(self, name: str) -> DataFrame:
-        """One table as a file stream."""
+        """One table as a file stream; a table is one file or a folder of files.
+
+        A stream takes a single file only by a pattern, and a filter of file names would miss the parts of a folder.
+        """
         schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{{{name}}}.parquet")
 
 
 _OPEN: dict[tuple, Tables] = {}

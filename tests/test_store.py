@@ -232,6 +232,16 @@ def test_progressive_apply(spark, tmp_path):
     assert projection.read_pointer(spark, base)[1] == "token-1"
 
 
+def test_progressive_apply_reads_a_folder_of_parts(spark, tmp_path):
+    """A table in several files is streamed whole, like a table in one."""
+    from mediaquarry.plans import queries
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries()["progressive_apply"](spark, str(tmp_path)).collect()
+    assert sorted((r.id[-1], r.text, r.version) for r in found) == [("1", "a", 1), ("2", "b", 1), ("3", None, 1)]
+
+
 def queue(spark, rows):
     return spark.createDataFrame(rows, schemas.WORK_REQUEST)
 
