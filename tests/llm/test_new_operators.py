@@ -156,6 +156,15 @@ def test_phrases_of_random_texts(spark, shards, bits, longest):
     assert sorted(map(tuple, found.collect())) == wanted and len(wanted) > 60
 
 
+def test_langs_that_differ_in_a_last_character_only(spark):
+    """Trailing NULs tell languages apart, as every other character does."""
+    docs = [("a", "x y z")] * 12 + [("a\0", "x y q")] * 11 + [("", "x y")] * 10 + [(None, "x y")] * 10
+    found = phrases.collocations(spark.createDataFrame(docs, "lang string, text string").repartition(2))
+    assert {(r["lang"], r["phrase"], r["a"], r["n"]) for r in found.collect()} == {
+        ("a", "x y z", 12, 36), ("a\0", "x y q", 11, 33), ("", "x y", 10, 20), ("und", "x y", 10, 20),
+    }
+
+
 def test_late_phrases_get_a_full_circle(spark):
     """A phrase whose words become frequent in the last shard only is still counted in all of them."""
     docs = [("en", "x y z")] * 3 + [("en", "filler")] * 2 + [("en", "x y z " * 9)]
