@@ -106,6 +106,17 @@ def test_brown(odd_docs, no_docs):
         assert brown.score(no_docs, model, counts).count() == 0
 
 
+def test_brown_clusters_the_first_words_whatever_the_head_holds(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i:02}" for i in range(20))), (2, "w03 w07 w07")], "doc_id long, text string")
+    whole = brown.fit(docs)
+    monkeypatch.setattr(brown, "HEAD", 5)  # the words seen once are one step and do not fit
+    short = brown.fit(docs)
+    assert len(whole[0].classes) == len(short[0].classes) == 21 and len(short[0].head) < 5
+    assert short[0].classes == whole[0].classes
+    scores = [{r["doc_id"]: r["score"] for r in brown.score(docs, *fitted).collect()} for fitted in (whole, short)]
+    assert scores[0] == pytest.approx(scores[1])
+
+
 def test_urls(spark):
     pages = spark.createDataFrame(
         [(1, "HTTP://A.Example.com/en/x?y", "<p>free bets</p>"), (2, None, None), (3, "no scheme", ""), (4, "http://b.org", "x"), (4, "http://b.org", "x"),
