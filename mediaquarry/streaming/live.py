@@ -30,8 +30,9 @@ TRIGGER = "root string, cause string, at bigint, since bigint, n_events bigint,
 PAIR = "root string, rename_cookie bigint, first_at bigint, paired_at bigint"
 #: Kind of the control row that ends a bounded stream.
 CLOSING = "closing"
-#: Parts of a root's cookies that have state of their own.
-_SHARES = 32
+#: Parts of a root's cookies that have state of their own. Each is a key that every overflow of the root
+#: goes to, and a key costs state calls even if it never sees a half.
+_SHARES = 4
 
 
 class Coalescer(StatefulProcessor):
@@ -142,7 +143,13 @@ class RenamePairer(StatefulProcessor):
         ]
         if fresh:
             self.waiting.appendList(fresh)
-        yield self._drain(key, timerValues.getCurrentWatermarkInMs())
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if fresh and min(fresh)[0] >= watermark:
+            # None is due: a timer takes them, and those before them have theirs.
+            self.handle.registerTimer(min(fresh)[0] + 1)
+            yield pd.DataFrame([], columns=["root", "rename_cookie", "first_at", "paired_at"])
+        else:
+            yield self._drain(key, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._drain(key, timerValues.getCurrentWatermarkInMs())

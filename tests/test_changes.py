@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +280,43 @@ def test_rename_join_stream(spark, tmp_path):
     stream = live.rename_join_stream(read_change_events(spark, folder), 1000)
     found = run_stream(spark, stream, str(tmp_path / "cp"), "joined_pairs").collect()
     assert sorted((r.root, r.rename_cookie, r.paired_at - r.first_at) for r in found) == [("a", 7, 10), ("b", 42, 5)]
+
+
+def test_rename_rows_that_are_not_due_are_not_read_back():
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.rows = name, []
+
+        def __getattr__(self, call):
+            def made(*args):
+                calls.append((self.name, call))
+                if call in ("appendList", "put"):
+                    self.rows = [*(self.rows if call == "appendList" else []), *args[0]]
+                elif call == "clear":
+                    self.rows = []
+                return bool(self.rows) if call == "exists" else iter(list(self.rows))
+            return made
+
+    class Handle:
+        def getListState(self, name, schema):
+            return State(name)
+
+        def registerTimer(self, at):
+            calls.append(("timer", at))
+
+    class Clock:
+        at = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    pairer, clock = live.RenamePairer(20), Clock()
+    pairer.init(Handle())
+    half = lambda t: pd.DataFrame({"t": [t], "seq": [t], "rename_cookie": [7], "kind": ["renamedFrom"]})
+    for t in (110, 100):
+        assert sum(map(len, pairer.handleInputRows(("r", 0), iter([half(t)]), clock))) == 0
+    assert calls == [("waiting", "appendList"), ("timer", 111), ("waiting", "appendList"), ("timer", 101)]
+    clock.at = 200
+    assert [tuple(r) for f in pairer.handleExpiredTimer(("r", 0), clock, None) for r in f.itertuples(index=False)] == [("r", 7, 100, 110)]
