@@ -42,8 +42,8 @@ def phrase_hits(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """``(id, length, phrase, hits)``: how often each phrase occurs in a row.
 
     The token predicate is a plain equality or prefix test, so it is pushed to the scan of a
-    token-sorted table; only matching tokens are shuffled. A phrase of several tokens lines them
-    up by start position.
+    token-sorted table. A phrase of several tokens lines them up by start position and shuffles its
+    matching tokens; one token is a hit by itself, so a row's hits are added up before the shuffle.
     """
     token, at = F.col("token"), F.col("position")
     wanted, needed = [], []
@@ -65,12 +65,16 @@ def phrase_hits(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
         "id", "length", "field", F.col("c.phrase").alias("phrase"),
         (at - F.col("c.offset")).alias("start"),
     )
+    if max(needed) == 1:
+        return hits.groupBy("id", "length", "phrase").agg(F.count("*").alias("hits"))
     lengths = F.element_at(F.array(*[F.lit(n) for n in needed]), F.col("phrase") + 1)
-    if max(needed) > 1:
-        # A start is an occurrence when all of its tokens are there.
-        hits = hits.groupBy("id", "length", "phrase", "field", "start").agg(F.count("*").alias("seen"))
-        hits = hits.where(F.col("seen") == lengths)
-    return hits.groupBy("id", "length", "phrase").agg(F.count("*").alias("hits"))
+    single = lengths == 1
+    lined = hits.select(
+        "id", "length", "phrase", F.when(~single, F.col("field")).alias("field"), F.when(~single, F.col("start")).alias("start")
+    ).groupBy("id", "length", "phrase", "field", "start").agg(F.count("*").alias("seen"))
+    # A start is an occurrence when all of its tokens are there.
+    found = F.when(single, F.col("seen")).when(F.col("seen") == lengths, 1)
+    return lined.groupBy("id", "length", "phrase").agg(F.sum(found).alias("hits")).where("hits > 0")
 
 
 def search(tokens: DataFrame, lengths: DataFrame, query: str) -> DataFrame:

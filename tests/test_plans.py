@@ -49,6 +49,28 @@ def test_search_prunes_the_token_table(tables):
     assert "Join" not in text
 
 
+def shuffled(df) -> int:
+    """Rows that all shuffles of ``df`` have written."""
+    df.collect()
+
+    def walk(node) -> int:
+        name = node.getClass().getSimpleName()
+        inner = {"AdaptiveSparkPlanExec": "executedPlan", "ShuffleQueryStageExec": "plan"}.get(name)
+        if inner:
+            return walk(getattr(node, inner)())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_a_frequent_word_beside_a_phrase_is_added_up_before_the_shuffle(spark):
+    media = spark.range(0, 3, 1, 1).selectExpr("CAST(id AS STRING) AS id", "repeat('the ', 400) AS caption", "'img_1.jpg' AS file_name")
+    hits = search.phrase_hits(search.media_tokens(media), [["img", "1"], ["the"]])
+    assert sorted((r.id, r.phrase, r.hits) for r in hits.collect()) == [(str(i), p, n) for i in range(3) for p, n in ((0, 1), (1, 400))]
+    assert shuffled(hits) <= 20
+
+
 def test_row_rules_do_not_shuffle(tables, spark):
     media = tables["media"]
     for df in (search.media_tokens(media), search.media_lengths(media), browse.capture_text(media)):
