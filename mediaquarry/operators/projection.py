@@ -54,9 +54,14 @@ def state_token(records: DataFrame) -> DataFrame:
 
 
 def _hashes(records: DataFrame, sign: int) -> DataFrame:
-    body = record_json()
+    return _body_hashes(records.select(record_json().alias("record_json")), sign)
+
+
+def _body_hashes(bodies: DataFrame, sign: int) -> DataFrame:
+    """The signed rows of a token. The JSON text is a column here, so it is made once for both hashes."""
+    body = F.col("record_json")
     exact = lambda column: (F.lit(sign) * column.cast("decimal(37,0)")).cast("decimal(38,0)")
-    return records.select(
+    return bodies.select(
         F.lit(sign).cast("decimal(38,0)").alias("n"), exact(F.xxhash64(body)).alias("a"), exact(F.xxhash64(F.reverse(body))).alias("b")
     )
 

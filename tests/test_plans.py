@@ -71,6 +71,11 @@ def test_a_frequent_word_beside_a_phrase_is_added_up_before_the_shuffle(spark):
     assert shuffled(hits) <= 20
 
 
+def test_the_state_token_makes_each_record_text_once(spark):
+    text = plan(projection.state_token(adapters.records(adapters.Tables(spark, SMALL))))
+    assert "xxhash64(record_json#" in text and "xxhash64(reverse(record_json#" in text
+
+
 def test_row_rules_do_not_shuffle(tables, spark):
     media = tables["media"]
     for df in (search.media_tokens(media), search.media_lengths(media), browse.capture_text(media)):
