@@ -117,24 +117,25 @@ def read_pointer(spark: SparkSession, base: str) -> tuple[str, str] | None:
 def build_projection(records: DataFrame, base: str, token: str | None = None) -> str:
     """Write media, tags, tokens and lengths as a new snapshot, then swap the pointer.
 
-    The token is read before the rows, so a race errs to stale. A failure leaves the old snapshot
-    in place. ``media`` is range-partitioned on the capture key and ``media_token`` on the token,
-    so time pages and prefix searches prune row groups by their statistics.
+    Without a ``token`` the snapshot carries that of the media rows it holds, so a race errs to stale.
+    A failure leaves the old snapshot in place. ``media`` is range-partitioned on the capture key, so
+    time pages prune row groups by their statistics; records are dealt out before they are flattened,
+    as sampling a range runs everything below it. ``media_token`` is sorted by token inside each file:
+    a prefix is a few pages of every file, read by as many tasks as there are files.
     """
     spark = records.sparkSession
-    token = token if token is not None else state_token(records).first()[0]
     snapshot = f"snapshot-{uuid.uuid4().hex}"
     target = f"{base}/{snapshot}"
-    flatten_media(records).repartitionByRange("capture_sort_key", "id").sortWithinPartitions(
-        "capture_sort_key", "id"
-    ).write.parquet(f"{target}/media")
+    keyed = records.withColumn("_key", capture_sort_key(F.col("metadata.capture_time.wall_clock")))
+    flatten_media(keyed.repartitionByRange("_key", "id").sortWithinPartitions("_key", "id")).write.parquet(
+        f"{target}/media"
+    )
     media = spark.read.schema(schemas.MEDIA).parquet(f"{target}/media")
+    token = token if token is not None else _token(_body_hashes(media, 1), "0:0:0").first()[0]
     explode_tags(records).repartitionByRange("tag", "media_id").sortWithinPartitions(
         "tag", "media_id"
     ).write.parquet(f"{target}/media_tag")
-    media_tokens(media).repartitionByRange("token", "id").sortWithinPartitions(
-        "token", "id"
-    ).write.parquet(f"{target}/media_token")
+    media_tokens(media).sortWithinPartitions("token").write.parquet(f"{target}/media_token")
     media_lengths(media).write.parquet(f"{target}/media_len")
     write_pointer(spark, base, snapshot, token)
     return snapshot

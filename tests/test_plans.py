@@ -71,6 +71,21 @@ def test_a_frequent_word_beside_a_phrase_is_added_up_before_the_shuffle(spark):
     assert shuffled(hits) <= 20
 
 
+def test_a_frequent_token_lies_in_every_file_and_each_file_is_sorted(spark, tmp_path):
+    """The tokens of a row stay in one file, so a prefix that all rows hold is read by many tasks."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        projection.build_projection(adapters.records(adapters.Tables(spark, SMALL)), f"{tmp_path}/p")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tokens = projection.open_projection(spark, f"{tmp_path}/p")["media_token"].withColumn("file", F.input_file_name())
+    assert tokens.select("file").distinct().count() > 1
+    assert tokens.groupBy("id").agg(F.count_distinct("file").alias("n")).where("n > 1").isEmpty()
+    for (file,) in tokens.select("file").distinct().collect():
+        read = [r.token for r in spark.read.parquet(file).collect()]
+        assert read == sorted(read)
+
+
 def test_the_state_token_makes_each_record_text_once(spark):
     text = plan(projection.state_token(adapters.records(adapters.Tables(spark, SMALL))))
     assert "xxhash64(record_json#" in text and "xxhash64(reverse(record_json#" in text
