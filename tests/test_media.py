@@ -221,3 +221,15 @@ def test_recipe_outcomes(spark):
     rows = spark.createDataFrame([(i, ops) for i, (ops, _) in enumerate(cases)], schema)
     out = recipe.recipe_outcome(F.col("ops"), F.lit(100), F.lit(50)).alias("o")
     assert [tuple(r.o) for r in rows.select("n", out).orderBy("n").collect()] == [want for _, want in cases]
+
+
+def test_parsed_packets_leave_a_worker_in_small_parts():
+    """An Arrow batch of many packets is answered in parts, in order and whole."""
+    import pandas as pd
+
+    from mediaquarry.sources import containers
+
+    batch = pd.DataFrame({"path": [str(n) for n in range(1000)], "content": [b"<x/>"] * 1000})
+    parts = list(containers._parse_packets(iter([batch])))
+    assert max(len(p) for p in parts) <= 256
+    assert [path for p in parts for path in p["path"]] == list(batch["path"])
