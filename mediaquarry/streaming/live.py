@@ -49,20 +49,24 @@ class Coalescer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = [
             (int(t), int(n), bool(overflow)) for pdf in rows
-            for t, n, overflow in pdf[["t", "n", "overflow"]].itertuples(index=False)
+            for t, n, overflow in zip(pdf["t"], pdf["n"], pdf["overflow"])
         ]
-        if fresh:
-            self.waiting.appendList(fresh)
-        yield self._drain(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._drain(key, timerValues.getCurrentWatermarkInMs(), fresh)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._drain(key, timerValues.getCurrentWatermarkInMs())
-
-    def _due(self, watermark: int) -> list[tuple[int, int, bool]]:
-        """The batches that are due behind the watermark, as ``(opened_at, n, overflow)``."""
-        ticks = sorted(tuple(row) for row in self.waiting.get()) if self.waiting.exists() else []
+        yield from self._drain(key, timerValues.getCurrentWatermarkInMs(), [])
+
+    def _due(self, watermark: int, fresh: list[tuple[int, int, bool]]) -> tuple[list[tuple[int, int, bool]], int | None]:
+        """The batches that are due behind the watermark, as ``(opened_at, n, overflow)``, and when to wake.
+
+        Every state call is a round trip to the JVM: fresh ticks that are taken at once are never
+        stored, and state is written only where it differs from what was read.
+        """
+        old = [tuple(row) for row in self.waiting.get()] if self.waiting.exists() else []
+        was = self.open.get()
+        was = now = tuple(was) if was is not None else None
+        ticks = sorted(old + fresh)
         later = [tick for tick in ticks if tick[0] >= watermark]
-        now = tuple(self.open.get()) if self.open.exists() else None
         done = []
         for t, n, overflow in ticks[: len(ticks) - len(later)]:
             if now is not None and t >= now[0] + self.debounce:
@@ -72,21 +76,27 @@ class Coalescer(StatefulProcessor):
         if now is not None and now[0] + self.debounce <= watermark:
             done.append(now)
             now = None
-        if not later:
+        if old and not later:
             self.waiting.clear()
-        elif len(later) < len(ticks):
+        elif len(later) == len(ticks) and old:
+            if fresh:
+                self.waiting.appendList(fresh)
+        elif later:
             self.waiting.put(later)
-        if now is None:
+        if now is None and was is not None:
             self.open.clear()
-        else:
+        elif now != was:
             self.open.update((int(now[0]), int(now[1]), bool(now[2])))
-        if now is not None or later:
-            self.handle.registerTimer((now[0] if now is not None else later[0][0]) + self.debounce)
-        return done
+        wake = now[0] if now is not None else later[0][0] if later else None
+        return done, wake if wake is None else wake + self.debounce
 
-    def _drain(self, key, watermark: int) -> pd.DataFrame:
-        rows = [(key[0], t, t + self.debounce, n, overflow) for t, n, overflow in self._due(watermark)]
-        return pd.DataFrame(rows, columns=["root", "opened_at", "due_at", "n_events", "had_overflow"])
+    def _drain(self, key, watermark: int, fresh: list[tuple[int, int, bool]]) -> Iterator[pd.DataFrame]:
+        done, wake = self._due(watermark, fresh)
+        if wake is not None:
+            self.handle.registerTimer(wake)
+        if done:
+            rows = [(key[0], t, t + self.debounce, n, overflow) for t, n, overflow in done]
+            yield pd.DataFrame(rows, columns=["root", "opened_at", "due_at", "n_events", "had_overflow"])
 
     def close(self) -> None:
         pass
@@ -103,9 +113,10 @@ class ReconcileClock(Coalescer):
         super().init(handle)
         self.last = handle.getValueState("last", "due_at long, swept long")
 
-    def _drain(self, key, watermark: int) -> pd.DataFrame:
-        last, swept = tuple(self.last.get()) if self.last.exists() else (None, 0)
-        rows = []
+    def _drain(self, key, watermark: int, fresh: list[tuple[int, int, bool]]) -> Iterator[pd.DataFrame]:
+        before = self.last.get()
+        last, swept = tuple(before) if before is not None else (None, 0)
+        before, rows = (last, swept), []
 
         def sweep(end: int) -> None:
             nonlocal swept
@@ -113,16 +124,22 @@ class ReconcileClock(Coalescer):
                 swept += 1
                 rows.append((key[0], "sweep", last + swept * self.interval, last, 0, False))
 
-        for opened, n, overflow in self._due(watermark):
+        done, wake = self._due(watermark, fresh)
+        for opened, n, overflow in done:
             # A sweep that would fall on the next reconcile itself is not needed.
             sweep(opened + self.debounce)
             last, swept = opened + self.debounce, 0
             rows.append((key[0], "due", last, opened, n, overflow))
         sweep(watermark + 1)
-        if last is not None:
+        if (last, swept) != before:
             self.last.update((int(last), int(swept)))
-            self.handle.registerTimer(last + (swept + 1) * self.interval)
-        return pd.DataFrame(rows, columns=["root", "cause", "at", "since", "n_events", "had_overflow"])
+        # The earlier of the two is enough: the root is looked at again then, and asks for the other.
+        next_sweep = [] if last is None else [last + (swept + 1) * self.interval]
+        asked = next_sweep + ([] if wake is None else [wake])
+        if asked:
+            self.handle.registerTimer(min(asked))
+        if rows:
+            yield pd.DataFrame(rows, columns=["root", "cause", "at", "since", "n_events", "had_overflow"])
 
 
 class RenamePairer(StatefulProcessor):

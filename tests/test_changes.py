@@ -320,3 +320,43 @@ def test_rename_rows_that_are_not_due_are_not_read_back():
     assert calls == [("waiting", "appendList"), ("timer", 111), ("waiting", "appendList"), ("timer", 101)]
     clock.at = 200
     assert [tuple(r) for f in pairer.handleExpiredTimer(("r", 0), clock, None) for r in f.itertuples(index=False)] == [("r", 7, 100, 110)]
+
+
+class _CountedState:
+    """A state variable that counts its calls; every call is a round trip in a stream."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls.append(name)
+            if name == "get":
+                return iter(self.value or []) if isinstance(self.value, list) else self.value
+            if name == "exists":
+                return bool(self.value)
+            if name == "appendList":
+                self.value = [*(self.value or []), *given[0]]
+            elif name in ("put", "update", "clear"):
+                self.value = given[0] if given else None
+            return None
+
+        return call
+
+
+def test_ticks_that_are_due_at_once_are_not_stored():
+    """Two late ticks make two batches and a sweep without a write of ticks or of the open batch."""
+    clock = live.ReconcileClock(10, 100)
+    clock.handle = _CountedState()
+    clock.waiting, clock.open, clock.last = _CountedState(), _CountedState(), _CountedState()
+    rows = [pd.DataFrame({"t": [0, 150], "n": [2, 1], "overflow": [False, True]})]
+    watermark = type("Timer", (), {"getCurrentWatermarkInMs": lambda self: 200})()
+    found = pd.concat(clock.handleInputRows(("r",), rows, watermark))
+    assert found.values.tolist() == [
+        ["r", "due", 10, 0, 2, False], ["r", "sweep", 110, 10, 0, False], ["r", "due", 160, 150, 1, True],
+    ]
+    assert clock.waiting.calls == ["exists"] and clock.open.calls == ["get"]
+    assert clock.last.value == (160, 0) and clock.handle.calls == ["registerTimer"]
+    late = [pd.DataFrame({"t": [500], "n": [1], "overflow": [False]})]
+    assert not len([r for f in clock.handleInputRows(("r",), late, watermark) for r in f.values])
+    assert clock.waiting.value == [(500, 1, False)]
