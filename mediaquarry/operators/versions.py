@@ -250,16 +250,20 @@ def save_edits(
     verdict = save_gate(checked).first()
     if verdict["error"] != "none":
         raise Conflict(f"{verdict['error']}: {verdict['conflicts']} conflicts, {verdict['unsupported']} unsupported")
-    edits = checked.select("id", F.col("metadata").alias("_m"), F.col("recipe").alias("_r"))
     digests = new_digests.select("id", F.col("digest").alias("_d"))
-    fingerprint = F.struct(F.lit("sha256").alias("algorithm"), F.col("_d").alias("digest"))
-    edited = (
-        current.join(edits, "id").join(digests, "id", "left")
-        .withColumn("metadata", F.col("_m")).withColumn("recipe", F.col("_r"))
-        .withColumn("fingerprint", F.when(F.col("_d").isNotNull(), fingerprint).otherwise(F.col("fingerprint")))
-        .drop("_m", "_r", "_d")
+    edits = _only_row(checked.select("id", "metadata", "recipe").join(digests, "id", "left")).select(
+        "id", F.struct("metadata", "recipe", "_d").alias("_e")
     )
-    return apply_records(current, edited.select(current.columns))
+    # A saved record is its row with other columns, so the table is read and joined once.
+    edit, digest = F.col("_e").isNotNull(), F.col("_e._d")
+    fresh = {
+        "metadata": F.when(edit, F.col("_e.metadata")).otherwise(F.col("metadata")),
+        "recipe": F.when(edit, F.col("_e.recipe")).otherwise(F.col("recipe")),
+        "fingerprint": F.when(
+            digest.isNotNull(), F.struct(F.lit("sha256").alias("algorithm"), digest.alias("digest"))
+        ).otherwise(F.col("fingerprint")),
+    }
+    return current.join(edits, "id", "left").withColumns(fresh).select(current.columns)
 
 
 def save_with_checkpoint(

@@ -11,7 +11,7 @@ from ..functions.capture import wall_clock_ms
 from ..functions.paths import supports_embedded_write
 from ..operators import cache, lineage, manifest, projection, requests, versions
 from ..operators.ordering import ordered_positions
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 from ..sources import adapters, records as record_files
 from . import base_sql as q
 from .registry import query
@@ -238,7 +238,7 @@ FROM (VALUES ('whole', 'conflict', false), ('clean', 'none', true)) v(step, erro
 def save_gated(t):
     """The whole batch holds conflicts, so it is refused and leaves records and checkpoints as they
     were; its clean part is saved and adds its checkpoint."""
-    checked, r = _checked(t), adapters.records(t)
+    checked, r = cut_lineage(_checked(t)), adapters.records(t)
     clean = checked.where(F.col("conflict").isNull() & supports_embedded_write(F.col("base_path")))
     log = t.conversations.select(
         F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("id"),
