@@ -3,15 +3,17 @@
 Equal lines are one line from the start. A line's shingles are all its runs of nine characters; the
 signature holds, for each of 16 masks, the smallest shingle hash under that mask. The masks are the
 points of the plane of order four and the bands are lines of it, four masks each, so two bands share
-one mask at most. Lines that agree on a band are candidates; those whose shingles are about as many and
-that agree on two thirds of the 64 masks of a sketch are compared by the exact Jaccard similarity of their shingle sets, and one line of every component of
-linked lines stays: the first by document and line number. Each line meets two leaders of its buckets
-first, then all others that are still apart.
+one mask at most. Lines that agree on a band are candidates. A sketch of 1,024 bits rules out pairs and loses
+none: a bit is the parity of some shingles, so bits differ in as many places as shingles at most. What is left is compared by the
+exact Jaccard similarity of the shingle sets, and one line of every component of linked lines stays: the
+first by document and line number. Each line meets two leaders of its buckets first, then all others that
+are still apart.
 """
 
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,17 +34,14 @@ def _times(a: int, b: int) -> int:
 #: Four of the plane's five classes of parallel lines. At similarity 0.8 a pair shares some band with
 #: 0.989, at 0.85 with 0.997, at 0.9 with 0.9995; at 0.1 with 0.0016.
 BANDS = [[4 * x + (_times(slope, x) ^ at) for x in range(4)] for slope in range(4) for at in range(4)]
-#: Masks of the sketch that a candidate pair must agree on in four bits. By the binomial formula it
-#: loses 0.0013 of the pairs at similarity 0.8 and less than 0.00001 of those at 0.9.
-AGREEING = 43
 _SALTS = 8
 #: Slots that bands are counted in, over a share of the documents, to learn which hold a hot bucket.
 #: What is learned here decides how rows are dealt out, never which rows meet.
 _SLOTS, _SHARE = 4096, 0.02
 _random = random.Random(3)
-MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(64)]
-#: The first masks form the bands.
-_BANDED, _WORD = 16, 16
+MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(16)]
+#: Words of 64 bits in a sketch, and shingles that one row holds while a line is signed.
+_WORDS, _STRIDE = 16, 4
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -72,51 +71,57 @@ def _shingle(wide: Column, at: Column) -> Column:
     return F.xxhash64(F.substring(wide, F.shiftleft(at, 1) + 1, F.lit(2 * SHINGLE)))
 
 
-def signatures(lines: DataFrame, masks: int = _BANDED) -> DataFrame:
-    """``(d1, line)``, repeated or not → ``(d1, m0 … m15)`` or more masks, over all shingles.
+def signatures(lines: DataFrame) -> DataFrame:
+    """``(d1, line)``, repeated or not → ``(d1, m0 … m15)``, over all shingles.
 
     Lines are signed where they are read, so the texts are not shuffled.
     """
     wide = lines.select("d1", _wide(F.col("line")).alias("wide"))
-    hashes = wide.select("d1", "wide", F.explode(F.sequence(F.lit(0), _last(F.col("wide")))).alias("at")).select(
-        "d1", _shingle(F.col("wide"), F.col("at")).alias("h")
-    )
-    least = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(mask)), 32).cast("int")) for mask in MASKS[:masks]]
-    return hashes.groupBy("d1").agg(*[low.alias(f"m{i}") for i, low in enumerate(least)])
+    last, at = _last(F.col("wide")), F.col("at")
+    steps = wide.select("d1", "wide", last.alias("last"), F.explode(F.sequence(F.lit(0), last, F.lit(_STRIDE))).alias("at"))
+    # The last shingle is repeated to fill its row.
+    hashes = steps.select("d1", *[_shingle(F.col("wide"), F.least(at + k, "last")).alias(f"h{k}") for k in range(_STRIDE)])
+    low = lambda k, mask: F.shiftright(F.col(f"h{k}").bitwiseXOR(F.lit(mask)), 32).cast("int")
+    least = [F.min(F.least(*[low(k, mask) for k in range(_STRIDE)])) for mask in MASKS]
+    return hashes.groupBy("d1").agg(*[m.alias(f"m{i}") for i, m in enumerate(least)])
 
 
 def counted(lines: DataFrame) -> DataFrame:
-    """``(d1, line)`` → ``(d1, line, n)``, the number of different shingles."""
-    return lines.withColumn("n", F.size(F.array_distinct(_shingles("line"))))
+    """``(d1, line)`` → ``(d1, line, shingles, n)``, the different shingles and their number."""
+    sets = lines.withColumn("shingles", F.array_distinct(_shingles("line")))
+    return sets.withColumn("n", F.size("shingles"))
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """``(d1, line, n)`` → ``(d1, sketch)``: n, and four bits of the minimum under each of all masks."""
+    """``counted`` lines → ``(d1, sketch)``: parities of the shingles by hash, and ``room``, their number.
+
+    Lines that share a digest share a sketch, whose room is so wide that it rules nothing out.
+    """
+    d2, at = _digest(F.col("line")).alias("d2"), F.col("at")
+    steps = texts.select("d1", d2, "n", "shingles", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(_STRIDE))).alias("at"))
+    shingles = [F.get("shingles", at + k) for k in range(_STRIDE)]
+    hashes = [F.when(held.isNotNull(), F.xxhash64(held)).alias(f"h{k}") for k, held in enumerate(shingles)]
+    rows = steps.select("d1", "d2", "n", *hashes)
+    bits = [F.expr(f"shiftleft(1L, cast(shiftright(h{k}, 8) & 63 as int))") for k in range(_STRIDE)]
     words = []
-    for first in range(0, len(MASKS), _WORD):
-        word = F.lit(0).cast("bigint")
-        for i in range(_WORD):
-            word = word.bitwiseOR(F.shiftleft(F.col(f"m{first + i}").bitwiseAND(15).cast("bigint"), 4 * i))
-        words.append(word.alias(f"w{first // _WORD}"))
-    signed = signatures(texts, len(MASKS)).select("d1", F.struct(*words).alias("words"))
-    sizes = texts.groupBy("d1").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    return signed.join(sizes, "d1").select("d1", F.struct("least", "most", "words.*").alias("sketch"))
+    for word in range(_WORDS):
+        mine = [F.when(F.col(f"h{k}").bitwiseAND(_WORDS - 1) == word, bit).otherwise(F.lit(0).cast("bigint")) for k, bit in enumerate(bits)]
+        words.append(F.bit_xor(reduce(Column.bitwiseXOR, mine)).alias(f"w{word}"))
+    several = F.when(F.min("d2") != F.max("d2"), _BOUND * 64 * _WORDS).otherwise(0)
+    return rows.groupBy("d1").agg((F.max("n") + several).alias("room"), *words).select(
+        "d1", F.struct("room", *[f"w{word}" for word in range(_WORDS)]).alias("sketch")
+    )
 
 
-def _agree(a: str, b: str) -> Column:
-    """Whether two lines have about as many shingles and sketches that agree on enough masks.
+#: Sets of a and b shingles with a similarity of 0.8 differ in at most (a + b) / 9 of them.
+_BOUND = 9
 
-    The smaller set is at most the intersection and the larger at most the union, so the sizes alone
-    rule out no similar pair.
-    """
+
+def _may_link(a: str, b: str) -> Column:
+    """Whether the sets of two lines may be similar enough by their sketches; false rules the pair out."""
     a, b = F.col(a), F.col(b)
-    differ = F.lit(0)
-    for word in range(len(MASKS) // _WORD):
-        bits = a[f"w{word}"].bitwiseXOR(b[f"w{word}"])
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
-        differ += F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-    alike = (a["most"] >= SIMILARITY * b["least"]) & (b["most"] >= SIMILARITY * a["least"])
-    return alike & (differ <= len(MASKS) - AGREEING)
+    differ = sum((F.bit_count(a[f"w{word}"].bitwiseXOR(b[f"w{word}"])) for word in range(_WORDS)), F.lit(0))
+    return _BOUND * differ <= a["room"] + b["room"]
 
 
 def _banded(signed: DataFrame) -> DataFrame:
@@ -180,19 +185,19 @@ def _salts() -> Column:
 
 
 def leader_pairs(met: DataFrame, known: DataFrame) -> DataFrame:
-    """``(a, b)``, first digests, a < b: every line with the leaders of its buckets that it agrees with."""
+    """``(a, b)``, first digests, a < b: every line with the leaders of its buckets that it may be similar to."""
     pairs = met.select("d1", F.explode(F.array("x", "y")).alias("other")).where("d1 <> other")
     pairs = pairs.select(F.least("d1", "other").alias("a"), F.greatest("d1", "other").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(known.select(F.col("d1").alias(side), F.col("sketch").alias(f"{side}_sketch")), side)
-    return pairs.where(_agree("a_sketch", "b_sketch")).select("a", "b")
+    return pairs.where(_may_link("a_sketch", "b_sketch")).select("a", "b")
 
 
 def rest_pairs(met: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: the lines that share a bucket, agree and are not one component yet.
+    """``(a, b)``, a < b: the lines that share a bucket, may be similar and are not one component yet.
 
     Leaders have met their whole bucket. Pairs within a component change nothing, so a bucket of
-    copies gives none, whatever its size; of other lines only those that agree become rows.
+    copies gives none, whatever its size; of other lines only those that may be similar become rows.
     """
     rest = met.where("n > 3 and d1 <> x and d1 <> y").select("band", "d1")
     named = roots.select(F.col("node.d1").alias("d1"), "root")
@@ -205,7 +210,7 @@ def rest_pairs(met: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
         rest.select("band", F.col("d1").alias(side), F.col("sketch").alias(f"{side}_sketch"), F.col("root").alias(f"{side}_root"), salt.alias("salt"))
         for side, salt in (("a", _salt()), ("b", _salts()))
     )
-    apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _agree("a_sketch", "b_sketch")
+    apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _may_link("a_sketch", "b_sketch")
     return one.join(other, ["band", "salt"]).where(apart).select("a", "b").distinct()
 
 
@@ -218,17 +223,16 @@ def _shingles(line: str) -> Column:
 def similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(a, b)``, structs of digests: those of the pairs whose shingle sets are similar enough.
 
-    ``texts``: ``(d1, line, n)``, so a pair needs the size of the intersection only.
+    ``texts``: ``(d1, line)``.
     """
     for side in ("a", "b"):
-        named = texts.select(
-            F.col("d1").alias(side), _digest(F.col("line")).alias(f"{side}2"), F.col("line").alias(f"{side}_line"), F.col("n").alias(f"{side}_n")
-        )
+        named = texts.select(F.col("d1").alias(side), _digest(F.col("line")).alias(f"{side}2"), F.col("line").alias(f"{side}_line"))
         pairs = pairs.join(named, side)
-    # Exploded, the size stays behind the texts; as a plain expression it would become part of the
+    a, b = _shingles("a_line"), _shingles("b_line")
+    # Exploded, the sizes stay behind the texts; as a plain expression they would become part of the
     # join's condition, which builds both sets again for each of its terms.
-    both = F.explode(F.array(F.size(F.array_intersect(_shingles("a_line"), _shingles("b_line")))))
-    sized = pairs.select("a", "a2", "b", "b2", (F.col("a_n") + F.col("b_n")).alias("sum"), both.alias("both"))
+    sizes = F.struct(F.size(F.array_intersect(a, b)).alias("both"), (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))).alias("sum"))
+    sized = pairs.select("a", "a2", "b", "b2", F.explode(F.array(sizes)).alias("size")).select("a", "a2", "b", "b2", "size.*")
     return sized.where(F.col("both") >= SIMILARITY * (F.col("sum") - F.col("both"))).select(
         F.struct(F.col("a").alias("d1"), F.col("a2").alias("d2")).alias("a"),
         F.struct(F.col("b").alias("d1"), F.col("b2").alias("d2")).alias("b"),
@@ -247,8 +251,8 @@ def components(lines: DataFrame, share: DataFrame) -> DataFrame:
     for the lines that share a bucket only. ``share``: lines that show which buckets are hot.
     """
     met = stored(buckets(signatures(lines), hot_slots(share)))
-    texts = stored(counted(_distinct(lines.select("d1", "line").join(met.select("d1").distinct(), "d1", "left_semi"))))
-    known = stored(sketches(texts))
+    texts = stored(_distinct(lines.select("d1", "line").join(met.select("d1").distinct(), "d1", "left_semi")))
+    known = stored(sketches(counted(texts)))
     roots = connected_components(similar(texts, stored(leader_pairs(met, known))))
     pairs = stored(rest_pairs(met, roots, known))
     if pairs.isEmpty():

@@ -142,6 +142,27 @@ def test_similar_lines_are_those_of_brute_force_and_sketches_keep_them(spark):
     assert len(found & agreed) >= 0.97 * len(found) and len(agreed) < len(some) / 2
 
 
+def test_line_sketches_lose_no_similar_pair_and_rule_out_nearly_similar_ones(spark):
+    rng = random.Random(12)
+    every = []
+    for i in range(400):
+        line = "".join(rng.choices("abcdefghij 😀", k=400)) + "ab" * (i % 3 * 20)
+        at = rng.randint(100, 300)
+        every += [line, line[:at] + "".join(rng.choices("xyz", k=rng.choice([30, 60, 75, 110]))) + line[at:]]
+        every[-1] = every[-1][: rng.choice([len(every[-1]), 400])]
+    sets = [{x[i : i + lines.SHINGLE] for i in range(max(1, len(x) - lines.SHINGLE + 1))} for x in every]
+    alike = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(every), 2)}
+    known = lines.sketches(lines.counted(spark.createDataFrame(list(enumerate(every)), "d1 long, line string")))
+    met = spark.createDataFrame([(i, i + 1, i) for i in alike], "d1 long, x long, y long")
+    agreed = {r["a"] for r in lines.leader_pairs(met, known).collect()}
+    assert {i for i, j in alike.items() if j >= 0.8} <= agreed
+    below = [i for i, j in alike.items() if 0.65 <= j < 0.72]
+    assert len(below) > 40 and len(agreed.intersection(below)) < 0.2 * len(below)
+    # Two lines under one digest: nothing is ruled out.
+    both = lines.sketches(lines.counted(spark.createDataFrame([(1, every[0]), (1, every[2]), (2, every[0])], "d1 long, line string")))
+    assert lines.leader_pairs(met.limit(1).selectExpr("1L d1", "2L x", "2L y"), both).count() == 1
+
+
 def test_hot_slots_change_no_bucket(spark):
     rng = random.Random(6)
     header = "".join(rng.choices("abcdefgh ", k=90))
