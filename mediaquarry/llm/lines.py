@@ -13,10 +13,12 @@ are still apart.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.binding import let
 from ..operators.ordering import join_spread
 from .components import connected_components
 from .storage import free_names, stored
@@ -87,8 +89,8 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def counted(lines: DataFrame) -> DataFrame:
-    """``(d1, line)`` → ``(d1, line, shingles, n)``, the different shingles and their number."""
-    sets = lines.withColumn("shingles", F.array_distinct(_shingles("line")))
+    """``(d1, line)`` → ``(d1, line, shingles, n)``, hashes of the different shingles and their number."""
+    sets = lines.withColumn("shingles", F.array_distinct(_cut("line", F.xxhash64)))
     return sets.withColumn("n", F.size("shingles"))
 
 
@@ -100,8 +102,7 @@ def sketches(texts: DataFrame) -> DataFrame:
     d2, at = _digest(F.col("line")).alias("d2"), F.col("at")
     steps = texts.select("d1", d2, "n", "shingles", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(_STRIDE))).alias("at"))
     shingles = [F.get("shingles", at + k) for k in range(_STRIDE)]
-    hashes = [F.when(held.isNotNull(), F.xxhash64(held)).alias(f"h{k}") for k, held in enumerate(shingles)]
-    rows = steps.select("d1", "d2", "n", *hashes)
+    rows = steps.select("d1", "d2", "n", *[held.alias(f"h{k}") for k, held in enumerate(shingles)])
     bits = [F.expr(f"shiftleft(1L, cast(shiftright(h{k}, 8) & 63 as int))") for k in range(_STRIDE)]
     words = []
     for word in range(_WORDS):
@@ -202,10 +203,10 @@ def rest_pairs(met: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
     rest = met.where("n > 3 and d1 <> x and d1 <> y").select("band", "d1")
     named = roots.select(F.col("node.d1").alias("d1"), "root")
     alone = F.struct("d1", F.lit(0).cast("bigint").alias("d2"))
-    rest = rest.join(known, "d1").join(named, "d1", "left")
-    rest = stored(rest.select("band", "d1", "sketch", F.coalesce("root", alone).alias("root")))
+    rest = stored(rest.join(named, "d1", "left").select("band", "d1", F.coalesce("root", alone).alias("root")))
     mixed = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    rest = rest.join(mixed, "band", "left_semi")
+    # Sketches are wide: only lines of buckets that are still apart take theirs along.
+    rest = rest.join(mixed, "band", "left_semi").join(known, "d1")
     one, other = (
         rest.select("band", F.col("d1").alias(side), F.col("sketch").alias(f"{side}_sketch"), F.col("root").alias(f"{side}_root"), salt.alias("salt"))
         for side, salt in (("a", _salt()), ("b", _salts()))
@@ -214,10 +215,17 @@ def rest_pairs(met: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
     return one.join(other, ["band", "salt"]).where(apart).select("a", "b").distinct()
 
 
-def _shingles(line: str) -> Column:
-    """Shingles of a line by signs, repeated or not; a line shorter than a shingle is one."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), 1)
-    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(found)
+def _cut(line: str, of: Callable[[Column], Column]) -> Column:
+    """``of`` each shingle by signs, repeated or not; a line shorter than a shingle is one.
+
+    Four bytes a sign: a shingle is a slice at a known place.
+    """
+    def cut(codes: Column) -> Column:
+        last = F.greatest(F.shiftright(F.length(codes), 2) - SHINGLE, F.lit(0))
+        shingle = lambda at: F.substring(codes, F.shiftleft(at, 2) + 1, F.lit(4 * SHINGLE))
+        return F.transform(F.sequence(F.lit(0), last), lambda at: of(shingle(at)))
+
+    return let(F.encode(line, "UTF-32"), cut)
 
 
 def similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -228,11 +236,14 @@ def similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         named = texts.select(F.col("d1").alias(side), _digest(F.col("line")).alias(f"{side}2"), F.col("line").alias(f"{side}_line"))
         pairs = pairs.join(named, side)
-    a, b = _shingles("a_line"), _shingles("b_line")
-    # Exploded, the sizes stay behind the texts; as a plain expression they would become part of the
-    # join's condition, which builds both sets again for each of its terms.
-    sizes = F.struct(F.size(F.array_intersect(a, b)).alias("both"), (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))).alias("sum"))
-    sized = pairs.select("a", "a2", "b", "b2", F.explode(F.array(sizes)).alias("size")).select("a", "a2", "b", "b2", "size.*")
+    # Slices as text, which the set functions hash; bytes they compare one by one.
+    a, b = (F.array_distinct(_cut(f"{side}_line", lambda x: x.cast("string"))) for side in ("a", "b"))
+    # Exploded, the sets stay behind the join; as plain expressions they would become part of its
+    # condition, which builds them again for each of its terms.
+    sets = pairs.select("a", "a2", "b", "b2", F.explode(F.array(F.struct(a.alias("a"), b.alias("b")))).alias("of"))
+    sized = sets.select(
+        "a", "a2", "b", "b2", F.size(F.array_intersect("of.a", "of.b")).alias("both"), (F.size("of.a") + F.size("of.b")).alias("sum")
+    )
     return sized.where(F.col("both") >= SIMILARITY * (F.col("sum") - F.col("both"))).select(
         F.struct(F.col("a").alias("d1"), F.col("a2").alias("d2")).alias("a"),
         F.struct(F.col("b").alias("d1"), F.col("b2").alias("d2")).alias("b"),

@@ -163,6 +163,20 @@ def test_line_sketches_lose_no_similar_pair_and_rule_out_nearly_similar_ones(spa
     assert lines.leader_pairs(met.limit(1).selectExpr("1L d1", "2L x", "2L y"), both).count() == 1
 
 
+def test_line_sketches_go_along_only_where_a_bucket_is_still_apart(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(lines, "stored", lambda df, *parts: kept.append(df.columns) or df)
+    header = "".join(random.Random(4).choices("abcdefgh ", k=200))
+    every = [f"{header}{i} {i}" for i in range(6)]
+    known = lines.sketches(lines.counted(spark.createDataFrame(list(enumerate(every)), "d1 long, line string")))
+    met = spark.createDataFrame([(i, band, 0, 5, 6) for band in (1, 2) for i in range(6)], "d1 long, band long, x long, y long, n long")
+    met = met.where("band = 1 or d1 < 3")
+    node = spark.createDataFrame([((i, 0), (1, 0)) for i in (1, 2)], "node struct<d1: long, d2: long>, root struct<d1: long, d2: long>")
+    found = {(r["a"], r["b"]) for r in lines.rest_pairs(met, node, known).collect()}
+    assert found == {(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
+    assert kept and not any("sketch" in columns for columns in kept)
+
+
 def test_hot_slots_change_no_bucket(spark):
     rng = random.Random(6)
     header = "".join(rng.choices("abcdefgh ", k=90))
