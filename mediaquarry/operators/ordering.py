@@ -8,8 +8,10 @@ bounded by the number of shuffle partitions and does not grow with the data.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage, shuffle_width
@@ -71,17 +73,34 @@ def grouped_positions(df: DataFrame, group: list[str], order: list[Column], by:
 
 def running_total(df: DataFrame, order: list[Column], amount: str, name: str) -> DataFrame:
     """Adds the sum of ``amount`` over this row and all rows before it in ``order``."""
-    rows = sorted_once(df, order)
-    parts = rows.groupBy("_part").agg(F.sum(amount).alias("_n"))
-    inside = W.partitionBy("_part").orderBy("_row").rowsBetween(W.unboundedPreceding, 0)
+    rows = sorted_once(df, order).withColumn("_run", F.col(amount).cast("bigint"))
+    parts = rows.groupBy("_part").agg(F.sum("_run").alias("_n"))
     return (
-        rows.withColumn("_run", F.sum(amount).over(inside))
-        .join(F.broadcast(_offsets(parts, "_n")), "_part")
-        .withColumn(name, (F.col("_before") + F.col("_run")).cast("bigint"))
+        _summed_inside(rows).join(F.broadcast(_offsets(parts, "_n")), "_part")
+        .withColumn(name, F.col("_before") + F.col("_run"))
         .drop("_part", "_row", "_before", "_run")
     )
 
 
+def _summed_inside(rows: DataFrame) -> DataFrame:
+    """``_run`` becomes its sum so far in the partition, without a second shuffle; null before its first value."""
+    at = rows.columns.index("_run")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            amounts = batch.column(at)
+            met = pa.compute.cumulative_sum_checked(pa.compute.fill_null(amounts, 0), start=total or 0)
+            if total is None:
+                begun = pa.compute.cumulative_max(pa.compute.cast(pa.compute.is_valid(amounts), pa.int8()))
+                met = pa.compute.if_else(pa.compute.equal(begun, 1), met, pa.scalar(None, pa.int64()))
+            if len(met) and met[-1].is_valid:
+                total = met[-1].as_py()
+            yield batch.set_column(at, "_run", met)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def ordered_segments(
     df: DataFrame, order: list[Column], columns: list[str],
     starts: Callable[[Column, Column], Column], name: str = "segment",
